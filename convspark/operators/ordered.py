@@ -172,23 +172,35 @@ def rolling_sums(
     df: DataFrame,
     keys: Sequence[str],
     ts: str,
-    sums: dict[str, tuple[Column, int]],
+    sums: dict[str, tuple[Column, int, int]],
 ) -> DataFrame:
-    """One row per key and second: the sum of each value over the seconds ``(ts - span, ts]``.
+    """One row per key and second: the sum of each value over the seconds ``[ts + first, ts + last]``.
 
-    Rows are added up per second first. A second is then needed by its own slice of ``max span`` seconds and
-    by the next one, so each is copied once and a slice never holds more than two spans of seconds."""
-    width = max(span for _, span in sums.values())
+    ``sums`` maps a name to ``(value, first, last)``. Rows are added up per second first. A second is needed by
+    its own slice and by a neighbour in each direction a frame looks, so a slice never holds more than three
+    spans of seconds, however many rows a key has."""
+    width = max(max(abs(first), abs(last)) for _, first, last in sums.values()) + 1
     names = list(sums)
     seconds = df.groupBy(*keys, ts).agg(*[F.sum(sums[n][0]).alias(f"__{n}") for n in names])
-    own = F.floor(F.col(ts) / F.lit(width))
-    copies = seconds.withColumn("__own", own).withColumn(SLICE, F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
+    reached = [0]
+    if any(first < 0 for _, first, _ in sums.values()):
+        reached.append(1)
+    if any(last > 0 for _, _, last in sums.values()):
+        reached.append(-1)
+    copies = seconds.withColumn("__own", F.floor(F.col(ts) / F.lit(width))).withColumn(
+        SLICE, F.explode(F.array(*[F.col("__own") + step for step in reached]))
+    )
     frame = Window.partitionBy(*keys, SLICE).orderBy(ts)
     totals = [
-        F.sum(f"__{n}").over(frame.rangeBetween(-(sums[n][1] - 1), 0)).cast("bigint").alias(n) for n in names
+        F.coalesce(F.sum(f"__{n}").over(frame.rangeBetween(sums[n][1], sums[n][2])), F.lit(0)).cast("bigint").alias(n)
+        for n in names
     ]
     return (
         copies.select(*keys, ts, "__own", SLICE, *totals)
         .where(F.col(SLICE) == F.col("__own"))
         .drop("__own", SLICE)
     )
+
+
+def position_in_second(keys: Sequence[str], ts: str, order: Sequence[str]) -> Column:
+    return F.row_number().over(Window.partitionBy(*keys, ts).orderBy(*order))
