@@ -40,8 +40,13 @@ def staged(build):
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
+    return as_messages(table(spark, sf, "conversations"))
+
+
+def as_messages(conversations: DataFrame) -> DataFrame:
+    """Each line of a conversation turn is one message of one of four chats."""
     lines = (
-        table(spark, sf, "conversations")
+        conversations
         .where("role <> 'system'")
         .select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
         .where(F.trim("text") != "")
@@ -140,8 +145,11 @@ def raw_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def live_events(spark: SparkSession, sf: str) -> DataFrame:
+    return as_live(table(spark, sf, "events"))
+
+
+def as_live(e: DataFrame) -> DataFrame:
     """Events as live messages: owner, bot reply or partner, with a provocation kind."""
-    e = table(spark, sf, "events")
     stamp = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     origin = F.when(F.col("event_type") == "purchase", "owner").when(F.col("event_type") == "error", "bot").otherwise("partner")
     return e.select(

@@ -272,7 +272,7 @@ PHONE = (
     r"(^|[^\p{L}\p{N}_+])(?:\+\d{1,3}[\s\-(]*\d{3}|[78][\s\-(]*\d{3}|9\d{2})"
     r"[\s\-)]*\d{3}[\s-]*\d{2}[\s-]*\d{2}($|[^\p{L}\p{N}_-])"
 )
-CARD = r"(^|[^\d])(?:\d{4}[ -]?){3}\d{4}(?:[ -]?\d{1,3})?($|[^\d])"
+CARD = r"(^|[^\d])(?:\d{4}[ -]?){3}\d{4}(?:[ -]?\d{1,3})?\b"
 EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
 MENTION = r"(^|[^\p{L}\p{N}_@])@[A-Za-z][A-Za-z0-9_]{3,31}\b"
 TOKEN_URL = (
@@ -288,7 +288,7 @@ src AS ({documents(sm.CONTACTS, 20)}),
 c1 AS (SELECT *, regexp_replace(text, '{TOKEN_URL}', '<url>', 'g') AS t1 FROM src),
 c2 AS (SELECT *, regexp_replace(t1, '{EMAIL}', '<email>', 'g') AS t2 FROM c1),
 c3 AS (SELECT *, regexp_replace(t2, '{MENTION}', '\\1@user', 'g') AS t3 FROM c2),
-c4 AS (SELECT *, regexp_replace(t3, '{CARD}', '\\1<card>\\2', 'g') AS t4 FROM c3),
+c4 AS (SELECT *, regexp_replace(t3, '{CARD}', '\\1<card>', 'g') AS t4 FROM c3),
 c5 AS (SELECT *, regexp_replace(t4, '{PHONE}', '\\1<phone>\\2', 'g') AS t5 FROM c4)"""
 
 
@@ -386,12 +386,12 @@ add("reply_style_stats", f"""SELECT count(*) AS replies, {pct('length(r)<=10')}
   FROM (SELECT {sm.pick_sql(sm.REPLIES + sm.EMOJI, 'ts', 100, 'reply')} AS r FROM train)""", SPLIT)
 STOP = ", ".join(quote(w) for w in STOP_WORDS)
 add("top_words", f"""SELECT word, count(*) AS uses FROM (
-  SELECT ts, pair_id, unnest({TOKENS.format(x='reply')}) AS word, generate_subscripts({TOKENS.format(x='reply')}, 1) AS at FROM train)
-  WHERE word NOT IN ({STOP}) GROUP BY word ORDER BY uses DESC, min((ts, pair_id, at)) LIMIT 50""", SPLIT)
+  SELECT ts, pair_id, unnest({TOKENS.format(x='reply')}) AS word, generate_subscripts({TOKENS.format(x='reply')}, 1) AS place FROM train)
+  WHERE word NOT IN ({STOP}) GROUP BY word ORDER BY uses DESC, min((ts, pair_id, place)) LIMIT 50""", SPLIT)
 add("top_emoji", f"""SELECT emoji, count(*) AS uses FROM (
-  SELECT ts, pair_id, unnest(regexp_extract_all(r, '{EMOJI}')) AS emoji, generate_subscripts(regexp_extract_all(r, '{EMOJI}'), 1) AS at
+  SELECT ts, pair_id, unnest(regexp_extract_all(r, '{EMOJI}')) AS emoji, generate_subscripts(regexp_extract_all(r, '{EMOJI}'), 1) AS place
   FROM (SELECT ts, pair_id, {sm.pick_sql(sm.EMOJI, '(ts // 100)', 5, quote(''))} || reply AS r FROM train))
-  GROUP BY emoji ORDER BY uses DESC, min((ts, pair_id, at)) LIMIT 10""", SPLIT)
+  GROUP BY emoji ORDER BY uses DESC, min((ts, pair_id, place)) LIMIT 10""", SPLIT)
 
 SUMMARY = """
 chat_rows AS (
@@ -526,12 +526,12 @@ add("reply_parts", """SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEG
     f"s AS (SELECT doc_id, {LINES} AS l FROM documents)")
 BULLETS = f"list_filter(list_transform(string_split(sheet, chr(10)), lambda l: {strip('l')}), lambda l: regexp_matches(l, '^[-•*]'))"
 BODIES = f"list_transform({BULLETS}, lambda l: {strip(chr(114) + 'egexp_replace(l, ' + quote('^[-•*]+') + ', ' + quote('') + ')')})"
-add("parse_fact_lines", f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS INTEGER) AS place, fact FROM f
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY at) <= 15""",
+add("parse_fact_lines", f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY spot) - 1 AS INTEGER) AS place, fact FROM f
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY spot) <= 15""",
     f"""s AS (SELECT doc_id, {sm.pick_sql(sm.FACT_SHEETS, 'doc_id', 8, quote('- '))} || chr(10) || '- ' || text AS sheet FROM documents),
-b AS (SELECT doc_id, unnest({BODIES}) AS body, generate_subscripts({BODIES}, 1) AS at FROM s),
-k AS (SELECT doc_id, at, substr(body, 1, 160) AS fact FROM b WHERE body <> '' AND NOT regexp_matches(lower(body), '^(?:пока ничего|\\(пока ничего|нет фактов)')),
-f AS (SELECT doc_id, at, fact FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, lower(fact) ORDER BY at) = 1)""")
+b AS (SELECT doc_id, unnest({BODIES}) AS body, generate_subscripts({BODIES}, 1) AS spot FROM s),
+k AS (SELECT doc_id, spot, substr(body, 1, 160) AS fact FROM b WHERE body <> '' AND NOT regexp_matches(lower(body), '^(?:пока ничего|\\(пока ничего|нет фактов)')),
+f AS (SELECT doc_id, spot, fact FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, lower(fact) ORDER BY spot) = 1)""")
 
 add("knn_join", "SELECT query_id, rank, pair_id, distance FROM nn", VECTORS, neighbours("nn", "pair_id <> query_id", 8))
 add("knn_join_asof", "SELECT query_id, rank, pair_id, distance FROM nn", VECTORS, neighbours("nn", "ts < query_id AND q_chat = v_chat", 8))
@@ -636,10 +636,10 @@ add("followup_due", f"""SELECT chat_id, message_id, ts, CASE
     WHEN EXISTS (SELECT 1 FROM live o WHERE o.chat_id=r.chat_id AND o.origin<>'partner' AND o.ts > r.ts AND o.ts <= r.ts+1200) THEN 'later_outgoing_message'
     WHEN EXISTS (SELECT 1 FROM live o WHERE o.chat_id=r.chat_id AND o.origin='partner' AND o.ts > r.ts AND o.ts <= r.ts+1200) THEN 'partner_spoke_last'
     WHEN {fraction("'initiative:' || chat_id || ':' || ts")} >= 0.5 THEN 'rolled_no' ELSE 'ok' END AS outcome FROM live r WHERE origin='bot'""", LIVE)
-add("opener_plan", f"""SELECT chat_id, strftime(day, '%Y-%m-%d') AS day, at, CASE WHEN at IS NULL THEN 'no_opener_today'
-    WHEN at - (SELECT max(ts) FROM live l WHERE l.chat_id = d.chat_id AND l.ts <= at) < 900 THEN 'not_silent' ELSE 'ok' END AS outcome FROM (
+add("opener_plan", f"""SELECT chat_id, strftime(day, '%Y-%m-%d') AS day, moment AS "at", CASE WHEN moment IS NULL THEN 'no_opener_today'
+    WHEN moment - (SELECT max(ts) FROM live l WHERE l.chat_id = d.chat_id AND l.ts <= moment) < 900 THEN 'not_silent' ELSE 'ok' END AS outcome FROM (
   SELECT chat_id, day, CASE WHEN {fraction("'initiative:roll:' || chat_id || ':' || strftime(day, '%Y-%m-%d')")} < 0.6 THEN CAST(epoch(day) AS BIGINT) - 10800 + 36000 +
-    CAST(floor({fraction("'initiative:time:' || chat_id || ':' || strftime(day, '%Y-%m-%d')")} * 14400) AS BIGINT) END AS at FROM (
+    CAST(floor({fraction("'initiative:time:' || chat_id || ':' || strftime(day, '%Y-%m-%d')")} * 14400) AS BIGINT) END AS moment FROM (
     SELECT chat_id, unnest(generate_series(a, b, INTERVAL 1 DAY)) AS day FROM (
       SELECT chat_id, date_trunc('day', make_timestamp((min(ts)+10800)*1000000)) AS a, date_trunc('day', make_timestamp((max(ts)+10800)*1000000)) AS b FROM live GROUP BY chat_id))) d""", LIVE)
 add("hourly_counts", "SELECT chat_id, ts // 3600 * 3600 AS hour_ts, count(*) AS messages FROM live GROUP BY 1, 2", LIVE)
@@ -688,3 +688,19 @@ add("local_utc_offsets", """SELECT '+' || (local - unix) AS "offset", count(*) A
 add("reply_target_audit", """SELECT count(*) AS replies, count(*) FILTER (WHERE t.kept IS NULL) AS reply_target_missing, count(*) FILTER (WHERE NOT t.kept) AS reply_target_dropped
   FROM (SELECT * FROM cls WHERE chat_id<>3 AND reason IS NULL AND reply_to IS NOT NULL) k
   LEFT JOIN (SELECT chat_id, record_id, bool_or(reason IS NULL) AS kept FROM cls WHERE chat_id<>3 AND record_id IS NOT NULL GROUP BY 1, 2) t ON t.chat_id=k.chat_id AND t.record_id=k.reply_to""", RAW)
+
+# --- streams: what is final once the watermark (ten minutes behind the newest row) has passed -----
+
+WATERMARK = "(SELECT max(ts) - 600 FROM {rows})"
+add("stream_enrich", f"""SELECT doc_id, kind, least(length(t5), 1000) AS chars FROM c5 JOIN k USING (doc_id)""",
+    cleaned().replace(documents(sm.CONTACTS, 20), documents(sm.CONTACTS + sm.PROVOKING, 40)),
+    "k AS (" + ORACLE["classify_messages"].replace(documents(sm.PROVOKING, 28), documents(sm.CONTACTS + sm.PROVOKING, 40)) + ")")
+add("stream_hourly_counts", f"""SELECT chat_id, ts // 3600 * 3600 AS bucket_ts, count(*) AS messages FROM live GROUP BY 1, 2
+  HAVING ts // 3600 * 3600 + 3600 <= {WATERMARK.format(rows='live')}""", LIVE)
+ORACLE["stream_hourly_counts"] = ORACLE["stream_hourly_counts"].replace("HAVING ts // 3600 * 3600", "HAVING min(ts) // 3600 * 3600")
+add("stream_turns", f"""SELECT chat_id, sender_id, is_me, start_ts, end_ts, CAST(n_messages AS INTEGER) AS n_messages FROM (
+  SELECT *, lead(start_ts) OVER (PARTITION BY chat_id ORDER BY turn_idx) AS next_ts FROM turns)
+  WHERE end_ts + 180 < {WATERMARK.format(rows='m')} OR next_ts <= {WATERMARK.format(rows='m')}""", TURNS)
+ORACLE["stream_gate"] = ORACLE["gate_messages"]
+ORACLE["stream_rate_limit"] = ORACLE["rate_limit"]
+ORACLE["stream_followup"] = f"SELECT * FROM ({ORACLE['followup_due']}) WHERE ts + 1200 < (SELECT CAST(floor(epoch(max(ts))) AS BIGINT) - 600 FROM events)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from convspark.operators import split as sp
 from convspark.operators import stats as st
 from convspark.operators import turns as tn
 from convspark.operators.quantiles import nearest_rank_quantiles
+from convspark.session import staging_dir
+from convspark.streaming import jobs
 from workload import adapters as ad
 from workload import samples as sm
 
@@ -496,14 +500,17 @@ def rate_limit(spark, sf):
     return live.rate_limit(rows, SMALL_BUDGET)
 
 
-@query
-def gate_messages(spark, sf):
+def _gate():
     u = F.col("user_id")
-    gate = live.fixed_gates(
+    return live.fixed_gates(
         connected=u % 97 != 0, same_connection=u % 89 != 0, private=u % 83 != 0, has_sender=u % 79 != 0,
         owner=F.col("origin") != "partner", sent_by_bot=F.col("origin") == "bot", allowed=u % 7 != 0, enabled=u % 61 != 0,
     )
-    return live.gate_messages(ad.live_events(spark, sf), gate, SMALL_BUDGET)
+
+
+@query
+def gate_messages(spark, sf):
+    return live.gate_messages(ad.live_events(spark, sf), _gate(), SMALL_BUDGET)
 
 
 def _live_turns(spark, sf):
@@ -639,3 +646,55 @@ def local_utc_offsets(spark, sf):
 @query
 def reply_target_audit(spark, sf):
     return ex.reply_target_audit(ex.classify_records(ad.raw_records(spark, sf)), ad.ME)
+
+
+# --- streams -----------------------------------------------------------------------------------
+
+
+def _stream(spark, sf, name):
+    """One given table as a stream of its file."""
+    return jobs.read_stream(spark, sf, ad.table(spark, sf, name).schema, glob=f"{name}.parquet")
+
+
+def _run(spark, df, label, mode="append"):
+    folder = f"{staging_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return jobs.run_available(df, f"{folder}/out", f"{folder}/state", mode)
+
+
+@query
+def stream_enrich(spark, sf):
+    texts = _stream(spark, sf, "documents")
+    doc = F.col("doc_id")
+    front = sm.pick(sm.CONTACTS + sm.PROVOKING, doc, 40, F.lit(""))
+    mixed = texts.select("doc_id", F.concat(front, F.lit(" "), F.col("text")).alias("text"))
+    return _run(spark, jobs.enrich(mixed), "enrich").select("doc_id", "kind", F.length("text").alias("chars"))
+
+
+@query
+def stream_hourly_counts(spark, sf):
+    rows = jobs.with_event_time(ad.as_live(_stream(spark, sf, "events")))
+    return _run(spark, jobs.bucket_counts(rows, "1 hour"), "hours")
+
+
+@query
+def stream_turns(spark, sf):
+    rows = jobs.with_event_time(ad.as_messages(_stream(spark, sf, "conversations")))
+    return _run(spark, jobs.build_turns(rows), "turns").drop("text", "own_text")
+
+
+@query
+def stream_gate(spark, sf):
+    rows = jobs.with_event_time(ad.as_live(_stream(spark, sf, "events")))
+    return _run(spark, jobs.gate_messages(rows, _gate(), SMALL_BUDGET), "gate")
+
+
+@query
+def stream_rate_limit(spark, sf):
+    rows = jobs.with_event_time(ad.as_live(_stream(spark, sf, "events")).where("origin = 'partner'"))
+    return _run(spark, jobs.rate_limit(rows, SMALL_BUDGET), "rate")
+
+
+@query
+def stream_followup(spark, sf):
+    rows = jobs.with_event_time(ad.as_live(_stream(spark, sf, "events")))
+    return _run(spark, jobs.followup_due(rows), "followup")
