@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from convspark.config import AnonymizeRules, ReplyRules
-from convspark.functions.text import has_word, strip, unicode_regex
+from convspark.functions.text import has_word, let, strip, unicode_regex
 
 # What is looked for, in the order the rules run, and what replaces it.
 URL = r"(?i)(?:(?:https?://|www\.)[^\s<>\"']+|\bt\.me/[^\s<>\"']+)"
@@ -49,7 +49,20 @@ def _replace_token_urls(text: Column) -> Column:
     between = F.split(text, pattern, -1)
     shown = F.transform(_urls(text), lambda u: F.when(_carries_token(u), F.lit(PLACEHOLDERS["token_url"])).otherwise(u))
     joined = F.array_join(F.zip_with(between, shown, lambda gap, url: F.concat(gap, F.coalesce(url, F.lit("")))), "")
-    return F.when(text.rlike(pattern), joined).otherwise(text)
+    return F.when(_may_hold(text, "token_url"), joined).otherwise(text)
+
+
+def _may_hold(text: Column, kind: str) -> Column:
+    """A plain search that rules most texts out before a pattern is tried on them."""
+    if kind == "token_url":
+        return F.contains(text, F.lit("/")) | F.contains(F.lower(text), F.lit("www."))
+    if kind in ("email", "mention"):
+        return F.contains(text, F.lit("@"))
+    return text.rlike(r"\p{Nd}{3}")
+
+
+def _replace(text: Column, kind: str, pattern: str) -> Column:
+    return F.when(_may_hold(text, kind), F.regexp_replace(text, pattern, PLACEHOLDERS[kind])).otherwise(text)
 
 
 def _steps(rules: AnonymizeRules):
@@ -69,22 +82,46 @@ def anonymize(text: Column, rules: AnonymizeRules = AnonymizeRules()) -> Column:
     """Token URLs, e-mails, mentions, cards and phones become placeholders, in that order."""
     if rules.token_urls:
         text = _replace_token_urls(text)
+
+    def rule(kind: str, pattern: str):
+        return lambda t: _replace(t, kind, pattern)
+
     for kind, pattern in _steps(rules):
-        text = F.regexp_replace(text, pattern, PLACEHOLDERS[kind])
+        text = let(text, rule(kind, pattern))
     return text
 
 
 def anonymize_counts(text: Column, rules: AnonymizeRules = AnonymizeRules()) -> Column:
-    """Struct with the number of replacements of each kind, counted on the text as it stands
-    when the rule runs."""
-    counts = {kind: F.lit(0) for kind in KINDS}
+    """Struct with the number of replacements of each kind, counted on the text as it stands when the rule runs."""
+    names = list(KINDS)
+
+    def counted(state: Column, kind: str, found: Column, changed: Column) -> Column:
+        old = [state[k] if k != kind else found.cast("bigint") for k in names]
+        return F.struct(changed.alias("text"), *[value.alias(k) for k, value in zip(names, old)])
+
+    state = F.struct(text.alias("text"), *[F.lit(0).cast("bigint").alias(k) for k in names])
     if rules.token_urls:
-        counts["token_url"] = F.size(F.filter(_urls(text), _carries_token))
-        text = _replace_token_urls(text)
+        state = let(
+            state,
+            lambda s: counted(
+                s,
+                "token_url",
+                F.when(_may_hold(s["text"], "token_url"), F.size(F.filter(_urls(s["text"]), _carries_token))).otherwise(0),
+                _replace_token_urls(s["text"]),
+            ),
+        )
+
+    def rule(kind: str, pattern: str):
+        return lambda s: counted(
+            s,
+            kind,
+            F.when(_may_hold(s["text"], kind), F.regexp_count(s["text"], F.lit(pattern))).otherwise(0),
+            _replace(s["text"], kind, pattern),
+        )
+
     for kind, pattern in _steps(rules):
-        counts[kind] = F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, PLACEHOLDERS[kind])
-    return F.struct(*[value.cast("bigint").alias(kind) for kind, value in counts.items()])
+        state = let(state, rule(kind, pattern))
+    return let(state, lambda s: F.struct(*[s[k].alias(k) for k in names]))
 
 
 def reply_drop_reason(reply: Column, rules: ReplyRules = ReplyRules()) -> Column:

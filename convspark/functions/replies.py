@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from convspark.config import MAX_PARTS
-from convspark.functions.text import count_lines, split_lines, strip, unicode_regex
+from convspark.functions.text import count_lines, let, split_lines, strip, unicode_regex
 
 # Phrases that give an assistant away (in the order they are reported), the shape
 # of a list line, the labels of a planned answer and the marks of a content refusal.
@@ -76,13 +76,18 @@ def validate(
     name: str | None = None,
 ) -> Column:
     """Struct ``(ok, text, reason, plan)``; the reason is the first rule that rejects the reply."""
-    parts = split_plan(text)
-    cleaned = clean_reply(parts["message"], name)
+    known = F.array(*[F.lit(m) for m in markers])
+    return let(
+        let(split_plan(text), lambda p: F.struct(p["plan"].alias("plan"), p["message"].alias("message"), clean_reply(p["message"], name).alias("cleaned"))),
+        lambda p: _verdict(p, max_chars, known),
+    )
+
+
+def _verdict(parts: Column, max_chars: int, markers: Column) -> Column:
+    cleaned = parts["cleaned"]
     items = list_lines(cleaned)
     lowered = F.lower(cleaned)
-    said = F.try_element_at(
-        F.filter(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(lowered, F.lower(m))), F.lit(1)
-    )
+    said = F.get(F.filter(markers, lambda m: F.contains(lowered, F.lower(m))), F.lit(0))
     reason = (
         F.when(parts["message"].isNull(), "plan_unparsed")
         .when(cleaned == "", "empty")
@@ -111,20 +116,35 @@ def is_content_refusal(error: Column) -> Column:
 
 def reply_parts(text: Column, max_parts: int = MAX_PARTS) -> Column:
     """One message per non-blank line; lines beyond the limit join the last part."""
-    lines = F.filter(F.transform(split_lines(text), strip), lambda line: line != "")
-    head = F.slice(lines, F.lit(1), F.lit(max_parts - 1))
-    tail = F.array_join(F.slice(lines, F.lit(max_parts), F.greatest(F.size(lines), F.lit(1))), "\n")
-    return F.when(F.size(lines) <= max_parts, lines).otherwise(F.concat(head, F.array(tail)))
+
+    def merge(lines: Column) -> Column:
+        tail = F.array_join(F.slice(lines, F.lit(max_parts), F.greatest(F.size(lines), F.lit(1))), "\n")
+        return F.when(F.size(lines) <= max_parts, lines).otherwise(
+            F.concat(F.slice(lines, F.lit(1), F.lit(max_parts - 1)), F.array(tail))
+        )
+
+    return let(F.filter(F.transform(split_lines(text), strip), lambda line: line != ""), merge)
 
 
 def fact_lines(text: Column, max_chars: int, limit: int) -> Column:
     """Distinct bullet lines of a fact sheet, clipped, in order, at most ``limit``."""
     stripped = F.transform(split_lines(text), strip)
-    bullets = F.filter(stripped, lambda line: line.rlike(r"\A[-•*]"))
-    bodies = F.transform(bullets, lambda line: strip(F.regexp_replace(line, r"\A[-•*]+", "")))
-    empty = r"\A(?:" + "|".join(re.escape(p) for p in NO_FACT_PREFIXES) + ")"
-    kept = F.filter(bodies, lambda body: (body != "") & ~F.lower(body).rlike(empty))
-    kept = F.transform(kept, lambda body: F.substring(body, 1, max_chars))
-    keys = F.transform(kept, F.lower)
-    first = F.filter(kept, lambda body, i: F.array_position(keys, F.lower(body)) == i + 1)
-    return F.slice(first, 1, limit)
+    bullets = F.filter(stripped, lambda line: F.substring(line, 1, 1).isin("-", "•", "*"))
+    bodies = F.transform(bullets, lambda line: strip(F.ltrim(line, F.lit("-•*"))))
+
+    def says_something(body: Column) -> Column:
+        lowered = F.lower(body)
+        empty = F.lit(False)
+        for prefix in NO_FACT_PREFIXES:
+            empty = empty | F.startswith(lowered, F.lit(prefix))
+        return (body != "") & ~empty
+
+    kept = F.transform(F.filter(bodies, says_something), lambda body: F.substring(body, 1, max_chars))
+
+    def first_of_each(facts: Column) -> Column:
+        return let(
+            F.transform(facts, F.lower),
+            lambda keys: F.filter(facts, lambda body, i: F.array_position(keys, F.get(keys, i)) == i + 1),
+        )
+
+    return F.slice(let(kept, first_of_each), 1, limit)

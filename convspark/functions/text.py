@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The character classes that define a word character, white space and an emoji.
-WORD_CLASS = r"\p{L}\p{N}_"
+WORD_CLASS = r"a-zA-Z0-9_\p{L}\p{N}"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 SPACE_CLASS = r"\s\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}]"
@@ -24,31 +30,44 @@ STOP_WORDS = (
 ).split()
 
 
+_WORD_START = re.compile(r"\\b(?=\(*(?:\?:)?(?:\w|\\d|\\w|\[[^\W_]))")
+
+
 def unicode_regex(pattern: str) -> str:
-    """Spell out ``\\w \\d \\s \\S \\b`` as Unicode classes, independent of the Java version."""
-    boundary = f"(?:(?<=[{WORD_CLASS}])(?![{WORD_CLASS}])|(?<![{WORD_CLASS}])(?=[{WORD_CLASS}]))"
+    """Spell out ``\\w \\d \\s \\S \\b`` as Unicode classes, independent of the Java version.
+
+    A ``\\b`` in front of a word character only needs to look back, one behind a word only ahead; where it is
+    not plain which side the word is on, both sides are tested."""
+    before, ahead = f"(?<![{WORD_CLASS}])", f"(?![{WORD_CLASS}])"
+    boundary = f"(?:(?<=[{WORD_CLASS}]){ahead}|{before}(?=[{WORD_CLASS}]))"
+    pattern = _WORD_START.sub(lambda _: before, pattern)
+    pattern = re.sub(r"(?<=[^\W\d_]\))\\b|(?<=[^\W\d_])\\b", lambda _: ahead, pattern)
     for short, full in (
+        (r"\b", boundary),
         (r"\w", f"[{WORD_CLASS}]"),
         (r"\d", r"\p{Nd}"),
         (r"\s", f"[{SPACE_CLASS}]"),
         (r"\S", f"[^{SPACE_CLASS}]"),
-        (r"\b", boundary),
     ):
         pattern = pattern.replace(short, full)
     return pattern
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
-    edge = f"[{SPACE_CLASS}]+"
-    return F.regexp_replace(text, rf"\A{edge}|{edge}\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def lstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{SPACE_CLASS}]+", "")
+    return F.ltrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
-    return ~has(text, rf"[^{SPACE_CLASS}]")
+    return strip(text) == ""
 
 
 def has(text: Column, pattern: str) -> Column:

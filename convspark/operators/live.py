@@ -22,6 +22,7 @@ from convspark.operators.ordered import (
     rolling_sums,
     running_total,
 )
+from convspark.session import stage
 
 ORDER = ["ts", "message_id"]
 
@@ -161,7 +162,8 @@ def gate_messages(messages: DataFrame, gate: Column, rules: LiveRules = LiveRule
     fixed = messages.withColumn("outcome", gate)
     owner_rows = F.when(F.col("outcome") == "owner_message_autopause", F.col("ts"))
     seen = last_before(fixed, ["chat_id"], "ts", ORDER, owner_rows, "__owner_ts")
-    staged = seen.withColumn(
+    # several passes follow; they read this narrow table instead of working the windows out again
+    staged = stage(seen.withColumn(
         "outcome",
         F.coalesce(
             "outcome",
@@ -169,31 +171,29 @@ def gate_messages(messages: DataFrame, gate: Column, rules: LiveRules = LiveRule
                 F.coalesce(F.length("text"), F.lit(0)) == 0, "non_text"
             ),
         ),
-    ).drop("__owner_ts")
+    ).select("chat_id", "message_id", "ts", "kind", "text", "outcome"), "gated")
     open_rows = staged.where("outcome IS NULL").select("chat_id", "message_id", "ts", "kind", "text")
     ignored = (
         provocation_gate(open_rows, rules).where("ignored").select("chat_id", "message_id", F.lit(True).alias("ignored"))
     )
-    asking = (
-        open_rows.join(ignored, ["chat_id", "message_id"], "left")
-        .where("ignored IS NULL")
+    asking = stage(
+        open_rows.join(ignored, ["chat_id", "message_id"], "left_anti")
         .select(
             "chat_id", "message_id", "ts",
             should_skip(F.col("text"), rules, F.col("chat_id"), F.col("message_id")).alias("skip"),
-        )
+        ),
+        "asking",
     )
     room = reply_room(asking.where("NOT skip").select("chat_id", "ts"), rules)
     # replies asked for earlier in the same second have used up room already; skipped messages never do
     before = Window.partitionBy("chat_id", "ts").orderBy("message_id").rowsBetween(Window.unboundedPreceding, -1)
     used = F.coalesce(F.sum((~F.col("skip")).cast("int")).over(before), F.lit(0))
     budget = asking.withColumn("used", used).join(room, ["chat_id", "ts"], "left")
-    return _finish(staged, ignored, budget, open_rows, rules)
+    return _finish(staged, budget, rules)
 
 
-def _finish(
-    staged: DataFrame, ignored: DataFrame, budget: DataFrame, open_rows: DataFrame, rules: LiveRules
-) -> DataFrame:
-    """Seconds in which only skipped messages arrive have no budget row; their room follows from the replies
+def _finish(staged: DataFrame, budget: DataFrame, rules: LiveRules) -> DataFrame:
+    """An open message that asks for nothing was a provocation too many. Seconds in which only skipped messages arrive have no budget row; their room follows from the replies
     that passed in the hour and day before."""
     passed = budget.where("NOT skip").withColumn("passed", (F.col("used") < F.col("room")).cast("int"))
     spent = rolling_sums(
@@ -223,13 +223,8 @@ def _finish(
             F.when(F.col("used") >= room, "rate_limited").when(F.col("skip"), "skipped").otherwise("pass").alias("late"),
         )
     )
-    return (
-        staged.join(ignored, ["chat_id", "message_id"], "left")
-        .join(decided, ["chat_id", "message_id"], "left")
-        .select(
-            "chat_id", "message_id", "ts",
-            F.coalesce("outcome", F.when(F.col("ignored"), "provocation_ignored"), "late").alias("outcome"),
-        )
+    return staged.join(decided, ["chat_id", "message_id"], "left").select(
+        "chat_id", "message_id", "ts", F.coalesce("outcome", "late", F.lit("provocation_ignored")).alias("outcome")
     )
 
 

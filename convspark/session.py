@@ -42,3 +42,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{staging_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that has fewer files than there are cores.
+
+    A large table has many files and is returned as it is: no shuffle is added to it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -289,9 +289,12 @@ def followup_due(messages: DataFrame, rules: InitiativeRules = InitiativeRules()
         open_replies = data.setdefault("open", [])
         for row in rows:
             ts = int(row["ts"])
-            for reply in open_replies:
-                if reply["ts"] < ts <= reply["ts"] + wait:
-                    reply["out" if row["origin"] != "partner" else "in"] = True
+            side = "out" if row["origin"] != "partner" else "in"
+            for reply in reversed(open_replies):  # they are in time order: stop at the first too old
+                if reply["ts"] + wait < ts:
+                    break
+                if reply["ts"] < ts:
+                    reply[side] = True
             if row["origin"] == "bot":
                 open_replies.append({"ts": ts, "id": int(row["message_id"])})
         left = []

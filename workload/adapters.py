@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from convspark.config import PairRules, SplitRules
 from convspark.operators import split as sp
 from convspark.operators import turns as tn
-from convspark.session import stage
+from convspark.session import spread, stage
 
 PAIR_RULES = PairRules()
 SPLIT_RULES = SplitRules(tail_fraction=0.15)
@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Long texts with costly rules per row, so that few files must not mean few tasks."""
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars"))
+
+
 def staged(build):
     """Write the result of ``build(spark, sf)`` once per session and folder."""
 
@@ -165,7 +170,7 @@ def as_live(e: DataFrame) -> DataFrame:
 
 def eval_records(spark: SparkSession, sf: str) -> DataFrame:
     """Three runs over the documents: scores, silences, errors and raw judge answers."""
-    d = table(spark, sf, "documents")
+    d = documents(spark, sf)
     doc, run = F.col("doc_id"), F.col("run")
     runs = F.explode(F.array(*[F.lit(r) for r in (1, 2, 3)])).alias("run")
 

@@ -16,7 +16,7 @@ from convspark.operators import split as sp
 from convspark.operators import stats as st
 from convspark.operators import turns as tn
 from convspark.operators.quantiles import nearest_rank_quantiles
-from convspark.session import staging_dir
+from convspark.session import stage, staging_dir
 from convspark.streaming import jobs
 from workload import adapters as ad
 from workload import samples as sm
@@ -175,8 +175,9 @@ def profile_caveats(spark, sf):
         sides.append(st.pair_stats(rows, 1500).withColumn("scope", F.lit(side)))
         years.append(st.rows_per_year(rows).withColumn("scope", F.lit(side)))
     return st.profile_caveats(
-        sides[0].unionByName(sides[1]), years[0].unionByName(years[1]), tn.pair_drops(ad.own_turns(spark, sf)),
-        sp.split_summary(split, ad.cutoffs(spark, sf)), split.where("eval_sample").agg(F.count("*").alias("rows")),
+        stage(sides[0].unionByName(sides[1]), "stats"), years[0].unionByName(years[1]), tn.pair_drops(ad.own_turns(spark, sf)),
+        stage(sp.split_summary(split, ad.cutoffs(spark, sf)), "chats"),
+        split.where("eval_sample").agg(F.count("*").alias("rows")),
     )
 
 
@@ -245,7 +246,7 @@ def sample_identity(spark, sf):
 def _documents(spark, sf, kind, every):
     doc = F.col("doc_id")
     front = sm.pick(kind, doc, every, F.lit(""))
-    return ad.table(spark, sf, "documents").select("doc_id", F.concat(front, F.lit(" "), F.col("text")).alias("text"))
+    return ad.documents(spark, sf).select("doc_id", F.concat(front, F.lit(" "), F.col("text")).alias("text"))
 
 
 @query
@@ -264,7 +265,7 @@ def anonymize_counts(spark, sf):
 def privacy_findings(spark, sf):
     doc = F.col("doc_id")
     front = sm.pick(sm.PRIVATE_LINES, doc, 25, F.lit("-"))
-    texts = ad.table(spark, sf, "documents").select("doc_id", F.concat(front, F.lit("\n"), F.col("text")).alias("text"))
+    texts = ad.documents(spark, sf).select("doc_id", F.concat(front, F.lit("\n"), F.col("text")).alias("text"))
     return privacy.finding_counts(privacy.findings(privacy.text_lines(texts, "doc_id", "text"))).withColumnRenamed(
         "path", "doc_id"
     )
@@ -281,7 +282,7 @@ def validate_replies(spark, sf):
     doc = F.col("doc_id")
     draft = sm.pick(sm.DRAFTS, doc, 20, F.substring("text", 1, 700))
     verdict = replies.validate(draft, 600, name=NAME)
-    rows = ad.table(spark, sf, "documents").select("doc_id", verdict.alias("v"))
+    rows = ad.documents(spark, sf).select("doc_id", verdict.alias("v"))
     return rows.select("doc_id", "v.ok", F.length("v.text").alias("chars"), "v.reason", "v.plan")
 
 
@@ -306,12 +307,12 @@ def text_rules(spark, sf):
 
 @query
 def clip_text(spark, sf):
-    return ad.table(spark, sf, "documents").select("doc_id", text.clip(F.col("text"), 200).alias("clipped"))
+    return ad.documents(spark, sf).select("doc_id", text.clip(F.col("text"), 200).alias("clipped"))
 
 
 @query
 def reply_parts(spark, sf):
-    rows = ad.table(spark, sf, "documents").select("doc_id", F.posexplode(replies.reply_parts(F.col("text"))).alias("part", "body"))
+    rows = ad.documents(spark, sf).select("doc_id", F.posexplode(replies.reply_parts(F.col("text"))).alias("part", "body"))
     return rows
 
 
@@ -319,7 +320,7 @@ def reply_parts(spark, sf):
 def parse_fact_lines(spark, sf):
     doc = F.col("doc_id")
     sheet = F.concat(sm.pick(sm.FACT_SHEETS, doc, 8, F.lit("- ")), F.lit("\n- "), F.col("text"))
-    rows = ad.table(spark, sf, "documents").select("doc_id", replies.fact_lines(sheet, 160, 15).alias("facts"))
+    rows = ad.documents(spark, sf).select("doc_id", replies.fact_lines(sheet, 160, 15).alias("facts"))
     return rows.select("doc_id", F.posexplode("facts").alias("place", "fact"))
 
 
@@ -385,7 +386,7 @@ def _votes(spark, sf):
         body = F.concat(F.lit('so {"winner": '), winner, F.lit(', "reason": "x"} ok'))
         return F.when((d + shift) % 13 == 0, F.lit("nothing")).otherwise(body)
 
-    return ad.table(spark, sf, "documents").select(
+    return ad.documents(spark, sf).select(
         F.concat(F.lit("1:"), d).alias("pair_id"), raw(1).alias("a_first"), raw(2).alias("b_first")
     )
 
