@@ -14,9 +14,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from convspark.functions.text import reply_key
+from convspark.session import stage
 
 TILE_VECTORS = 8192
 TILE_QUERIES = 2048
@@ -62,11 +63,15 @@ def _group_vectors(index: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def _visits(queries: DataFrame, pivots: np.ndarray, cells: pd.DataFrame, wanted: int) -> DataFrame:
-    """One row per query and group with a lower bound on the distance to the group's vectors. ``first`` marks
-    the nearest groups that together hold ``wanted`` vectors. Group statistics are one row per pivot."""
+    """Groups a query has to visit, as ``(query_id, cell)``.
+
+    Without a ``limit`` column: its nearest groups that together hold ``wanted`` vectors. With it: the other
+    groups, if their lower bound does not exceed the limit. Group statistics are one row per pivot."""
     cell = cells["cell"].to_numpy()
     low, high, size = (cells[c].to_numpy() for c in ("low", "high", "size"))
     zero_group = cell < 0
+    second_round = "limit" in queries.columns
+    slack = 10.0**-DIGITS
 
     def plan(batches):
         for rows in batches:
@@ -76,27 +81,22 @@ def _visits(queries: DataFrame, pivots: np.ndarray, cells: pd.DataFrame, wanted:
             norms = np.linalg.norm(matrix, axis=1)
             matrix = matrix / np.where(norms == 0, 1.0, norms)[:, None]
             to_pivot = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (matrix @ pivots[np.maximum(cell, 0)].T)))
-            bound = np.maximum(0.0, np.maximum(to_pivot - high, low - to_pivot))
-            bound[:, zero_group] = 0.0
-            bound[norms == 0, :] = 0.0
             order = np.argsort(to_pivot, axis=1, kind="stable")
             before = np.cumsum(size[order], axis=1) - size[order]
-            first = np.zeros_like(order, dtype=bool)
-            np.put_along_axis(first, order, before < wanted, axis=1)
-            # back to cosine distance, with room for rounding
-            cosine = bound * bound / 2.0 - 1e-9
-            q, c = np.meshgrid(np.arange(len(rows)), np.arange(len(cell)), indexing="ij")
-            yield pd.DataFrame(
-                {
-                    "query_id": rows["query_id"].to_numpy()[q.ravel()],
-                    "cell": cell[c.ravel()],
-                    "bound": cosine.ravel(),
-                    "first": first.ravel(),
-                }
-            )
-
-    schema = StructType([queries.schema["query_id"]]).add("cell", LongType()).add("bound", DoubleType()).add("first", BooleanType())
-    return queries.select("query_id", "embedding").mapInPandas(plan, schema)
+            visit = np.zeros_like(order, dtype=bool)
+            np.put_along_axis(visit, order, before < wanted, axis=1)
+            if second_round:
+                bound = np.maximum(0.0, np.maximum(to_pivot - high, low - to_pivot))
+                bound[:, zero_group] = 0.0
+                bound[norms == 0, :] = 0.0
+                # back to cosine distance, with room for rounding
+                near = bound * bound / 2.0 <= np.nan_to_num(rows["limit"].to_numpy(dtype="float64"), nan=np.inf)[:, None] + slack
+                visit = ~visit & near
+            q, c = np.nonzero(visit)
+            yield pd.DataFrame({"query_id": rows["query_id"].to_numpy()[q], "cell": cell[c]})
+
+    schema = StructType([queries.schema["query_id"]]).add("cell", LongType())
+    return queries.select("query_id", "embedding", *(["limit"] if second_round else [])).mapInPandas(plan, schema)
 
 
 def _tiles(queries: DataFrame, vectors: DataFrame, sizes: DataFrame, n: int, same_chat: bool) -> DataFrame:
@@ -181,19 +181,14 @@ def nearest(
         sizes = whole.groupBy("cell").agg(F.count("*").alias("size"))
         everyone = queries.withColumn("cell", F.lit(0).cast("bigint"))
         return _closest(_tiles(everyone, whole, sizes, max(n, 0), same_chat), n)
-    grouped = _group_vectors(index, chosen)
+    grouped = stage(_group_vectors(index, chosen), "groups")
     sizes = grouped.groupBy("cell").agg(F.count("*").alias("size"), F.min("gap").alias("low"), F.max("gap").alias("high"))
-    visits = _visits(queries, chosen, sizes.toPandas(), 4 * n)
+    cells = sizes.toPandas()
     size_table = sizes.select("cell", "size")
-    near = queries.join(visits.where("first").select("query_id", "cell"), "query_id")
-    found = _closest(_tiles(near, grouped, size_table, n, same_chat), n)
+    near = queries.join(_visits(queries, chosen, cells, 4 * n), "query_id")
+    found = stage(_closest(_tiles(near, grouped, size_table, n, same_chat), n), "near")
     limit = found.groupBy("query_id").agg(F.max(F.when(F.col("hit") == n, F.col("distance"))).alias("limit"))
-    rest = (
-        visits.where("NOT first")
-        .join(limit, "query_id", "left")
-        .where(F.col("limit").isNull() | (F.col("bound") <= F.col("limit") + 10.0**-DIGITS))
-        .select("query_id", "cell")
-    )
+    rest = _visits(queries.join(limit, "query_id", "left"), chosen, cells, 4 * n)
     more = _tiles(queries.join(rest, "query_id"), grouped, size_table, n, same_chat)
     return _closest(found.drop("hit").unionByName(more), n)
 

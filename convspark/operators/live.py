@@ -16,6 +16,7 @@ from convspark.config import DAY_S, HOUR_S, MEMORY_TURNS, InitiativeRules, LiveR
 from convspark.functions.guard import is_provocation
 from convspark.functions.text import clip, seeded_fraction
 from convspark.operators.ordered import (
+    fitting_width,
     last_before,
     number_islands,
     position_in_second,
@@ -70,7 +71,8 @@ def provocation_gate(messages: DataFrame, rules: LiveRules = LiveRules()) -> Dat
 
 def with_pause(messages: DataFrame, rules: LiveRules = LiveRules()) -> DataFrame:
     """Add ``paused``: the owner wrote in the chat less than ``pause_s`` ago."""
-    marked = last_before(messages, ["chat_id"], "ts", ORDER, F.when(_is("owner"), F.col("ts")), "__owner_ts")
+    width = fitting_width(messages, ["chat_id"], "ts")
+    marked = last_before(messages, ["chat_id"], "ts", ORDER, F.when(_is("owner"), F.col("ts")), "__owner_ts", width)
     return marked.withColumn(
         "paused", F.coalesce(F.col("__owner_ts") + rules.pause_s > F.col("ts"), F.lit(False))
     ).drop("__owner_ts")
@@ -161,7 +163,8 @@ def gate_messages(messages: DataFrame, gate: Column, rules: LiveRules = LiveRule
     ``messages`` has ``text`` and ``kind`` (see ``guard.classify``); ``gate`` is a ``fixed_gates`` column."""
     fixed = messages.withColumn("outcome", gate)
     owner_rows = F.when(F.col("outcome") == "owner_message_autopause", F.col("ts"))
-    seen = last_before(fixed, ["chat_id"], "ts", ORDER, owner_rows, "__owner_ts")
+    width = fitting_width(messages, ["chat_id"], "ts")
+    seen = last_before(fixed, ["chat_id"], "ts", ORDER, owner_rows, "__owner_ts", width)
     # several passes follow; they read this narrow table instead of working the windows out again
     staged = stage(seen.withColumn(
         "outcome",
@@ -241,7 +244,8 @@ def human_turns(turns: DataFrame) -> DataFrame:
 
 def previous_partner_text(messages: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
     """Add ``previous``: the text of the last partner message before each message of the chat."""
-    return last_before(messages, ["chat_id"], "ts", order, F.when(~F.col("is_me"), F.col("text")), "previous")
+    width = fitting_width(messages, ["chat_id"], "ts")
+    return last_before(messages, ["chat_id"], "ts", order, F.when(~F.col("is_me"), F.col("text")), "previous", width)
 
 
 def last_activity(messages: DataFrame) -> DataFrame:

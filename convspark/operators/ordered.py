@@ -18,12 +18,26 @@ from convspark.functions.text import last_items
 
 SLICE = "__slice"
 TIME_WIDTH = 6 * 3600
+FINER_WIDTHS = (3600, 600, 60, 10, 1)
+SLICE_ROWS = 5_000_000
 
 
 def add_slice(df: DataFrame, slice_on: str, width: int) -> DataFrame:
     return df.withColumn(SLICE, F.floor(F.col(slice_on) / F.lit(width)))
 
 
+def fitting_width(df: DataFrame, keys: Sequence[str], slice_on: str, rows: int = SLICE_ROWS) -> int:
+    """The widest slice, six hours or finer, of which none holds more than ``rows`` rows (one second at the least).
+
+    This counts two columns and looks at one number per try; the first try nearly always fits."""
+    for width in (TIME_WIDTH, *FINER_WIDTHS[:-1]):
+        sizes = add_slice(df.select(*keys, slice_on), slice_on, width).groupBy(*keys, SLICE).agg(F.count("*").alias("n"))
+        largest = sizes.agg(F.max("n")).first()[0]
+        if largest is None or largest <= rows:
+            return width
+    return FINER_WIDTHS[-1]
+
+
 def _names(*groups: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(name for group in groups for name in group))
 
@@ -75,30 +89,41 @@ def number_islands(
     )
 
 
-def running_total(
+def running_totals(
     df: DataFrame,
     keys: Sequence[str],
     slice_on: str,
     order: Sequence[str],
-    value: Column,
-    out: str,
+    values: dict[str, Column],
     width: int = TIME_WIDTH,
 ) -> DataFrame:
-    """Total of an integer ``value`` from the first row of the key up to and with this row."""
+    """Totals of integer ``values`` from the first row of the key up to and with this row, one column per name."""
     part = [*keys, SLICE]
     across = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sliced = add_slice(df, slice_on, width).withColumn("__value", value)
-    sums = sliced.groupBy(*part).agg(F.sum("__value").alias("__sum"))
-    base = sums.select(*part, F.coalesce(F.sum("__sum").over(across), F.lit(0)).alias("__base"))
-    return (
-        sliced.withColumn("__run", F.sum("__value").over(inside))
-        .join(base, part)
-        .withColumn(out, (F.col("__base") + F.col("__run")).cast("bigint"))
-        .drop("__value", "__run", "__base", SLICE)
+    sliced = add_slice(df, slice_on, width).withColumns({f"__v_{n}": v.cast("bigint") for n, v in values.items()})
+    sums = sliced.groupBy(*part).agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in values])
+    base = sums.select(
+        *part, *[F.coalesce(F.sum(f"__s_{n}").over(across), F.lit(0)).alias(f"__b_{n}") for n in values]
+    )
+    runs = sliced.withColumns({f"__r_{n}": F.sum(f"__v_{n}").over(inside) for n in values})
+    return runs.join(base, part).select(
+        *df.columns, *[(F.col(f"__b_{n}") + F.col(f"__r_{n}")).alias(n) for n in values]
     )
 
 
+def running_total(
+    df: DataFrame,
+    keys: Sequence[str],
+    slice_on: str,
+    order: Sequence[str],
+    value: Column,
+    out: str,
+    width: int = TIME_WIDTH,
+) -> DataFrame:
+    return running_totals(df, keys, slice_on, order, {out: value}, width)
+
+
 def with_previous(
     df: DataFrame,
     keys: Sequence[str],
@@ -176,30 +201,34 @@ def rolling_sums(
 ) -> DataFrame:
     """One row per key and second: the sum of each value over the seconds ``[ts + first, ts + last]``.
 
-    ``sums`` maps a name to ``(value, first, last)``. Rows are added up per second first. A second is needed by
-    its own slice and by a neighbour in each direction a frame looks, so a slice never holds more than three
-    spans of seconds, however many rows a key has."""
-    width = max(max(abs(first), abs(last)) for _, first, last in sums.values()) + 1
+    ``sums`` maps a name to ``(value, first, last)``. Rows are added up per second first. A value then enters the
+    running total of its key when the frame of a second first reaches it and leaves when it no longer does, so the
+    work grows with the seconds and not with the length of the frames."""
     names = list(sums)
-    seconds = df.groupBy(*keys, ts).agg(*[F.sum(sums[n][0]).alias(f"__{n}") for n in names])
-    reached = [0]
-    if any(first < 0 for _, first, _ in sums.values()):
-        reached.append(1)
-    if any(last > 0 for _, _, last in sums.values()):
-        reached.append(-1)
-    copies = seconds.withColumn("__own", F.floor(F.col(ts) / F.lit(width))).withColumn(
-        SLICE, F.explode(F.array(*[F.col("__own") + step for step in reached]))
+    seconds = df.groupBy(*keys, ts).agg(*[F.sum(sums[n][0]).cast("bigint").alias(f"__{n}") for n in names])
+
+    def change(at: Column, name: str | None, value: Column | None) -> Column:
+        deltas = [(value if n == name else F.lit(0)).cast("bigint").alias(n) for n in names]
+        return F.struct(at.alias("__at"), F.lit(name is None).alias("__asks"), *deltas)
+
+    second = F.col(ts)
+    changes = [change(second, None, None)]
+    for n in names:
+        _, first, last = sums[n]
+        changes.append(change(second - last, n, F.col(f"__{n}")))
+        changes.append(change(second - first + 1, n, -F.col(f"__{n}")))
+    moves = F.filter(
+        F.array(*changes), lambda c: c["__asks"] | F.exists(F.array(*[c[n] for n in names]), lambda v: v != 0)
     )
-    frame = Window.partitionBy(*keys, SLICE).orderBy(ts)
-    totals = [
-        F.coalesce(F.sum(f"__{n}").over(frame.rangeBetween(sums[n][1], sums[n][2])), F.lit(0)).cast("bigint").alias(n)
-        for n in names
-    ]
-    return (
-        copies.select(*keys, ts, "__own", SLICE, *totals)
-        .where(F.col(SLICE) == F.col("__own"))
-        .drop("__own", SLICE)
+    timeline = seconds.select(*keys, F.inline(moves))
+    totals = running_totals(
+        timeline.select(*keys, "__at", "__asks", *[F.col(n).alias(f"__d_{n}") for n in names]),
+        keys,
+        "__at",
+        ["__at", "__asks"],
+        {n: F.col(f"__d_{n}") for n in names},
     )
+    return totals.where("__asks").select(*keys, F.col("__at").alias(ts), *names)
 
 
 def position_in_second(keys: Sequence[str], ts: str, order: Sequence[str]) -> Column:

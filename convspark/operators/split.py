@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from convspark.config import DAY_S, SplitRules
 from convspark.functions.text import iso_utc, period_of
+from convspark.operators.lookup import lookup_join
 from convspark.operators.ordered import running_total
+from convspark.session import stage
 
 
 def chat_cutoffs(pairs: DataFrame, rules: SplitRules = SplitRules()) -> DataFrame:
@@ -49,10 +51,10 @@ def chat_cutoffs(pairs: DataFrame, rules: SplitRules = SplitRules()) -> DataFram
 
 def time_split(pairs: DataFrame, rules: SplitRules = SplitRules(), cutoffs: DataFrame | None = None) -> DataFrame:
     """Add ``split``: ``holdout`` from the chat's cutoff on (ties included), else ``train``."""
-    cutoffs = chat_cutoffs(pairs, rules) if cutoffs is None else cutoffs
+    cutoffs = stage(chat_cutoffs(pairs, rules), "cutoffs") if cutoffs is None else cutoffs
     held = F.coalesce(F.col("ts") >= F.col("cutoff"), F.lit(False))
     return (
-        pairs.join(cutoffs.select("chat_id", "cutoff"), "chat_id")
+        lookup_join(pairs, cutoffs.select("chat_id", "cutoff"), "chat_id", ["pair_id"])
         .withColumn("split", F.when(held, "holdout").otherwise("train"))
         .drop("cutoff")
     )
@@ -102,7 +104,8 @@ def stratified_sample(df: DataFrame, stratum: Column, id_col: str, total: int, s
         .where(F.col("__pos") <= F.col("allocation"))
         .select(id_col)
     )
-    return df.join(chosen, id_col, "left_semi")
+    # at most `total` ids
+    return df.join(F.broadcast(chosen), id_col, "left_semi")
 
 
 def eval_stratum(granularity: str = "month") -> Column:
@@ -121,7 +124,7 @@ def flag_eval_sample(split: DataFrame, rules: SplitRules = SplitRules()) -> Data
     ).select("pair_id", F.lit(True).alias("__chosen"))
     return (
         split.drop("eval_sample")
-        .join(chosen, "pair_id", "left")
+        .join(F.broadcast(chosen), "pair_id", "left")  # at most eval_sample_size rows
         .withColumn("eval_sample", F.coalesce("__chosen", F.lit(False)) & (F.col("split") == "holdout"))
         .drop("__chosen")
     )
@@ -171,9 +174,9 @@ def leakage_violations(train: DataFrame, holdout: DataFrame) -> DataFrame:
     shared = holdout.join(train.select("pair_id").distinct(), "pair_id", "left_semi").select(
         "pair_id", F.lit("id_in_both").alias("violation")
     )
-    latest = train.groupBy("chat_id").agg(F.max("ts").alias("latest"))
+    latest = stage(train.groupBy("chat_id").agg(F.max("ts").alias("latest")), "latest_train")
     early = (
-        holdout.join(latest, "chat_id").where(F.col("ts") <= F.col("latest")).select("pair_id", F.lit("not_later").alias("violation"))
+        lookup_join(holdout, latest, "chat_id", ["pair_id"]).where(F.col("ts") <= F.col("latest")).select("pair_id", F.lit("not_later").alias("violation"))
     )
     return shared.unionByName(early)
 

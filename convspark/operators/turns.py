@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 from convspark.config import PairRules
 from convspark.functions.cleaning import reply_drop_reason
 from convspark.functions.text import is_blank, period_of
-from convspark.operators.ordered import TIME_WIDTH, number_islands, with_previous
+from convspark.operators.ordered import TIME_WIDTH, fitting_width, number_islands, with_previous
 
 TURN_ORDER = ["start_ts", "turn_idx"]
 
 
-def build_turns(messages: DataFrame, merge_window_s: int = 180, width: int = TIME_WIDTH) -> DataFrame:
+def build_turns(messages: DataFrame, merge_window_s: int = 180, width: int | None = None) -> DataFrame:
     """Merge each run of messages of one sender whose gaps are at most ``merge_window_s``.
 
-    The window is measured from the previous message, so a long run of quick messages is one turn."""
+    The window is measured from the previous message, so a long run of quick messages is one turn. Chats are
+    worked on in slices of ``width`` seconds, by default as wide as the busiest one allows."""
+    width = width or fitting_width(messages, ["chat_id"], "ts")
     numbered = number_islands(
         messages,
         keys=["chat_id"],
@@ -70,8 +72,9 @@ def conversation_counts(turns: DataFrame, max_age_s: int = 7200) -> DataFrame:
     )
 
 
-def judge_own_turns(turns: DataFrame, rules: PairRules = PairRules(), width: int = TIME_WIDTH) -> DataFrame:
+def judge_own_turns(turns: DataFrame, rules: PairRules = PairRules(), width: int | None = None) -> DataFrame:
     """Every own turn with its context, reply and ``drop_reason`` (null: the turn becomes a pair)."""
+    width = width or fitting_width(turns, ["chat_id"], "start_ts")
     numbered = number_conversations(turns, rules.max_age_s, width)
     seen = with_previous(
         numbered,
