@@ -173,6 +173,8 @@ def nearest(
     ``queries``: ``query_id, embedding`` and optionally ``ts_before`` (only earlier vectors), ``chat_id`` (with
     ``same_chat``) and ``exclude`` (ids). ``index``: ``pair_id, embedding, ts, chat_id`` and payload columns.
     Distances are rounded to six digits before ranking, so equal vectors rank by id."""
+    # queries are often cut from the index; renaming keeps the two sides apart
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])
     total = index.count()
     count = min(MAX_PIVOTS, total // TILE_VECTORS) if pivots is None else pivots
     chosen = _pivots(index, count) if n > 0 and count > 1 else np.empty((0, 0))

@@ -45,8 +45,8 @@ def shape_findings(lines: DataFrame) -> DataFrame:
 
 def _term_holds(content: Column, term: Column, rule: Column) -> Column:
     """``literal`` as it stands, ``nocase`` in any case, ``number`` not inside a longer run of digits."""
-    number = F.contains(content, term) & content.rlike(
-        F.concat(F.lit(r"(?<!\p{Nd})"), term, F.lit(r"(?!\p{Nd})"))
+    number = F.contains(content, term) & F.rlike(
+        content, F.concat(F.lit(r"(?<!\p{Nd})"), term, F.lit(r"(?!\p{Nd})"))
     )
     return (
         F.when(rule == "number", number)

@@ -60,18 +60,21 @@ def read_chats(spark: SparkSession, path: str) -> DataFrame:
     )
     doc = files.select("path", F.try_parse_json("value").alias("doc"))
     top = F.col("doc")
-    parsed = F.when(top.isNull(), F.raise_error(F.concat(F.col("path"), F.lit(": not valid JSON"))).cast("string"))
-    shaped = F.when(~_is_object(top), F.raise_error(F.concat(F.col("path"), F.lit(": top level is not an object"))).cast("string"))
     single = _is_array(_at(top, "$.messages"))
     many = _is_array(_at(top, "$.chats.list"))
-    unknown = F.raise_error(F.concat(F.col("path"), F.lit(": neither 'messages' nor 'chats.list'"))).cast("array<variant>")
+
+    def stop(message: str) -> Column:
+        return F.raise_error(F.concat(F.col("path"), F.lit(f": {message}"))).cast("array<variant>")
+
     left = F.when(_is_array(_at(top, "$.left_chats.list")), F.variant_get(top, "$.left_chats.list", "array<variant>"))
     chats = (
-        F.when(single, F.array(top))
+        F.when(top.isNull(), stop("not valid JSON"))
+        .when(~_is_object(top), stop("top level is not an object"))
+        .when(single, F.array(top))
         .when(many, F.concat(F.variant_get(top, "$.chats.list", "array<variant>"), F.coalesce(left, F.array().cast("array<variant>"))))
-        .otherwise(unknown)
+        .otherwise(stop("neither 'messages' nor 'chats.list'"))
     )
-    listed = doc.select(F.coalesce(parsed, shaped, F.col("path")).alias("path"), F.posexplode(chats).alias("chat_pos", "chat"))
+    listed = doc.select("path", F.posexplode(chats).alias("chat_pos", "chat"))
     chat = F.col("chat")
     number = F.trim(_integer_text(chat, "$.id")).try_cast("bigint")
     return listed.select(
@@ -174,7 +177,9 @@ def read_chat_export(spark: SparkSession, path: str) -> DataFrame:
 
 def read_records_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """The same from JSON lines ``{"chat_id", "chat_type", "chat_pos", "pos", "record"}``; files split freely."""
-    lines = spark.read.text(path).where(F.trim("value") != "").select(F.parse_json("value").alias("v"))
+    filled = F.trim("value") != ""
+    # the condition is repeated because filters may be merged and then run in any order
+    lines = spark.read.text(path).where(filled).select(F.when(filled, F.parse_json("value")).alias("v"))
     v = F.col("v")
     return record_columns(
         lines.select(

@@ -14,7 +14,9 @@ BINARY_PROBE_BYTES = 8000
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, text)`` of the text files below ``path``; paths are filtered before contents are looked at."""
+    """``(path, text)`` of the text files below ``path``; paths are filtered before contents are looked at.
+
+    Spark's file listing leaves out names that begin with a dot or an underscore, so such files are never seen."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
