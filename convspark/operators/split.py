@@ -213,9 +213,16 @@ def accounting_checks(own_turns: DataFrame, split: DataFrame) -> DataFrame:
         F.count_if(F.col("split") == "holdout").alias("holdout"),
         F.count_if("eval_sample").alias("flagged"),
     )
-    years = split_by_year(split).agg(F.sum("train").alias("y_train"), F.sum("holdout").alias("y_holdout"))
+    years = split_by_year(split).agg(
+        F.coalesce(F.sum("train"), F.lit(0)).alias("y_train"), F.coalesce(F.sum("holdout"), F.lit(0)).alias("y_holdout")
+    )
     periods = eval_by_period(split).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("by_period"))
-    one = turns.select(F.struct("*").alias("t"), parts.select(F.struct("*")).scalar().alias("p"), years.select(F.struct("*")).scalar().alias("y"), periods.scalar().alias("by_period"))
+    one = turns.select(
+        F.struct("*").alias("t"),
+        parts.select(F.struct("*")).scalar().alias("p"),
+        years.select(F.struct("*")).scalar().alias("y"),
+        periods.scalar().alias("by_period"),
+    )
     rows = {
         "pairs + dropped = own turns": (F.col("t.kept") + F.col("t.dropped"), F.col("t.own")),
         "train + holdout = pairs": (F.col("p.train") + F.col("p.holdout"), F.col("t.kept")),

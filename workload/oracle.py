@@ -407,20 +407,20 @@ for _side in ("train", "holdout"):
         RULES.append(f"SELECT '{_n}' AS rule, '{_side}' AS scope, CAST({_c} AS DOUBLE) AS value, 0.0 AS threshold, {_c} > 0 AS breach FROM s_{_side} WHERE rows > 0")
     RULES.append(f"SELECT 'no_rows', '{_side}', CAST(rows AS DOUBLE), 0.0, rows = 0 FROM s_{_side}")
     RULES.append(f"""SELECT 'repeated_replies', '{_side}', v, 10.0, v > 10 FROM
-      (SELECT ((2000*duplicate_reply_rows + rows) // (2*rows))/10.0 AS v FROM s_{_side} WHERE rows > 0)""")
+      (SELECT ((2000*duplicate_reply_rows + rows) // nullif(2*rows, 0))/10.0 AS v FROM s_{_side} WHERE rows > 0)""")
     RULES.append(f"""SELECT 'dominant_year', '{_side}', v, 35.0, v > 35 FROM (SELECT ((2000*max(k) + CAST(sum(k) AS BIGINT)) // (2*CAST(sum(k) AS BIGINT)))/10.0 AS v FROM
       (SELECT count(*) AS k FROM split_pairs WHERE split='{_side}' GROUP BY substr(period,1,4)))""")
 for _c, _n in (("replies_with_emoji_pct", "emoji_share_shift"), ("replies_with_question_pct", "question_share_shift"),
                ("replies_le_10_chars_pct", "short_share_shift"), ("replies_multiline_pct", "multiline_share_shift")):
-    RULES.append(f"SELECT '{_n}', 'both', v, 5.0, v > 5 FROM (SELECT round(abs(a.{_c} - b.{_c}), 1) AS v FROM s_train a, s_holdout b)")
+    RULES.append(f"SELECT '{_n}', 'both', v, 5.0, v > 5 FROM (SELECT round(abs(a.{_c} - b.{_c}), 1) AS v FROM s_train a, s_holdout b WHERE a.rows > 0 AND b.rows > 0)")
 RULES.append("""SELECT 'median_shift', 'both', round(v, 1), 50.0, v > 50 FROM
-  (SELECT abs(b.reply_chars_p50 - a.reply_chars_p50)*100.0/nullif(a.reply_chars_p50, 0) AS v FROM s_train a, s_holdout b)""")
+  (SELECT abs(b.reply_chars_p50 - a.reply_chars_p50)*100.0/nullif(a.reply_chars_p50, 0) AS v FROM s_train a, s_holdout b WHERE a.rows > 0 AND b.rows > 0)""")
 RULES.append("SELECT 'long_replies_dropped', 'all', CAST(count(*) AS DOUBLE), 2000.0, count(*) > 0 FROM judged WHERE drop_reason='reply_too_long'")
 RULES.append("SELECT 'short_chat', CAST(chat_index AS VARCHAR), CAST(pairs AS DOUBLE), 20.0, too_short_for_holdout FROM chat_rows")
 RULES.append("SELECT 'small_eval_sample', 'holdout', CAST(count(*) AS DOUBLE), 80.0, count(*) < 80 FROM chosen")
 RULES.append("""SELECT 'dominant_chat', CAST(arg_max(chat_index, (pairs, -chat_index)) AS VARCHAR),
   ((2000*max(pairs) + CAST(sum(pairs) AS BIGINT)) // (2*CAST(sum(pairs) AS BIGINT)))/10.0, 70.0, count(*) > 1 AND max(pairs)*10 > sum(pairs)*7 FROM chat_rows""")
-add("profile_caveats", "SELECT rule, scope, value, threshold FROM (" + "\nUNION ALL ".join(RULES) + ") WHERE breach",
+add("profile_caveats", "SELECT rule, scope, value, CAST(threshold AS DOUBLE) AS threshold FROM (" + "\nUNION ALL ".join(RULES) + ") WHERE breach",
     SPLIT, SUMMARY, "s_train AS (" + stats_select("train", 1500) + ")",
     "held_pairs AS (SELECT * FROM split_pairs WHERE split='holdout')", "s_holdout AS (" + stats_select("held_pairs", 1500) + ")")
 
@@ -446,11 +446,11 @@ add("accounting_check", """SELECT "check", left_count, right_count, left_count =
   SELECT 'pairs + dropped = own turns' AS "check", count(drop_reason) + count(*) FILTER (WHERE drop_reason IS NULL) AS left_count, count(*) AS right_count FROM judged
   UNION ALL SELECT 'train + holdout = pairs', count(*), (SELECT count(*) FROM pairs) FROM divided
   UNION ALL SELECT 'eval by period = eval flags', (SELECT CAST(coalesce(sum(k),0) AS BIGINT) FROM (SELECT count(*) AS k FROM split_pairs WHERE eval_sample GROUP BY period)), (SELECT count(*) FROM chosen)
-  UNION ALL SELECT 'train by year = train', (SELECT CAST(sum(k) AS BIGINT) FROM (SELECT count(*) AS k FROM train GROUP BY substr(period,1,4))), (SELECT count(*) FROM train)
-  UNION ALL SELECT 'holdout by year = holdout', (SELECT CAST(sum(k) AS BIGINT) FROM (SELECT count(*) AS k FROM held GROUP BY substr(period,1,4))), (SELECT count(*) FROM held))""", SPLIT)
+  UNION ALL SELECT 'train by year = train', (SELECT CAST(coalesce(sum(k),0) AS BIGINT) FROM (SELECT count(*) AS k FROM train GROUP BY substr(period,1,4))), (SELECT count(*) FROM train)
+  UNION ALL SELECT 'holdout by year = holdout', (SELECT CAST(coalesce(sum(k),0) AS BIGINT) FROM (SELECT count(*) AS k FROM held GROUP BY substr(period,1,4))), (SELECT count(*) FROM held))""", SPLIT)
 add("dataset_version", """SELECT count(*) AS rows, substr(sha256(count(*) || ':' || sum(h)), 1, 12) AS dataset_version FROM (
   SELECT CAST(CAST('0x' || substr(sha256(CAST(to_json({'chat_id': chat_id, 'message_id': message_id, 'ts': ts, 'text': text}) AS VARCHAR)), 1, 15) AS BIGINT) AS HUGEINT) AS h FROM m)""", MESSAGES)
-add("sample_identity", "SELECT count(*) AS ids, substr(sha256(string_agg(pair_id, chr(10) ORDER BY pair_id)), 1, 12) AS identity FROM chosen", SPLIT)
+add("sample_identity", "SELECT count(*) AS ids, substr(sha256(coalesce(string_agg(pair_id, chr(10) ORDER BY pair_id), '')), 1, 12) AS identity FROM chosen", SPLIT)
 
 add("anonymize_documents", "SELECT doc_id, t5 AS text FROM c5", cleaned())
 add("anonymize_counts", f"""SELECT {count_of(TOKEN_URL, 'text')} AS token_url, {count_of(EMAIL, 't1')} AS email, {count_of(MENTION, 't2')} AS mention,
@@ -521,12 +521,12 @@ add("text_rules", f"""SELECT doc_id, length(regexp_replace(lower(text), '[^\\p{{
   strftime(make_timestamp(doc_id*1000000*1000000), '%Y') AS year FROM s""", f"s AS ({documents(sm.DRAFTS, 20)})")
 add("clip_text", "SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 199) || '…' ELSE text END AS clipped FROM documents")
 LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda l: {strip('l')}), lambda l: l <> '')"
-add("reply_parts", """SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS part, unnest(p) AS body FROM (
+add("reply_parts", """SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS BIGINT) AS part, unnest(p) AS body FROM (
   SELECT doc_id, CASE WHEN len(l) <= 5 THEN l ELSE list_concat(l[1:4], [array_to_string(l[5:], chr(10))]) END AS p FROM s)""",
     f"s AS (SELECT doc_id, {LINES} AS l FROM documents)")
 BULLETS = f"list_filter(list_transform(string_split(sheet, chr(10)), lambda l: {strip('l')}), lambda l: regexp_matches(l, '^[-•*]'))"
 BODIES = f"list_transform({BULLETS}, lambda l: {strip(chr(114) + 'egexp_replace(l, ' + quote('^[-•*]+') + ', ' + quote('') + ')')})"
-add("parse_fact_lines", f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY spot) - 1 AS INTEGER) AS place, fact FROM f
+add("parse_fact_lines", f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY spot) - 1 AS BIGINT) AS place, fact FROM f
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY spot) <= 15""",
     f"""s AS (SELECT doc_id, {sm.pick_sql(sm.FACT_SHEETS, 'doc_id', 8, quote('- '))} || chr(10) || '- ' || text AS sheet FROM documents),
 b AS (SELECT doc_id, unnest({BODIES}) AS body, generate_subscripts({BODIES}, 1) AS spot FROM s),
@@ -546,7 +546,7 @@ add("parse_duel_votes", "SELECT * FROM duels", DUELS)
 add("eval_summary", "SELECT run_id, n, judged, silent, fallbacks, errors, " + ", ".join(CRITERIA) + ", overall, latency_ms_p50 FROM summary", RECORDS, summary())
 add("eval_per_period", "SELECT run_id, period, count(*) AS n, " + ", ".join(f"{mean3(f'CAST(sum(s{i}) AS BIGINT)', 'count(*)')} AS {c}" for i, c in enumerate(CRITERIA, 1)) +
     " FROM rec WHERE judge_error IS NULL GROUP BY run_id, period", RECORDS)
-add("score_distribution", "SELECT run_id, criterion, score, count(*) FILTER (WHERE value = score AND judge_error IS NULL) AS records FROM (" +
+add("score_distribution", "SELECT run_id, criterion, CAST(score AS BIGINT) AS score, count(*) FILTER (WHERE value = score AND judge_error IS NULL) AS records FROM (" +
     " UNION ALL ".join(f"SELECT run_id, '{c}' AS criterion, s{i} AS value, judge_error FROM rec" for i, c in enumerate(CRITERIA, 1)) +
     "), (VALUES (1), (2), (3), (4), (5)) v(score) GROUP BY run_id, criterion, score", RECORDS)
 add("worst_examples", f"""SELECT run_id, pair_id, mean, rank FROM (SELECT run_id, pair_id, mean, row_number() OVER (PARTITION BY run_id ORDER BY mean, pair_id) AS rank
@@ -698,7 +698,7 @@ add("stream_enrich", f"""SELECT doc_id, kind, least(length(t5), 1000) AS chars F
 add("stream_hourly_counts", f"""SELECT chat_id, ts // 3600 * 3600 AS bucket_ts, count(*) AS messages FROM live GROUP BY 1, 2
   HAVING ts // 3600 * 3600 + 3600 <= {WATERMARK.format(rows='live')}""", LIVE)
 ORACLE["stream_hourly_counts"] = ORACLE["stream_hourly_counts"].replace("HAVING ts // 3600 * 3600", "HAVING min(ts) // 3600 * 3600")
-add("stream_turns", f"""SELECT chat_id, sender_id, is_me, start_ts, end_ts, CAST(n_messages AS INTEGER) AS n_messages FROM (
+add("stream_turns", f"""SELECT chat_id, sender_id, is_me, start_ts, end_ts, n_messages FROM (
   SELECT *, lead(start_ts) OVER (PARTITION BY chat_id ORDER BY turn_idx) AS next_ts FROM turns)
   WHERE end_ts + 180 < {WATERMARK.format(rows='m')} OR next_ts <= {WATERMARK.format(rows='m')}""", TURNS)
 ORACLE["stream_gate"] = ORACLE["gate_messages"]

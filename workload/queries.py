@@ -35,7 +35,8 @@ QUERIES: dict = {}
 def query(build):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return build(spark, sf)
+        result = build(spark, sf)
+        return result.select(*[F.col(c).cast("bigint") if t == "int" else F.col(c) for c, t in result.dtypes])
 
     run.__name__ = build.__name__
     QUERIES[build.__name__] = run
