@@ -23,7 +23,8 @@ SLICE_ROWS = 5_000_000
 
 
 def add_slice(df: DataFrame, slice_on: str, width: int) -> DataFrame:
-    return df.withColumn(SLICE, F.floor(F.col(slice_on) / F.lit(width)))
+    """Rows with their slice. Rows that have one keep it, so that operators in a row share one shuffle."""
+    return df if SLICE in df.columns else df.withColumn(SLICE, F.floor(F.col(slice_on) / F.lit(width)))
 
 
 def fitting_width(df: DataFrame, keys: Sequence[str], slice_on: str, rows: int = SLICE_ROWS) -> int:
@@ -53,7 +54,9 @@ def number_islands(
     width: int = TIME_WIDTH,
 ) -> DataFrame:
     """Number the islands of each key from 0. ``starts(previous, current)`` on structs of the ``carry``
-    columns tells whether a row opens an island; the first row of a key always does."""
+    columns tells whether a row opens an island; the first row of a key always does.
+
+    What slices carry is worked out from the few columns it needs."""
     part = [*keys, SLICE]
     inside = Window.partitionBy(*part).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(SLICE)
@@ -84,8 +87,7 @@ def number_islands(
         opened(sliced)
         .withColumn("__run", run)
         .join(base, part)
-        .withColumn(out, (F.col("__base") + F.col("__run")).cast("bigint"))
-        .drop("__opens", "__run", "__base", SLICE)
+        .select(*df.columns, (F.col("__base") + F.col("__run")).cast("bigint").alias(out))
     )
 
 
@@ -134,9 +136,12 @@ def with_previous(
     out: str,
     reach: tuple[str, int] | None = None,
     width: int = TIME_WIDTH,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Array of the up to ``n`` rows before this one (oldest first) as structs of ``fields``.
 
+    ``source`` may name a frame with the same rows that is cheaper to read than ``df`` (say, ``df`` before columns
+    were added by other operators); what slices carry is then taken from there.
     ``reach=(end_column, seconds)`` states that rows which ended longer than ``seconds`` before the current
     row are not wanted across slices, so they are not carried (the caller still filters inside a slice)."""
     part = [*keys, SLICE]
@@ -145,7 +150,8 @@ def with_previous(
     across = Window.partitionBy(*keys).orderBy(SLICE)
     item = F.struct(*fields)
     sliced = add_slice(df, slice_on, width)
-    tail = sliced.select(*_names(keys, order, fields, [SLICE], [reach[0]] if reach else []))
+    origin = sliced if source is None else add_slice(source, slice_on, width)
+    tail = origin.select(*_names(keys, order, fields, [SLICE], [reach[0]] if reach else []))
     if reach:
         tail = tail.where(F.col(reach[0]) >= (F.col(SLICE) + 1) * width - reach[1])
     tails = (
@@ -156,14 +162,13 @@ def with_previous(
         .select(*part, F.transform("__tail", lambda t: t["__item"]).alias("__tail"))
     )
     # every slice with rows takes part in the second level, also one whose own tail is empty
-    slices = sliced.select(*part).distinct().join(tails, part, "left")
+    slices = origin.select(*part).distinct().join(tails, part, "left")
     earlier = F.collect_list("__tail").over(across.rowsBetween(-n, -1))
     carried = slices.select(*part, last_items(F.flatten(earlier), n).alias("__carried"))
     return (
         sliced.withColumn("__local", F.collect_list(item).over(inside.rowsBetween(-n, -1)))
         .join(carried, part)
-        .withColumn(out, last_items(F.concat("__carried", "__local"), n))
-        .drop("__local", "__carried", SLICE)
+        .select(*df.columns, last_items(F.concat("__carried", "__local"), n).alias(out))
     )
 
 
@@ -188,8 +193,7 @@ def last_before(
     return (
         sliced.withColumn("__local", F.last("__value", ignorenulls=True).over(inside))
         .join(carried, part)
-        .withColumn(out, F.coalesce("__local", "__carried"))
-        .drop("__value", "__local", "__carried", SLICE)
+        .select(*df.columns, F.coalesce("__local", "__carried").alias(out))
     )
 
 

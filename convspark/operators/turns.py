@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from convspark.config import PairRules
 from convspark.functions.cleaning import reply_drop_reason
 from convspark.functions.text import is_blank, period_of
-from convspark.operators.ordered import TIME_WIDTH, fitting_width, number_islands, with_previous
+from convspark.operators.ordered import TIME_WIDTH, add_slice, fitting_width, number_islands, with_previous
 
 TURN_ORDER = ["start_ts", "turn_idx"]
 
@@ -75,6 +75,7 @@ def conversation_counts(turns: DataFrame, max_age_s: int = 7200) -> DataFrame:
 def judge_own_turns(turns: DataFrame, rules: PairRules = PairRules(), width: int | None = None) -> DataFrame:
     """Every own turn with its context, reply and ``drop_reason`` (null: the turn becomes a pair)."""
     width = width or fitting_width(turns, ["chat_id"], "start_ts")
+    turns = add_slice(turns, "start_ts", width)
     numbered = number_conversations(turns, rules.max_age_s, width)
     seen = with_previous(
         numbered,
@@ -86,6 +87,7 @@ def judge_own_turns(turns: DataFrame, rules: PairRules = PairRules(), width: int
         out="before",
         reach=("end_ts", rules.max_age_s),
         width=width,
+        source=turns,
     )
     own = seen.where("is_me").withColumn(
         "context", F.filter("before", lambda t: F.col("start_ts") - t["end_ts"] <= rules.max_age_s)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convspark.config import PairRules, SplitRules
+from convspark.operators import evaluation as ev
 from convspark.operators import split as sp
 from convspark.operators import turns as tn
 from convspark.session import spread, stage
@@ -200,6 +201,12 @@ def eval_records(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@staged
+def judged_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records are kept with their parsed scores; analytics read these."""
+    return ev.judged_records(eval_records(spark, sf)).drop("judge_raw")
+
+
 def eval_runs(spark: SparkSession, sf: str) -> DataFrame:
     """One row of metadata per run, derived from the records so that it follows the data."""
     r = table(spark, sf, "documents").agg(F.count("*").alias("docs"))

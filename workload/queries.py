@@ -363,12 +363,12 @@ def retrieval_leakage(spark, sf):
 
 
 def _judged(spark, sf):
-    return ev.judged_records(ad.eval_records(spark, sf))
+    return ad.judged_records(spark, sf)
 
 
 @query
 def parse_judge_scores(spark, sf):
-    return _judged(spark, sf).select("run_id", "pair_id", *CRITERIA, "judge_error")
+    return ev.judged_records(ad.eval_records(spark, sf)).select("run_id", "pair_id", *CRITERIA, "judge_error")
 
 
 @query
@@ -426,7 +426,7 @@ def compare_caveats(spark, sf):
 
 @query
 def duel_join(spark, sf):
-    both = ev.duel_pairs(ad.eval_records(spark, sf), "run1", "run3", ad.eval_runs(spark, sf))
+    both = ev.duel_pairs(ad.judged_records(spark, sf), "run1", "run3", ad.eval_runs(spark, sf))
     return both.select("pair_id", F.length("a").alias("a_chars"), F.length("b").alias("b_chars"))
 
 
