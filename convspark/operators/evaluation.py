@@ -52,6 +52,14 @@ def eval_per_period(records: DataFrame) -> DataFrame:
     return records.where("judged").groupBy("run_id", "period").agg(F.count("*").alias("n"), *_means())
 
 
+def period_means(records: DataFrame) -> DataFrame:
+    """Per run and period: the mean of the four criterion means, two decimals, and the number of records."""
+    parts = [F.round(F.col(c) * 1000).cast("bigint") for c in CRITERIA]
+    total = sum(parts[1:], parts[0])
+    mean = F.floor((total + F.lit(5 * len(CRITERIA))) / F.lit(10 * len(CRITERIA))) / F.lit(100.0)
+    return eval_per_period(records).select("run_id", "period", "n", mean.alias("mean"))
+
+
 def score_distribution(records: DataFrame) -> DataFrame:
     """Number of records per run, criterion and score 5..1, zeros included."""
     counts = [

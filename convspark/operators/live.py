@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from convspark.config import DAY_S, HOUR_S, MEMORY_TURNS, InitiativeRules, LiveRules
 from convspark.functions.guard import is_provocation
 from convspark.functions.text import clip, seeded_fraction
+from convspark.operators.lookup import lookup_join
 from convspark.operators.ordered import (
     fitting_width,
     last_before,
@@ -140,6 +141,13 @@ def should_skip(text: Column, rules: LiveRules, *ids: Column) -> Column:
     return ~F.contains(text, F.lit("?")) & (seeded_fraction(rules.skip_seed, *ids) < rules.skip_rate)
 
 
+def mark_allowed(messages: DataFrame, allowed: DataFrame, key: str = "user_id") -> DataFrame:
+    """Add ``allowed``: the sender is on the list (one column ``key``)."""
+    known = allowed.select(key).distinct().withColumn("__known", F.lit(True))
+    marked = lookup_join(messages, known, key, ["message_id"], "left")
+    return marked.withColumn("allowed", F.coalesce("__known", F.lit(False))).drop("__known")
+
+
 def fixed_gates(
     connected: Column, same_connection: Column, private: Column, has_sender: Column, owner: Column,
     sent_by_bot: Column, allowed: Column, enabled: Column,

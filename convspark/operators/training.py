@@ -56,6 +56,11 @@ def fitting(examples: DataFrame, max_tokens: int) -> DataFrame:
     return examples.where(F.col("tokens") <= max_tokens)
 
 
+def first_examples(examples: DataFrame, max_tokens: int, max_examples: int) -> DataFrame:
+    """The first fitting examples by pair id: a top-k, not a sort of them all."""
+    return fitting(examples, max_tokens).orderBy("pair_id").limit(max_examples)
+
+
 def train_manifest(examples: DataFrame, max_tokens: int = 2048) -> DataFrame:
     """One row: examples kept, dropped as too long, token quantiles."""
     counts = examples.agg(

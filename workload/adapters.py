@@ -198,6 +198,7 @@ def eval_records(spark: SparkSession, sf: str) -> DataFrame:
         F.when(doc % 37 == 0, F.lit("no json")).otherwise(raw).alias("judge_raw"),
         doc.alias("doc_id"),
         run.alias("run"),
+        "lang",
     )
 
 
@@ -233,12 +234,13 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
         (v % 4).alias("chat_id"),
         v.alias("ts"),
         F.concat(F.lit("Reply "), v % 50, F.when(v % 2 == 0, "!").otherwise("")).alias("reply"),
+        "label",
         "embedding",
     )
 
 
 def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.col("pair_id")
-    return vectors(spark, sf).where(v % 25 == 0).select(
-        v.alias("query_id"), F.col("chat_id"), F.col("ts").alias("ts_before"), "embedding"
+    """Every vector asks for its neighbours."""
+    return vectors(spark, sf).select(
+        F.col("pair_id").alias("query_id"), "chat_id", F.col("ts").alias("ts_before"), "embedding"
     )

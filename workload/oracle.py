@@ -188,7 +188,7 @@ RECORDS = """
 rec AS (
   SELECT 'run' || run AS run_id, '1:' || doc_id AS pair_id, '2024-0' || (doc_id % 6 + 1) AS period,
     CASE WHEN (doc_id + run) % 17 <> 0 THEN text END AS output, CASE WHEN (doc_id + run) % 19 = 0 THEN 'boom' END AS error,
-    CASE WHEN (doc_id * run) % 11 = 0 THEN 'hybrid' END AS fallback_from, n_chars % 2000 AS latency_ms, doc_id, run,
+    CASE WHEN (doc_id * run) % 11 = 0 THEN 'hybrid' END AS fallback_from, n_chars % 2000 AS latency_ms, doc_id, run, lang,
     CASE WHEN doc_id % 37 = 0 THEN 'no_json'
          WHEN doc_id % 13 = 0 OR doc_id % 31 = 0 THEN 'bad_score:consistency' END AS judge_error,
     (doc_id*7 + run*3 + 5) % 5 + 1 AS s1, (doc_id*7 + run*3 + 10) % 5 + 1 AS s2,
@@ -240,12 +240,12 @@ duels AS (
 
 VECTORS = """
 vec AS (
-  SELECT vec_id AS pair_id, vec_id % 4 AS chat_id, vec_id AS ts, vec_id % 50 AS reply_key,
+  SELECT vec_id AS pair_id, vec_id % 4 AS chat_id, vec_id AS ts, vec_id % 50 AS reply_key, label,
     CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 cand AS (
-  SELECT q.pair_id AS query_id, v.pair_id, v.ts, v.reply_key, q.chat_id AS q_chat, v.chat_id AS v_chat,
+  SELECT q.pair_id AS query_id, v.pair_id, v.ts, v.reply_key, q.chat_id AS q_chat, v.chat_id AS v_chat, v.label,
     round(1.0 - list_cosine_similarity(q.e, v.e), 6) AS distance
-  FROM vec q JOIN vec v ON q.pair_id % 25 = 0)"""
+  FROM vec q, vec v)"""
 
 
 def neighbours(name: str, where: str, k: int, overfetch: int = 4) -> str:
@@ -443,7 +443,7 @@ add("split_by_year", """SELECT substr(period,1,4) AS year, count(*) FILTER (WHER
   count(*) FILTER (WHERE split='holdout') AS holdout FROM divided GROUP BY 1""", SPLIT)
 add("leakage_check", """SELECT pair_id, 'id_in_both' AS violation FROM h WHERE pair_id IN (SELECT pair_id FROM t)
   UNION ALL SELECT pair_id, 'not_later' FROM h JOIN (SELECT chat_id, max(ts) AS latest FROM t GROUP BY 1) USING (chat_id) WHERE ts <= latest""",
-    OWN, "t AS (SELECT * FROM pairs WHERE ts % 3 <> 0), h AS (SELECT * FROM pairs WHERE ts % 200 <> 0)")
+    SPLIT, "t AS (SELECT * FROM split_pairs WHERE split = 'train' OR eval_sample), h AS (SELECT * FROM split_pairs WHERE split = 'holdout')")
 add("accounting_check", """SELECT "check", left_count, right_count, left_count = right_count AS balanced FROM (
   SELECT 'pairs + dropped = own turns' AS "check", count(drop_reason) + count(*) FILTER (WHERE drop_reason IS NULL) AS left_count, count(*) AS right_count FROM judged
   UNION ALL SELECT 'train + holdout = pairs', count(*), (SELECT count(*) FROM pairs) FROM divided
@@ -504,9 +504,9 @@ ITEMS = rf"len(list_filter(string_split(c, chr(10)), lambda l: regexp_matches(l,
 SAID = f"list_filter({MARKERS}, lambda x: contains(lower(c), x))"
 add("validate_replies", f"""SELECT doc_id, reason IS NULL AS ok, length(coalesce(c, '')) AS chars, reason, plan FROM (
   SELECT doc_id, plan, c, CASE WHEN message IS NULL THEN 'plan_unparsed' WHEN c = '' THEN 'empty'
-    WHEN length(c) > 600 THEN 'too_long:' || length(c) || '>600' WHEN {ITEMS} >= 3 THEN 'list_output:' || {ITEMS}
+    WHEN length(c) > 3000 THEN 'too_long:' || length(c) || '>3000' WHEN {ITEMS} >= 3 THEN 'list_output:' || {ITEMS}
     WHEN len({SAID}) > 0 THEN 'assistant_speak:' || {SAID}[1] END AS reason FROM d4)""",
-    f"""d1 AS (SELECT doc_id, {sm.pick_sql(sm.DRAFTS, 'doc_id', 20, 'substr(text, 1, 700)')} AS t FROM documents),
+    f"""d1 AS (SELECT doc_id, {sm.pick_sql(sm.DRAFTS, 'doc_id', 20, 'text')} AS t FROM documents),
 d2 AS (SELECT doc_id, t, regexp_matches(t, '(?i)^\\s*замысел\\s*:') AS planned, regexp_matches(t, '(?is)^\\s*замысел\\s*:.*\\n\\s*ответ\\s*:') AS whole FROM d1),
 d3 AS (SELECT doc_id, CASE WHEN planned AND whole THEN {strip("regexp_extract(t, '(?is)^\\s*замысел\\s*:(.*?)\\n\\s*ответ\\s*:', 1)")}
     WHEN planned THEN {strip("regexp_replace(t, '(?i)^\\s*замысел\\s*:', '')")} END AS plan,
@@ -538,10 +538,10 @@ f AS (SELECT doc_id, spot, fact FROM k QUALIFY row_number() OVER (PARTITION BY d
 add("knn_join", "SELECT query_id, rank, pair_id, distance FROM nn", VECTORS, neighbours("nn", "pair_id <> query_id", 8))
 add("knn_join_asof", "SELECT query_id, rank, pair_id, distance FROM nn", VECTORS, neighbours("nn", "ts < query_id AND q_chat = v_chat", 8))
 add("statements_anti", "SELECT query_id, pair_id, rank FROM said WHERE NOT EXISTS (SELECT 1 FROM shown s WHERE s.query_id = said.query_id AND s.pair_id = said.pair_id)",
-    VECTORS, neighbours("shown", "ts < query_id", 8), neighbours("said", "ts < query_id AND pair_id % 3 <> 0", 4))
-add("retrieval_leakage", """SELECT query_id, pair_id, CASE WHEN pair_id = query_id THEN 'target_retrieved' WHEN pair_id % 10 = 0 THEN 'holdout_retrieved'
+    VECTORS, neighbours("shown", "ts < query_id", 8), neighbours("said", "ts < query_id AND label <> 0", 4))
+add("retrieval_leakage", """SELECT query_id, pair_id, CASE WHEN pair_id = query_id THEN 'target_retrieved' WHEN label = 0 THEN 'holdout_retrieved'
   ELSE 'not_earlier' END AS violation FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, pair_id) AS hit FROM cand)
-  WHERE hit <= 5 AND (pair_id = query_id OR pair_id % 10 = 0 OR ts >= query_id)""", VECTORS)
+  WHERE hit <= 5 AND (pair_id = query_id OR label = 0 OR ts >= query_id)""", VECTORS)
 
 add("parse_judge_scores", "SELECT run_id, pair_id, " + ", ".join(f"CASE WHEN judge_error IS NULL THEN s{i} END AS {c}" for i, c in enumerate(CRITERIA, 1)) + ", judge_error FROM rec", RECORDS)
 add("parse_duel_votes", "SELECT * FROM duels", DUELS)
@@ -567,7 +567,7 @@ add("compare_caveats", """SELECT 'different_samples' AS caveat, 'all' AS scope,
   UNION ALL SELECT 'unjudged', run_id, n - judged FROM summary WHERE judged < n
   UNION ALL SELECT 'silent', run_id, silent FROM summary WHERE silent > 0
   UNION ALL SELECT 'fallbacks', run_id, fallbacks FROM summary WHERE fallbacks > 0""",
-    RECORDS, "twice AS (SELECT * FROM rec UNION ALL SELECT * FROM rec WHERE run = 2 AND doc_id % 100 = 0)", summary("twice"), RUNS)
+    RECORDS, "twice AS (SELECT * FROM rec UNION ALL SELECT * FROM rec WHERE run = 2 AND lang = 'es')", summary("twice"), RUNS)
 add("duel_join", """SELECT a.pair_id, length(a.output) AS a_chars, length(b.output) AS b_chars FROM rec a JOIN rec b USING (pair_id)
   WHERE a.run = 1 AND b.run = 3""", RECORDS)
 add("duel_summary", """SELECT n, a_wins, b_wins, ties, errors, CASE WHEN a_wins + b_wins = 0 THEN 1.0 ELSE round(least(1.0, 2*(
@@ -633,7 +633,7 @@ add("previous_partner_text", """SELECT chat_id, message_id, last_value(CASE WHEN
   PARTITION BY chat_id ORDER BY ts, message_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM m""", MESSAGES)
 add("last_activity", """SELECT chat_id, max(ts) FILTER (WHERE origin='partner') AS last_incoming_ts, max(ts) FILTER (WHERE origin<>'partner') AS last_outgoing_ts,
   max(ts) FILTER (WHERE origin='bot') AS last_bot_reply_ts, max(ts) AS last_activity_ts,
-  coalesce(max(ts + 1) FILTER (WHERE message_id%50=0) > coalesce(max(ts) FILTER (WHERE origin='partner'), 0), false) AS peer_blocked FROM live GROUP BY chat_id""", LIVE)
+  coalesce(max(ts + 1) FILTER (WHERE origin='bot') > coalesce(max(ts) FILTER (WHERE origin='partner'), 0), false) AS peer_blocked FROM live GROUP BY chat_id""", LIVE)
 add("followup_due", f"""SELECT chat_id, message_id, ts, CASE
     WHEN EXISTS (SELECT 1 FROM live o WHERE o.chat_id=r.chat_id AND o.origin<>'partner' AND o.ts > r.ts AND o.ts <= r.ts+1200) THEN 'later_outgoing_message'
     WHEN EXISTS (SELECT 1 FROM live o WHERE o.chat_id=r.chat_id AND o.origin='partner' AND o.ts > r.ts AND o.ts <= r.ts+1200) THEN 'partner_spoke_last'
@@ -668,9 +668,16 @@ add("learning_due", """SELECT chat_id, o[1] AS due_ts, o[2] AS turns FROM (SELEC
       ELSE {'last': acc.last, 'n': acc.n + x.n, 'outs': acc.outs} END,
     {'last': CAST(-21600 AS BIGINT), 'n': CAST(0 AS BIGINT), 'outs': CAST([] AS BIGINT[][])}) AS r
     FROM (SELECT chat_id, ts, count(*) AS k FROM turns WHERE NOT by_bot AND NOT flagged GROUP BY 1, 2) GROUP BY chat_id)))""", MEMORY)
-add("edit_origin", """SELECT e.chat_id, e.message_id, e.ts, EXISTS (SELECT 1 FROM s WHERE s.chat_id=e.chat_id AND s.message_id=e.message_id AND s.ts <= e.ts
-    AND (SELECT count(*) FROM s l WHERE l.chat_id=e.chat_id AND l.ts <= e.ts AND (l.ts, l.message_id) > (s.ts, s.message_id)) < 100) AS by_bot
-  FROM (SELECT chat_id, message_id, ts + message_id % 5 * 100000 AS ts FROM live WHERE message_id % 7 = 0) e""", LIVE, "s AS (SELECT * FROM live WHERE origin='bot')")
+add("edit_origin", """SELECT e.chat_id, e.message_id, e.ts, coalesce(bool_or(s.number <= e.number AND e.number - s.number < 100), false) AS by_bot
+  FROM (SELECT * FROM timeline WHERE step = 1) e LEFT JOIN (SELECT * FROM timeline WHERE step = 0) s USING (chat_id, message_id) GROUP BY 1, 2, 3""", LIVE,
+    """timeline AS (SELECT *, sum(1 - step) OVER (PARTITION BY chat_id ORDER BY ts, step, message_id ROWS UNBOUNDED PRECEDING) AS number FROM (
+    SELECT chat_id, message_id, ts, 0 AS step FROM live WHERE origin='bot'
+    UNION ALL SELECT chat_id, message_id, ts + message_id % 5 * 100000, 1 FROM live))""")
+add("allowed_messages", """SELECT chat_id, user_id IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 100) AS allowed, count(*) AS messages
+  FROM live GROUP BY 1, 2""", LIVE)
+add("period_means", "SELECT run_id, period, n, ((" + " + ".join(f"CAST(round({c}*1000) AS BIGINT)" for c in CRITERIA) + ") + 20) // 40 / 100.0 AS mean FROM pp",
+    RECORDS, "pp AS (" + ORACLE["eval_per_period"].split("\n", 1)[1][ORACLE["eval_per_period"].split("\n", 1)[1].index("SELECT run_id, period"):] + ")")
+add("first_examples", "SELECT pair_id, length(text) AS tokens FROM examples WHERE length(text) <= 1500 ORDER BY pair_id LIMIT 50", SPLIT, CHAT)
 
 add("parse_int_field", f"""SELECT event_id, CASE WHEN regexp_matches({strip('x')}, '^-?\\d+$') THEN CAST({strip('x')} AS BIGINT) END AS number FROM (
   SELECT event_id, {sm.pick_sql(sm.INTEGERS, 'event_id', 16, 'CAST(event_id AS VARCHAR)')} AS x FROM events)""")

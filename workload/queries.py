@@ -220,9 +220,9 @@ def split_by_year(spark, sf):
 
 @query
 def leakage_check(spark, sf):
-    """A split that is wrong on purpose, so that both kinds of violation occur."""
-    pairs = ad.pairs(spark, sf)
-    return sp.leakage_violations(pairs.where("ts % 3 <> 0"), pairs.where("ts % 200 <> 0"))
+    """A split that is wrong on purpose: evaluation rows are in the training part as well."""
+    split = ad.split_pairs(spark, sf)
+    return sp.leakage_violations(split.where("split = 'train' OR eval_sample"), split.where("split = 'holdout'"))
 
 
 @query
@@ -281,8 +281,8 @@ def classify_messages(spark, sf):
 @query
 def validate_replies(spark, sf):
     doc = F.col("doc_id")
-    draft = sm.pick(sm.DRAFTS, doc, 20, F.substring("text", 1, 700))
-    verdict = replies.validate(draft, 600, name=NAME)
+    draft = sm.pick(sm.DRAFTS, doc, 20, F.col("text"))
+    verdict = replies.validate(draft, 3000, name=NAME)
     rows = ad.documents(spark, sf).select("doc_id", verdict.alias("v"))
     return rows.select("doc_id", "v.ok", F.length("v.text").alias("chars"), "v.reason", "v.plan")
 
@@ -301,7 +301,7 @@ def text_rules(spark, sf):
     return _documents(spark, sf, sm.DRAFTS, 20).select(
         "doc_id", F.length(text.reply_key(t)).alias("key_chars"), F.size(text.tokens(t)).alias("tokens"),
         text.bullet_rules(t).alias("bullets"), text.dash_facts(t).alias("dashes"),
-        replies.is_content_refusal(F.concat(F.lit("Inappropriate "), F.substring(t, 1, 0), F.when(F.col("doc_id") % 3 == 0, "Content").otherwise("text"))).alias("refused"),
+        replies.is_content_refusal(F.concat(F.lit("Inappropriate "), F.when(F.col("doc_id") % 3 == 0, "Content ").otherwise("text "), t)).alias("refused"),
         F.length(text.flat(t)).alias("flat_chars"), text.period_of(F.col("doc_id") * 1000000, "year").alias("year"),
     )
 
@@ -345,7 +345,7 @@ def statements_anti(spark, sf):
     queries = ad.vector_queries(spark, sf)
     index = ad.vectors(spark, sf)
     shown = knn.knn_join(queries, index, k=8)
-    said = knn.knn_join(queries, index.where("pair_id % 3 <> 0"), k=4)
+    said = knn.knn_join(queries, index.where("label <> 0"), k=4)
     return knn.statements_not_shown(said, shown).select("query_id", "pair_id", "rank")
 
 
@@ -355,7 +355,7 @@ def retrieval_leakage(spark, sf):
     queries = ad.vector_queries(spark, sf).drop("ts_before")
     hits = knn.nearest(queries, index, 5).select("query_id", "pair_id", "ts")
     targets = queries.select("query_id", F.col("query_id").alias("target_ts"))
-    held = index.where("pair_id % 10 = 0").select("pair_id")
+    held = index.where("label = 0").select("pair_id")
     return sp.retrieval_violations(hits, targets, held)
 
 
@@ -402,6 +402,11 @@ def eval_per_period(spark, sf):
     return ev.eval_per_period(_judged(spark, sf))
 
 
+@query
+def period_means(spark, sf):
+    return ev.period_means(_judged(spark, sf))
+
+
 @query
 def score_distribution(spark, sf):
     return ev.score_distribution(_judged(spark, sf))
@@ -420,7 +425,7 @@ def compare_runs(spark, sf):
 @query
 def compare_caveats(spark, sf):
     records = _judged(spark, sf)
-    doubled = records.unionByName(records.where("run = 2 AND doc_id % 100 = 0"))
+    doubled = records.unionByName(records.where("run = 2 AND lang = 'es'"))
     return ev.compare_caveats(ad.eval_runs(spark, sf), doubled, ev.eval_summary(doubled))
 
 
@@ -452,6 +457,11 @@ def train_manifest(spark, sf):
     return training.train_manifest(_examples(spark, sf), 1500)
 
 
+@query
+def first_examples(spark, sf):
+    return training.first_examples(_examples(spark, sf), 1500, 50).select("pair_id", "tokens")
+
+
 @query
 def train_eval_split(spark, sf):
     return training.train_eval_split(ad.train(spark, sf).select("pair_id"), "pair_id", 0.1, 7)
@@ -515,6 +525,14 @@ def gate_messages(spark, sf):
     return live.gate_messages(ad.live_events(spark, sf), _gate(), SMALL_BUDGET)
 
 
+@query
+def allowed_messages(spark, sf):
+    """Partner messages of users on a list: those who ever signed up with a high value."""
+    listed = ad.table(spark, sf, "events").where("event_type = 'signup' AND value > 100").select("user_id")
+    rows = live.mark_allowed(ad.live_events(spark, sf), listed)
+    return rows.groupBy("chat_id", "allowed").agg(F.count("*").alias("messages"))
+
+
 def _live_turns(spark, sf):
     return ad.live_events(spark, sf).select(
         "chat_id", "message_id", "ts", (F.col("origin") != "partner").alias("is_me"),
@@ -543,7 +561,7 @@ def previous_partner_text(spark, sf):
 @query
 def last_activity(spark, sf):
     rows = ad.live_events(spark, sf)
-    refused = rows.where("message_id % 50 = 0").withColumn("origin", F.lit("refused")).withColumn("ts", F.col("ts") + 1)
+    refused = rows.where("origin = 'bot'").withColumn("origin", F.lit("refused")).withColumn("ts", F.col("ts") + 1)
     return live.last_activity(rows.unionByName(refused))
 
 
@@ -582,7 +600,7 @@ def learning_due(spark, sf):
 def edit_origin(spark, sf):
     rows = ad.live_events(spark, sf)
     sent = rows.where("origin = 'bot'")
-    edits = rows.where("message_id % 7 = 0").withColumn("ts", F.col("ts") + F.col("message_id") % 5 * 100000)
+    edits = rows.withColumn("ts", F.col("ts") + F.col("message_id") % 5 * 100000)
     return live.edit_origin(sent, edits, LiveRules(remembered_ids=100))
 
 
