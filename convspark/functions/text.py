@@ -120,14 +120,28 @@ def dash_facts(text: Column) -> Column:
     return count_lines(text, unicode_regex(r"^\s*-\s+\S"))
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def utc_clock(ts: Column) -> Column:
+    """Unix seconds as UTC wall-clock time, whatever the time zone of the session."""
+    return F.timestamp_add("SECOND", ts, _epoch())
+
+
+def clock_seconds(clock: Column) -> Column:
+    """The inverse of ``utc_clock``."""
+    return F.timestamp_diff("SECOND", _epoch(), clock)
+
+
 def period_of(ts: Column, granularity: str = "month") -> Column:
     if granularity == "none":
         return F.lit("all")
-    return F.date_format(F.timestamp_seconds(ts), "yyyy" if granularity == "year" else "yyyy-MM")
+    return F.date_format(utc_clock(ts), "yyyy" if granularity == "year" else "yyyy-MM")
 
 
 def iso_utc(ts: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.date_format(utc_clock(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def share_pct(part: Column, whole: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convspark.config import MAX_TS, MIN_TS, PRIVATE_CHAT_TYPES
-from convspark.functions.text import is_blank, strip, unicode_regex
+from convspark.functions.text import clock_seconds, is_blank, strip, unicode_regex
 
 # Keys that mark a record without text, in the order they are looked up.
 PAYLOAD_KEYS = {
@@ -29,6 +29,7 @@ PAYLOAD_KEYS = {
 }
 SENDER = r"\A(user|channel|chat)(-?\p{Nd}+)\z"
 ISO_DATE = r"\A\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:?\d{2})?)?\z"
+OFFSET = r":\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})\z"
 
 # A lone surrogate cannot survive JSON parsing, so the reader puts this non-character in its place.
 BROKEN_CHARACTER = "\uffff"
@@ -50,8 +51,10 @@ def parse_sender(from_id: Column) -> Column:
 
 
 def parse_local_date(value: Column) -> Column:
-    """Local date string read as UTC seconds, else null."""
-    return F.when(value.rlike(ISO_DATE), F.floor(F.try_to_timestamp(value).cast("double")).cast("bigint"))
+    """Local date string read as UTC seconds, else null. A date with an offset names an instant."""
+    local = clock_seconds(value.try_cast("timestamp_ntz"))
+    instant = F.floor(value.try_cast("timestamp").cast("double")).cast("bigint")
+    return F.when(value.rlike(ISO_DATE), F.when(value.rlike(OFFSET), instant).otherwise(local))
 
 
 def parse_timestamp(unix: Column, date: Column) -> Column:

@@ -211,9 +211,9 @@ def knn_join(
     repeat the (normalised) reply of a nearer one are left out. Gives ``rank`` 1..k."""
     hits = nearest(queries, index, k * overfetch, same_chat, pivots)
     same_reply = Window.partitionBy("query_id", reply_key(F.col("reply"))).orderBy("hit")
-    kept = hits.withColumn("__twin", F.row_number().over(same_reply)).where("__twin = 1")
+    kept = hits.withColumn("__copy", F.row_number().over(same_reply)).where("__copy = 1")
     order = Window.partitionBy("query_id").orderBy("hit")
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("hit", "__twin")
+    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("hit", "__copy")
 
 
 def statements_not_shown(statements: DataFrame, shown: DataFrame) -> DataFrame:

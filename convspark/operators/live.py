@@ -1,4 +1,4 @@
-"""Batch twins of the per-chat live state: pauses, budgets, memory, follow-ups, openers, learning.
+"""The per-chat live state in batch: pauses, budgets, memory, follow-ups, openers, learning.
 
 Input rows are live messages with ``chat_id, message_id, ts`` (seconds) and ``origin``: ``owner``, ``bot`` or
 ``partner``."""
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from convspark.config import DAY_S, HOUR_S, MEMORY_TURNS, InitiativeRules, LiveRules
 from convspark.functions.guard import is_provocation
-from convspark.functions.text import clip, seeded_fraction
+from convspark.functions.text import clip, clock_seconds, seeded_fraction, utc_clock
 from convspark.operators.lookup import lookup_join
 from convspark.operators.ordered import (
     fitting_width,
@@ -320,11 +320,11 @@ def followup_due(
 
 
 def _local_day(ts: Column, zone: str) -> Column:
-    return F.to_date(F.from_utc_timestamp(F.timestamp_seconds(ts), zone))
+    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc_clock(ts)))
 
 
 def _midnight(day: Column, zone: str) -> Column:
-    return F.unix_timestamp(F.to_utc_timestamp(day.cast("timestamp"), zone))
+    return clock_seconds(F.convert_timezone(F.lit(zone), F.lit("UTC"), day.cast("timestamp_ntz")))
 
 
 def opener_plan(messages: DataFrame, rules: InitiativeRules = InitiativeRules(), late_s: int = 0) -> DataFrame:

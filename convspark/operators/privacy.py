@@ -104,8 +104,10 @@ def blocklist_terms(lines: DataFrame, text: str = "value") -> DataFrame:
     )
 
 
-def setting_terms(lines: DataFrame, text: str = "value") -> DataFrame:
-    """``KEY=value`` lines -> secrets, ids and the persona name that must not appear."""
+def setting_terms(
+    lines: DataFrame, text: str = "value", name_key: str = "PERSONA_NAME", name_category: str = "persona-name"
+) -> DataFrame:
+    """``KEY=value`` lines -> secrets, ids and the persona name (the value of ``name_key``) that must not appear."""
     line = strip(F.col(text))
     key = F.upper(strip(F.substring_index(line, "=", 1)))
     value = F.regexp_replace(strip(F.regexp_extract(line, r"(?s)\A[^=]*=(.*)\z", 1)), r"\A['\"]+|['\"]+\z", "")
@@ -124,7 +126,7 @@ def setting_terms(lines: DataFrame, text: str = "value") -> DataFrame:
         F.explode(F.regexp_extract_all("value", F.lit(r"(\p{Nd}{5,})"), F.lit(1))).alias("term"),
         F.lit("number").alias("rule"),
     )
-    name = rows.where(~secret & (F.col("key") == "TWIN_NAME") & (F.length("value") >= MIN_TERM_CHARS)).select(
-        F.lit("twin-name").alias("category"), F.col("value").alias("term"), F.lit("nocase").alias("rule")
+    name = rows.where(~secret & (F.col("key") == name_key) & (F.length("value") >= MIN_TERM_CHARS)).select(
+        F.lit(name_category).alias("category"), F.col("value").alias("term"), F.lit("nocase").alias("rule")
     )
     return secrets.unionByName(ids).unionByName(name)

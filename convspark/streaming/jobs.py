@@ -1,4 +1,4 @@
-"""Structured Streaming twins of the live operators.
+"""Structured Streaming counterparts of the live operators.
 
 Input streams have ``chat_id, message_id, ts`` (seconds) and ``event_time`` (timestamp). Rows later than the
 watermark are dropped by Spark. State per chat is bounded: one open turn plus the rows younger than the watermark,

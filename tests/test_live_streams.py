@@ -141,7 +141,7 @@ def stream(spark, folder, schema, files=1):
     return jobs.with_event_time(jobs.read_stream(spark, f"{folder}/*", schema, files))
 
 
-def test_streams_equal_their_batch_twins(spark, table, tmp_path):
+def test_streams_equal_their_batch_counterparts(spark, table, tmp_path):
     src = str(tmp_path / "in")
     write_in_time_order(spark, events(), table.schema, src, 4)
     got = jobs.run_available(jobs.gate_messages(stream(spark, src, table.schema), gate_column(), SMALL), str(tmp_path / "g"), str(tmp_path / "gc"))

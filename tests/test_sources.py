@@ -169,10 +169,10 @@ def test_privacy(spark, tmp_path):
     (root / "a" / "bin").write_bytes(b"\x00" + body.encode())
     (root / "a" / "odd").write_bytes(b"\xff user1234567")
     blocklist = corpus.read_blocklist(spark, write(tmp_path / "block.txt", "# comment\n\nсекретное\nab\n"))
-    settings = corpus.read_setting_terms(spark, write(tmp_path / "env", "OWNER_IDS=55555,12\nAPI_TOKEN='hunter2hunter2'\nSHORT_KEY=abc\nTWIN_NAME=Радомир\n"))
+    settings = corpus.read_setting_terms(spark, write(tmp_path / "env", "OWNER_IDS=55555,12\nAPI_TOKEN='hunter2hunter2'\nSHORT_KEY=abc\nPERSONA_NAME=Мирон\n"))
     terms = blocklist.unionByName(settings).cache()
     assert {(r["category"], r["term"]) for r in terms.collect()} == {
-        ("blocklist", "секретное"), ("telegram-id-from-env", "55555"), ("secret-from-env", "hunter2hunter2"), ("twin-name", "Радомир")}
+        ("blocklist", "секретное"), ("telegram-id-from-env", "55555"), ("secret-from-env", "hunter2hunter2"), ("persona-name", "Мирон")}
     lines = corpus.read_lines(spark, str(root))
     found = privacy.findings(lines, terms).collect()
     by_line = {}
@@ -184,3 +184,23 @@ def test_privacy(spark, tmp_path):
     joined = privacy.term_findings(lines, terms, inline_limit=1).collect()
     assert sorted(map(str, joined)) == sorted(map(str, privacy.term_findings(lines, terms).collect()))
     assert privacy.term_findings(lines, terms.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_results_do_not_depend_on_the_session_zone(spark, one, zone):
+    from convspark.functions import text
+    from convspark.operators import live
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        ts = F.lit(1_709_251_199).cast("bigint")  # 2024-02-29T23:59:59Z
+        assert one(text.iso_utc(ts)) == "2024-02-29T23:59:59Z" and one(text.period_of(ts)) == "2024-02"
+        assert one(ex.parse_local_date(F.lit("2024-03-01T08:00:00"))) == T0
+        assert one(ex.parse_local_date(F.lit("2024-03-01T11:00:00+03:00"))) == T0
+        assert one(ex.parse_local_date(F.lit("2024-03-01"))) == T0 - 8 * 3600
+        assert one(ex.parse_local_date(F.lit("2024"))) is None and one(ex.parse_local_date(F.lit("2024-13-01T00:00:00"))) is None
+        day = live._local_day(F.lit(T0 + 16 * 3600).cast("bigint"), "Europe/Berlin")
+        assert str(one(day)) == "2024-03-02" and one(live._midnight(day, "Europe/Berlin")) == T0 + 15 * 3600
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

@@ -253,10 +253,10 @@ def neighbours(name: str, where: str, k: int, overfetch: int = 4) -> str:
 {name}_hits AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, pair_id) AS hit FROM cand WHERE {where}),
 {name}_kept AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id, reply_key ORDER BY hit) AS twin FROM {name}_hits WHERE hit <= {k * overfetch}),
+  SELECT *, row_number() OVER (PARTITION BY query_id, reply_key ORDER BY hit) AS copy_no FROM {name}_hits WHERE hit <= {k * overfetch}),
 {name} AS (
   SELECT * FROM (SELECT query_id, pair_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY hit) AS rank
-                 FROM {name}_kept WHERE twin = 1) WHERE rank <= {k})"""
+                 FROM {name}_kept WHERE copy_no = 1) WHERE rank <= {k})"""
 
 
 def rolled(limit_hour: int, limit_day: int) -> str:
