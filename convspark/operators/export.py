@@ -167,12 +167,14 @@ def sender_counts(messages: DataFrame) -> DataFrame:
 
 def top_senders(raw: DataFrame, n: int = 3, chat_types: Sequence[str] = PRIVATE_CHAT_TYPES) -> DataFrame:
     """Most active senders over message records of private chats, equal counts by first appearance."""
-    order = [c for c in ("chat_pos", "pos") if c in raw.columns]
+    seen = F.col("pos").cast("bigint")
+    if "chat_pos" in raw.columns:
+        seen = F.col("chat_pos").cast("bigint") * (1 << 32) + seen  # one number adds up map-side without a sort
     counts = (
         only_chat_types(raw, chat_types)
         .where((F.col("type") == "message") & F.col("from_id").isNotNull())
         .groupBy("from_id")
-        .agg(F.count("*").alias("messages"), F.min(F.struct(*order)).alias("__seen"))
+        .agg(F.count("*").alias("messages"), F.min(seen).alias("__seen"))
     )
     return counts.orderBy(F.desc("messages"), F.asc("__seen")).limit(n).drop("__seen")
 

@@ -25,6 +25,7 @@ from convspark.functions.text import (
 )
 from convspark.operators.ordered import with_previous
 from convspark.operators.quantiles import nearest_rank_quantiles, quantile_columns
+from convspark.session import stage
 
 QS = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
 EXPORT_SLICE = 100_000
@@ -194,13 +195,30 @@ def reply_style_stats(pairs: DataFrame) -> DataFrame:
 
 
 def _top(pairs: DataFrame, items: Column, name: str, n: int, order: Sequence[str], skip: Sequence[str] = ()) -> DataFrame:
-    """Most frequent items; equal counts in order of first appearance."""
-    seen = F.struct(*order, F.col("at"))
-    rows = pairs.select(*order, F.posexplode(items).alias("at", name))
-    if skip:
-        rows = rows.where(~F.col(name).isin(*skip))
-    counts = rows.groupBy(name).agg(F.count("*").alias("uses"), F.min(seen).alias("__seen"))
-    return counts.orderBy(F.desc("uses"), F.asc("__seen")).limit(n).drop("__seen")
+    """Most frequent items; equal counts in order of first appearance (``order``, then place in the text).
+
+    Counting keeps numbers only (count and first time), which is cheap to add up map-side. Where inside the first
+    second an item appears is looked up for the few items at the top alone."""
+    clock, places = order[0], F.struct(*order, F.col("at"))
+
+    def exploded(rows: DataFrame) -> DataFrame:
+        found = rows.select(*order, F.posexplode(items).alias("at", name))
+        return found.where(~F.col(name).isin(*skip)) if skip else found
+
+    counts = stage(
+        exploded(pairs).groupBy(name).agg(F.count("*").alias("uses"), F.min(clock).alias("__first")), "counts"
+    )
+    rank = F.struct((-F.col("uses")).alias("u"), F.col("__first").alias("f"))
+    last = counts.orderBy(F.desc("uses"), F.asc("__first")).limit(n).agg(F.max(rank))
+    top = counts.where(rank <= last.scalar())
+    first_rows = pairs.join(top.select(F.col("__first").alias(clock)).distinct(), clock, "left_semi")
+    seen = (
+        exploded(first_rows)
+        .join(top.select(name, F.col("__first").alias(clock)), [name, clock])
+        .groupBy(name)
+        .agg(F.min(places).alias("__seen"))
+    )
+    return top.join(seen, name).orderBy(F.desc("uses"), F.asc("__seen")).limit(n).select(name, "uses")
 
 
 def top_words(

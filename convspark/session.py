@@ -45,8 +45,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table that has fewer files than there are cores.
+    """Give every core a share of a table that is read in fewer pieces than there are cores.
 
-    A large table has many files and is returned as it is: no shuffle is added to it."""
+    A large table is read in many pieces and is returned as it is: no shuffle is added to it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -672,10 +672,10 @@ def reply_target_audit(spark, sf):
 
 
 def _stream(spark, sf, name):
-    """One given table as a stream of its files, over all cores where there are fewer files than cores."""
+    """One given table as a stream of its files, over all cores where it is read in fewer pieces than cores."""
     table, cores = ad.table(spark, sf, name), spark.sparkContext.defaultParallelism
     rows = jobs.read_stream(spark, sf, table.schema, glob=f"{name}.parquet")
-    return rows.repartition(cores) if len(table.inputFiles()) < cores else rows
+    return rows.repartition(cores) if table.rdd.getNumPartitions() < cores else rows
 
 
 def _run(spark, df, label, mode="append"):
