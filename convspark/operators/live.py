@@ -431,7 +431,8 @@ def edit_origin(sent: DataFrame, edits: DataFrame, rules: LiveRules = LiveRules(
         edits.select("chat_id", "message_id", "ts", F.lit(1).alias("step"))
     )
     counted = running_total(
-        both, ["chat_id"], "ts", ["ts", "step", "message_id"], 1 - F.col("step"), "sent_so_far"
+        both, ["chat_id"], "ts", ["ts", "step", "message_id"], 1 - F.col("step"), "sent_so_far",
+        fitting_width(both, ["chat_id"], "ts"),
     )
     mine = counted.where("step = 0").select("chat_id", "message_id", F.col("sent_so_far").alias("number"))
     known = (

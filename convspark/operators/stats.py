@@ -23,7 +23,7 @@ from convspark.functions.text import (
     tokens,
     unicode_regex,
 )
-from convspark.operators.ordered import with_previous
+from convspark.operators.ordered import fitting_width, with_previous
 from convspark.operators.quantiles import nearest_rank_quantiles, quantile_columns
 from convspark.session import stage
 
@@ -120,7 +120,8 @@ def pair_stats(pairs: DataFrame, max_reply_chars: int = 2000) -> DataFrame:
         },
         QS,
     )
-    gaps = _gaps(pairs.select("chat_id", "pair_id", "ts"), "chat_id", "ts", ["ts", "pair_id"], 86400).agg(*_gap_columns())
+    slim = pairs.select("chat_id", "pair_id", "ts")
+    gaps = _gaps(slim, "chat_id", "ts", ["ts", "pair_id"], fitting_width(slim, ["chat_id"], "ts")).agg(*_gap_columns())
     return _one_row(flags, ids, replies, lengths, gaps)
 
 

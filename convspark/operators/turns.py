@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from convspark.config import PairRules
 from convspark.functions.cleaning import reply_drop_reason
 from convspark.functions.text import is_blank, period_of
-from convspark.operators.ordered import TIME_WIDTH, add_slice, fitting_width, number_islands, with_previous
+from convspark.operators.ordered import add_slice, fitting_width, number_islands, with_previous
 
 TURN_ORDER = ["start_ts", "turn_idx"]
 
@@ -51,8 +51,9 @@ def build_turns(messages: DataFrame, merge_window_s: int = 180, width: int | Non
     )
 
 
-def number_conversations(turns: DataFrame, max_age_s: int = 7200, width: int = TIME_WIDTH) -> DataFrame:
+def number_conversations(turns: DataFrame, max_age_s: int = 7200, width: int | None = None) -> DataFrame:
     """Add ``conversation``: it grows by one when a turn starts more than ``max_age_s`` after the last ended."""
+    width = width or fitting_width(turns, ["chat_id"], "start_ts")
     return number_islands(
         turns,
         keys=["chat_id"],
