@@ -217,3 +217,17 @@ def test_memory_edits_and_enrichment_streams(spark, table, tmp_path):
 
     got = jobs.run_available(jobs.enrich(rows), str(tmp_path / "n"), str(tmp_path / "nc"))
     assert got.count() == len(events())
+
+
+def test_last_activity_stream(spark, table, tmp_path):
+    src = str(tmp_path / "in")
+    write_in_time_order(spark, events(), table.schema, src, 2)
+    running = jobs.last_activity(stream(spark, src, table.schema))
+    query = (
+        running.writeStream.format("memory").queryName("activity").outputMode("complete")
+        .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    names = ["chat_id", "last_incoming_ts", "last_outgoing_ts", "last_bot_reply_ts"]
+    got = spark.table("activity").select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, live.last_activity(table).select(*names).collect()))
