@@ -28,11 +28,6 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case, everything else as it is."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def crc_remainder(key: Column, modulus: int) -> Column:
     """crc32 of the key written as text, modulo ``modulus``; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)

@@ -172,5 +172,5 @@ def mix(docs: DataFrame, rules: Rules | None = None, columns: tuple[str, ...] =
 def mixed(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     """The mix itself: ``docs`` with each row as often as the mix takes it, in the columns it had."""
     kept = stage(docs.withColumn("__place", F.monotonically_increasing_id()), "mix-input")
-    taken = mix(kept, rules, ("__place",)).where("copies > 0").select("__place", "copies")
-    return kept.join(taken, "__place").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = mix(kept, rules, ("__place",)).where("copies > 0").select("__place", F.col("copies").alias("__copies"))
+    return kept.join(taken, "__place").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

@@ -9,10 +9,9 @@ Texts are read once; what is staged of them are spans and their context. No step
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convspark.llm.common import bind
@@ -33,8 +32,10 @@ NEEDED = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9][\x20-]?[
 #: Tokens that look like identifiers: groups of digits, or a token with a digit or an at sign.
 TOKEN = "[A-Za-z0-9@._%+-]"
 CANDIDATE = rf"(?<!{TOKEN})(?:\+?[0-9]++(?:[\x20()-]{{1,2}}[0-9]++)++|(?=[A-Za-z._%+-]*+[0-9@]){TOKEN}++)"
+#: Code points of the shortest token that is looked at as an identifier.
+SHORTEST = 5
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-SPAN = "array<struct<start:int,end:int,text:string>>"
+MATCHES = "array<struct<kind:int,at:int,gap:int,text:string,before:string,after:string>>"
 
 
 @dataclass(frozen=True)
@@ -48,21 +49,25 @@ class Rules:
     reach: int = 60
 
 
-def matches(text: Column, pattern: str, needed: str) -> Column:
-    """Spans of the matches, leftmost first: what lies between two matches and the matches themselves add up."""
-
-    def add(z: Column) -> Callable[[Column, Column], Column]:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.char_length(z["between"][i])
-            end = start + F.char_length(z["found"][i])
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), z["found"][i].alias("text")))).alias("out"))
+def matches(text: Column, kind: int, pattern: str, needed: str, reach: int) -> Column:
+    """The matches of a pattern, leftmost first, as an array of (``kind``, ``at``: number in the text, ``gap``: code points
+    since the match before, ``text``, ``before`` and ``after``: context up to ``reach`` code points)."""
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
 
-        return step
+    def described(z: Column) -> Column:
+        return F.transform(
+            z["found"],
+            lambda m, i: F.struct(
+                F.lit(kind).alias("kind"),
+                i.alias("at"),
+                F.char_length(z["between"][i]).alias("gap"),
+                m.alias("text"),
+                F.right(z["between"][i], F.lit(reach)).alias("before"),
+                F.left(z["between"][i + 1], F.lit(reach)).alias("after"),
+            ),
+        )
 
-    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    spans = bind(parts, lambda z: F.when(F.size(z["found"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(z["found"]) - 1), zero, add(z))["out"]).otherwise(F.array().cast(SPAN)))
-    return F.when(text.rlike(needed), spans).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(needed), bind(parts, described)).otherwise(F.array().cast(MATCHES))
 
 
 def _digits(value: Column) -> Column:
@@ -88,47 +93,41 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    return F.filter(matches(text, PATTERNS[kind], NEEDED[kind]), lambda s: valid(kind, s["text"]))
-
-
-def _context(text: Column, span: Column, reach: int) -> Column:
-    """Lexical patterns of a span: the two words before it, and the word on either side; numbers count alike. A pattern
-    without a word before the span is none."""
-    before = F.substring(text, F.greatest(span["start"] - reach, F.lit(0)) + 1, F.least(span["start"], F.lit(reach)))
-    after = F.substring(text, span["end"] + 1, F.lit(reach))
-    plain = F.regexp_replace(F.lower(before), "[0-9]+", "0")
+def _patterns() -> Column:
+    """Lexical patterns of a match: the two words before it, and the word on either side; numbers count alike. A match
+    without a word before it has none."""
+    plain = F.regexp_replace(F.lower("before"), "[0-9]+", "0")
     last = F.regexp_extract(plain, r"(\S+)\s*$", 1)
     last_two = F.regexp_replace(F.regexp_extract(plain, r"(\S+\s+\S+)\s*$", 1), r"\s+", " ")
-    first = F.regexp_extract(F.regexp_replace(F.lower(after), "[0-9]+", "0"), r"^\s*(\S+)", 1)
-    return F.filter(
-        F.array(F.when(last_two != "", F.concat(last_two, F.lit(" _"))), F.when(last != "", F.concat(last, F.lit(" _ "), first))), lambda p: p.isNotNull()
-    )
-
+    first = F.regexp_extract(F.regexp_replace(F.lower("after"), "[0-9]+", "0"), r"^\s*(\S+)", 1)
+    return F.array_compact(F.array(F.when(last_two != "", F.concat(last_two, F.lit(" _"))), F.when(last != "", F.concat(last, F.lit(" _ "), first))))
 
-def occurrences(docs: DataFrame, rules: Rules) -> DataFrame:
-    """Staged (``doc_id``, ``row``, ``spans``): all base spans, with their kind's number, and the other tokens that look like
-    identifiers, with the kind -1; each with its instance and its patterns."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).withColumns({kind: base_spans(F.col("text"), kind) for kind in KINDS})
-    tokens = matches(F.col("text"), CANDIDATE, "[0-9@]")
-
-    def numbered(n: int) -> Callable[[Column], Column]:
-        return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(n).alias("kind"), s["text"].alias("text"))
-
-    base = F.concat(*(F.transform(kind, numbered(n)) for n, kind in enumerate(KINDS)))
-
-    def described(t: Column, s: Column) -> Column:
-        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lower(s["text"]).alias("instance"), _context(t, s, rules.reach).alias("patterns"))
 
-    def all_spans(z: Column) -> Column:
-        free = F.filter(z["tokens"], lambda t: ~F.exists(z["base"], lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-        free = F.filter(free, lambda t: F.char_length(t["text"]) >= 5)
-        others = F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit(-1).alias("kind"), t["text"].alias("text")))
-        return F.transform(F.concat(z["base"], others), lambda s: described(z["text"], s))
+def identifiers(docs: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
+    """Staged rows (``doc_id``, ``row``), and staged spans (``row``, ``start``, ``kind``, ``end``, ``instance``, ``patterns``): all
+    base spans with their kind's number, and other tokens that look like identifiers with the kind -1.
 
-    found = bind(F.struct("text", base.alias("base"), tokens.alias("tokens")), all_spans)
-    return stage(rows.select("doc_id", F.monotonically_increasing_id().alias("row"), found.alias("spans")), "identifiers")
+    Texts are read here only. Positions are running sums over the matches of one text."""
+    text = F.coalesce("text", F.lit(""))
+    tried = [matches(text, n, PATTERNS[kind], NEEDED[kind], rules.reach) for n, kind in enumerate(KINDS)]
+    tried.append(matches(text, -1, CANDIDATE, "[0-9@]", rules.reach))
+    rows = stage(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.concat(*tried).alias("matches")), "identifiers")
+    one = rows.select("row", F.explode("matches").alias("m")).select("row", "m.*").withColumn("size", F.char_length("text"))
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "kind").orderBy("at"))
+    placed = one.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
+    good = F.when(F.col("kind") < 0, F.col("size") >= SHORTEST)
+    for n, kind in enumerate(KINDS):
+        good = good.when(F.col("kind") == n, valid(kind, F.col("text")))
+    placed = placed.where(good)
+    # a candidate must not overlap a base span: neither one that begins before it nor one that begins inside it
+    order = Window.partitionBy("row").orderBy("start", F.desc("kind"))
+    is_base = F.col("kind") >= 0
+    reached = F.max(F.when(is_base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ahead = F.min(F.when(is_base, F.col("start"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    placed = placed.withColumns({"reached": reached, "ahead": ahead})
+    free = (F.coalesce("reached", F.lit(0)) <= F.col("start")) & (F.coalesce("ahead", F.col("end")) >= F.col("end"))
+    spans = placed.where(is_base | free).select("row", "start", "kind", "end", F.lower("text").alias("instance"), _patterns().alias("patterns"))
+    return rows.select("doc_id", "row"), stage(spans, "spans")
 
 
 def score_patterns(edges: DataFrame, rules: Rules) -> DataFrame:
@@ -160,15 +159,14 @@ def score_patterns(edges: DataFrame, rules: Rules) -> DataFrame:
     return scored.where(F.col("confidence") >= rules.confidence)
 
 
-def learned_spans(found: DataFrame, rules: Rules) -> DataFrame:
-    """(``row``, ``learned``): the spans that patterns of high confidence add."""
-    one = found.select("row", F.explode("spans").alias("s")).select("row", "s.*").withColumn("pattern", F.explode("patterns"))
+def learned_spans(spans: DataFrame, rules: Rules) -> DataFrame:
+    """(``row``, ``start``, ``kind``, ``end``): the spans that patterns of high confidence add."""
+    one = spans.withColumn("pattern", F.explode("patterns"))
     edges = stage(one.select("pattern", "instance", "kind").distinct(), "pattern-edges")
     good = score_patterns(edges, rules)
     hits = one.where("kind < 0").select("row", "start", "end", "pattern").join(good, "pattern")
     best = hits.groupBy("row", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("order"))).alias("b"))
-    spans = best.select("row", F.struct("start", (-F.col("b.order")).alias("kind"), "end").alias("span"))
-    return spans.groupBy("row").agg(F.collect_list("span").alias("learned"))
+    return best.select("row", "start", (-F.col("b.order")).alias("kind"), "end")
 
 
 def find_personal_data(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
@@ -178,12 +176,17 @@ def find_personal_data(docs: DataFrame, rules: Rules | None = None) -> DataFrame
     Null texts are empty; rows with a null doc_id and repeated rows stay, each with its own spans; other columns are
     ignored; an empty table gives an empty table."""
     rules = rules or Rules()
-    found = occurrences(docs, rules)
-    learned = learned_spans(found, rules)
-    base = F.transform(F.filter("spans", lambda s: s["kind"] >= 0), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    rows = found.select("doc_id", "row", F.array_sort(base).alias("base")).join(learned, "row", "left")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return rows.select("doc_id", "base", F.array_sort(F.coalesce("learned", none)).alias("learned"))
+    rows, spans = identifiers(docs, rules)
+    found = spans.where("kind >= 0").select("row", "start", "kind", "end", F.lit(True).alias("is_base"))
+    found = found.unionByName(learned_spans(spans, rules).withColumn("is_base", F.lit(False)))
+    # the spans of one text
+    both = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "is_base"))).alias("found"))
+
+    def those(base: bool) -> Column:
+        kept = F.filter(F.coalesce("found", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,is_base:boolean>>")), lambda s: s["is_base"] == base)
+        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+
+    return rows.join(both, "row", "left").select("doc_id", those(True).alias("base"), those(False).alias("learned"))
 
 
 def spelled(spans: Column) -> Column:
@@ -205,12 +208,12 @@ def redact(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
 
     def cut(z: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
         def step(acc: Column, s: Column) -> Column:
-            piece = F.concat(F.substring(z["text"], acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), names[s["kind"]], F.lit(">"))
+            piece = F.concat(F.substring(z["text"], (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("<"), names[s["kind"]], F.lit(">"))
             return F.when(s["start"] < acc["at"], acc).otherwise(F.struct((-s["end"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out")))
 
-        return F.aggregate(z["spans"], zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(z["text"], acc["at"] + 1, F.char_length(z["text"]))))
+        return F.aggregate(z["spans"], zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(z["text"], (acc["at"] + 1).cast("int"), F.char_length(z["text"]))))
 
     return joined.select(F.col("doc_id"), bind(F.struct("text", ordered.alias("spans")), cut).alias("text"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convspark.llm.common import bind, lower_ascii, words
+from convspark.llm.common import bind, words
 from convspark.session import stage
 
 #: Character classes in the order in which they are taken out of a text; what is left is the last one, ``other``.
@@ -38,8 +38,8 @@ class Rules:
     min_words: int = 50
     repeat_percent: int = 50
     judged_words: int = 100
-    class_distance: float = 0.3
-    word_distance: float = 0.6
+    class_distance: float = 0.19
+    word_distance: float = 0.4
     common_share: float = 0.003
     language_share: float = 0.01
 
@@ -107,7 +107,7 @@ def references(docs: DataFrame, rules: Rules) -> Reference:
     """References of the languages that have enough text. What comes to the driver is bounded by the shares: at most
     1 / ``language_share`` languages with 1 / ``common_share`` words each."""
     rows = docs.where("text is not null and lang is not null").select("text", "lang")
-    each = rows.select("lang", F.explode(words(lower_ascii(F.col("text")))).alias("word"))
+    each = rows.select("lang", F.explode(words(F.lower("text"))).alias("word"))
     counts = stage(each.groupBy("lang", "word").agg(F.count("*").alias("n")), "language-words")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     whole = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
@@ -144,7 +144,7 @@ def class_distance(counts: Column, reference: list[float]) -> Column:
 def common_counts(found: Column, vocabulary: list[str]) -> Column:
     """array of (``at``: place in the vocabulary from 1, ``n``: times) of the common words among the words, lower-cased."""
     known = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
-    lowered = F.transform(F.filter(found, lambda w: F.char_length(w) <= max(map(len, vocabulary), default=0)), lower_ascii)
+    lowered = F.transform(F.filter(found, lambda w: F.char_length(w) <= max(map(len, vocabulary), default=0)), F.lower)
     common = F.array_sort(F.filter(lowered, lambda w: w.isin(vocabulary) if vocabulary else F.lit(False)))
 
     def runs(w: Column) -> Column:

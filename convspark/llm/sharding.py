@@ -107,7 +107,7 @@ def _assigned(rows: DataFrame, shards: DataFrame, tops: list[int], names: list[s
     )
     result = None
     for top in tops or [0]:
-        part = rows.withColumn("__leaf", _prefix(top)).join(entries.where(F.col("top") == top), "__leaf")
+        part = rows.withColumn("__leaf", _prefix(top)).join(entries.where(F.col("top") == top).drop("top"), "__leaf")
         part = part.select(*names, F.col("__bytes").alias("n_bytes"), "shard_id", "shard_depth", "shard_bytes")
         result = part if result is None else result.unionByName(part)
     return result

@@ -126,9 +126,9 @@ def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     chosen = found.join(one, "component").where(
         F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("text_hash") == F.col("one.text_hash"))
     )
-    keep = chosen.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))
-    keep = keep.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "copies")
+    keep = chosen.groupBy("doc_id", "text_hash").agg(F.count("*").alias("__copies"))
+    keep = keep.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__copies")
     joined = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")))
-    single = joined.where("copies = 1").select(*docs.columns)
-    again = joined.where("copies > 1").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    single = joined.where("__copies = 1").select(*docs.columns)
+    again = joined.where("__copies > 1").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
     return single.unionByName(again)
