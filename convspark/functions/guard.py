@@ -12,7 +12,7 @@ from convspark.functions.text import unicode_regex
 # Phrases that ask for a huge list, for work to be done, or for other rules.
 LIST_VERBS = r"(?:напиши|перечисли|назови|выпиши|придумай|сгенерируй|составь|выдай|накидай)"
 COUNTED_LIST = LIST_VERBS + r"\b[^.?!\n]{0,30}?\b(\d{2,}|сто|двести|тысяч\w*|тыщ\w*)\b"
-NOT_A_UNIT = r"(?!\s*(?:руб|р\b|₽|бакс|долл|евро|мин|час|сек|км|раз|%|процент))"
+UNITS = (r"руб", r"р\b", r"₽", r"бакс", r"долл", r"евро", r"мин", r"час", r"сек", r"км", r"раз", r"%", r"процент")
 LIST_OF = r"(?:список|перечень)\s+из\s+(\d{2,}|сто|тысяч\w*)"
 COUNTED_LIST_EN = r"\b(?:write|list|give me|generate|name)\b[^.?!\n]{0,20}?\b(\d{2,})\s+\w+"
 TASKS = (
@@ -47,7 +47,7 @@ class GuardPatterns:
     injections: tuple[str, ...] = INJECTIONS
     counted_lists: tuple[str, ...] = (COUNTED_LIST, LIST_OF, COUNTED_LIST_EN)
     tasks: tuple[str, ...] = TASKS
-    not_a_unit: str = NOT_A_UNIT
+    units: tuple[str, ...] = UNITS
     units_apply_to: tuple[str, ...] = (COUNTED_LIST,)
     number_words: dict[str, int] = field(default_factory=lambda: dict(NUMBER_WORDS))
     min_items: int = BULK_MIN_ITEMS
@@ -76,8 +76,8 @@ def _bulk(text: Column, patterns: GuardPatterns) -> Column:
         if pattern in patterns.units_apply_to:
             behind = F.split(text, regex, -1)
             behind = F.slice(behind, F.lit(2), F.size(numbers))
-            not_unit = unicode_regex(r"\A" + patterns.not_a_unit)
-            many = F.zip_with(many, behind, lambda enough, tail: enough & tail.rlike(not_unit))
+            unit = unicode_regex(rf"\A\s*(?:{'|'.join(patterns.units)})")
+            many = F.zip_with(many, behind, lambda enough, tail: enough & ~tail.rlike(unit))
         found = found | F.exists(many, lambda enough: enough)
     return found
 

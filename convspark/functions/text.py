@@ -21,13 +21,16 @@ PARTNER_LABEL = "Собеседник"
 
 # Function words left out of the vocabulary table.
 STOP_WORDS = (
-    "а без бы был была были было быть в вам вас весь во вот все всё всего всех вы где да даже для до "
-    "его ее её ей ему если есть еще ещё же за здесь и из или им их к как ко когда кто ли либо мне может "
-    "мой моя мою мы на над надо наш не него нее неё нет ни них но ну о об один он она они оно от по под "
-    "при про с сам свой себе себя со так также такой там тебе тебя тем то того тоже той только том тот "
-    "тут ты у уж уже хоть чего чем что чтобы чья эта эти это этого этой этом этот эту я "
-    "the a an and or of to in on is it be this that"
-).split()
+    "а", "без", "бы", "был", "была", "были", "было", "быть", "в", "вам", "вас", "весь", "во", "вот", "все", "всё",
+    "всего", "всех", "вы", "где", "да", "даже", "для", "до", "его", "ее", "её", "ей", "ему", "если", "есть", "еще",
+    "ещё", "же", "за", "здесь", "и", "из", "или", "им", "их", "к", "как", "ко", "когда", "кто", "ли", "либо", "мне",
+    "может", "мой", "моя", "мою", "мы", "на", "над", "надо", "наш", "не", "него", "нее", "неё", "нет", "ни", "них",
+    "но", "ну", "о", "об", "один", "он", "она", "они", "оно", "от", "по", "под", "при", "про", "с", "сам", "свой",
+    "себе", "себя", "со", "так", "также", "такой", "там", "тебе", "тебя", "тем", "то", "того", "тоже", "той",
+    "только", "том", "тот", "тут", "ты", "у", "уж", "уже", "хоть", "чего", "чем", "что", "чтобы", "чья", "эта", "эти",
+    "это", "этого", "этой", "этом", "этот", "эту", "я", "the", "a", "an", "and", "or", "of", "to", "in", "on", "is",
+    "it", "be", "this", "that",
+)
 
 
 _WORD_START = re.compile(r"\\b(?=\(*(?:\?:)?(?:\w|\\d|\\w|\[[^\W_]))")

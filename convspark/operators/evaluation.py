@@ -3,15 +3,38 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convspark.config import CRITERIA
 from convspark.functions.judging import with_duel_vote, with_judge_scores
+from convspark.functions.text import last_partner_text, partner_turns, render_turns
 from convspark.operators.quantiles import quantile_columns
 
 
+def split_pair(pairs: DataFrame, name: str) -> DataFrame:
+    """What a pair gives an evaluation: the history as a transcript, the incoming turn, the partner's turn before it and
+    the last partner text. A context that does not end with the partner's turn is an error."""
+    context = F.col("context")
+    history = F.slice(context, F.lit(1), F.size(context) - 1)
+    last = F.element_at(context, -1)
+    stop = F.when(last["is_me"], F.raise_error(F.lit("the last context turn must be the partner's")).cast("string"))
+    return pairs.select(
+        "pair_id",
+        render_turns(history, name).alias("history"),
+        F.coalesce(stop, last["text"]).alias("incoming"),
+        F.try_element_at(partner_turns(history), F.lit(-1))["text"].alias("previous"),
+        last_partner_text(context).alias("last_partner_text"),
+    )
+
+
+def first_records(records: DataFrame, limit: int, order: Sequence[str] = ("ts", "pair_id")) -> DataFrame:
+    """The first ``limit`` records of an evaluation or a duel in order: a top-k, not a sort of them all."""
+    return records.orderBy(*order).limit(limit)
+
+
 def judged_records(records: DataFrame, raw: str = "judge_raw") -> DataFrame:
     """Parse the raw judge answer into one column per criterion, ``judge_error`` and ``judged``."""
     return with_judge_scores(records, raw).withColumn("judged", F.col("judge_error").isNull())

@@ -31,7 +31,8 @@ SENDER = r"\A(user|channel|chat)(-?\p{Nd}+)\z"
 ISO_DATE = r"\A\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:?\d{2})?)?\z"
 OFFSET = r":\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})\z"
 
-# A lone surrogate cannot survive JSON parsing, so the reader puts this non-character in its place.
+# A lone surrogate cannot survive JSON parsing, so the reader puts this non-character in its place and says so in
+# ``has_broken``; the same character in a record without that flag is text.
 BROKEN_CHARACTER = "\uffff"
 
 
@@ -84,6 +85,7 @@ def classify_records(raw: DataFrame) -> DataFrame:
         .withColumn("media", media_kind(F.col("media_type"), F.col("has_photo"), F.col("has_file")))
     )
     is_object = F.col("is_object") if "is_object" in raw.columns else F.lit(True)
+    broken = F.col("has_broken") if "has_broken" in raw.columns else F.lit(False)
     blank = is_blank(F.col("text"))
     media, payload = F.col("media"), F.col("payload_kind")
     cases = [
@@ -96,7 +98,7 @@ def classify_records(raw: DataFrame) -> DataFrame:
         (blank & media.isNotNull(), "media_without_caption", media),
         (blank & payload.isNotNull(), "non_text_payload", payload),
         (blank, "empty_text", F.lit(None).cast("string")),
-        (F.contains("text", F.lit(BROKEN_CHARACTER)), "invalid_unicode", F.lit(None).cast("string")),
+        (broken & F.contains("text", F.lit(BROKEN_CHARACTER)), "invalid_unicode", F.lit(None).cast("string")),
         (F.col("sender.id").isNull(), "unknown_sender", F.lit(None).cast("string")),
         (F.col("stamp.ts").isNull(), "bad_timestamp", F.lit(None).cast("string")),
     ]

@@ -1,12 +1,16 @@
 """Filtered nearest-neighbour join between a table of queries and a table of vectors.
 
-The result is exact. Vectors are grouped by their nearest pivot. For unit vectors the Euclidean distance obeys
+``nearest`` is exact. Vectors are grouped by their nearest pivot. For unit vectors the Euclidean distance obeys
 the triangle inequality, so the distances to the pivots bound the distance to every vector of a group, and
 groups that cannot hold a better neighbour are skipped. A query first visits its nearest groups, which gives
 an upper bound, then every group whose lower bound does not exceed it.
 
 Work is cut into tiles of a bounded number of queries and vectors, whatever the size of a group. A tile is
-one matrix product and gives at most ``n`` rows per query, never all pairs."""
+one matrix product and gives at most ``n`` rows per query, never all pairs.
+
+Where vectors have no groups, the exact search has to visit most of them for every query. ``nearest_probed`` visits a
+fixed number of cells of random hyperplanes instead, whatever the size of the index; its recall is a matter of its
+parameters and measured in the tests."""
 
 from __future__ import annotations
 
@@ -199,6 +203,51 @@ def nearest(
     return _closest(found.drop("hit").unionByName(more), n)
 
 
+def _cells(rows: DataFrame, id_col: str, planes: np.ndarray, probes: int, same_chat: bool) -> DataFrame:
+    """(``id_col``, ``cell``): the cell of each row in every table of hyperplanes, and the ``probes`` - 1 cells across the
+    planes it is nearest to. The chat is part of the cell where only the same chat counts."""
+    tables, bits, dimension = planes.shape
+    powers = 1 << np.arange(bits, dtype=np.int64)
+
+    def place(batches):
+        for part in batches:
+            if not len(part):
+                continue
+            matrix = np.array(part["embedding"].tolist(), dtype="float64").reshape(len(part), dimension)
+            margins = (matrix @ planes.reshape(-1, dimension).T).reshape(len(part), tables, bits)
+            codes = ((margins > 0) @ powers) + (np.arange(tables, dtype=np.int64) << bits)
+            near = np.argsort(np.abs(margins), axis=2)[:, :, : probes - 1]
+            cells = np.concatenate([codes[:, :, None], codes[:, :, None] ^ powers[near]], axis=2)
+            if same_chat:
+                cells = cells + (part["chat_id"].to_numpy(dtype="int64") * (tables << bits))[:, None, None]
+            yield pd.DataFrame({id_col: np.repeat(part[id_col].to_numpy(), cells[0].size), "cell": cells.reshape(-1)})
+
+    schema = StructType([rows.schema[id_col]]).add("cell", LongType())
+    return rows.select(id_col, "embedding", *(["chat_id"] if same_chat else [])).mapInPandas(place, schema)
+
+
+def nearest_probed(
+    queries: DataFrame, index: DataFrame, n: int, same_chat: bool = False, tables: int = 12, bits: int = 8, probes: int = 6, seed: int = 7
+) -> DataFrame:
+    """As ``nearest``, but a query meets only the vectors of ``tables`` x ``probes`` cells; these are ranked exactly.
+
+    A cell of ``bits`` planes holds about one vector in 2 ** ``bits``. Cells whose earliest vector is not before the
+    query's time are not visited. The filters hold exactly; a neighbour is missed if it shares no visited cell."""
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])
+    first = index.select(F.size("embedding").alias("d")).first()
+    if first is None or n <= 0:
+        return nearest(queries, index, n, same_chat)
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, first["d"]))
+    grouped = stage(index.join(_cells(index, "pair_id", planes, 1, same_chat), "pair_id"), "cells")
+    sizes = stage(grouped.groupBy("cell").agg(F.count("*").alias("size"), F.min("ts").alias("first_ts")), "cell-sizes")
+    visits = _cells(queries, "query_id", planes, probes, same_chat).distinct().join(sizes, "cell")
+    near = queries.join(visits.select("query_id", "cell", "first_ts"), "query_id")
+    if "ts_before" in queries.columns:
+        near = near.where(F.col("first_ts") < F.col("ts_before"))
+    hits = _tiles(near.drop("first_ts"), grouped, sizes.select("cell", "size"), n, same_chat)
+    return _closest(hits.dropDuplicates(["query_id", "pair_id"]), n)
+
+
 def knn_join(
     queries: DataFrame,
     index: DataFrame,

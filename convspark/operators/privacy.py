@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +26,8 @@ MIN_TERM_CHARS = 3
 MIN_SECRET_CHARS = 8
 SECRET_KEYS = "KEY|TOKEN|SECRET"
 
-INLINE_TERMS = 1000
+#: Bytes of terms that one pass over the lines holds.
+BLOCK_BYTES = 8 << 20
 
 
 def text_lines(texts: DataFrame, path: str, text: str) -> DataFrame:
@@ -43,46 +48,55 @@ def shape_findings(lines: DataFrame) -> DataFrame:
     return lines.select("path", "line", F.explode(F.array_compact(tests)).alias("category"))
 
 
-def _term_holds(content: Column, term: Column, rule: Column) -> Column:
-    """``literal`` as it stands, ``nocase`` in any case, ``number`` not inside a longer run of digits."""
-    number = F.contains(content, term) & F.rlike(
-        content, F.concat(F.lit(r"(?<!\p{Nd})"), term, F.lit(r"(?!\p{Nd})"))
-    )
-    return (
-        F.when(rule == "number", number)
-        .when(rule == "nocase", F.contains(F.lower(content), F.lower(term)))
-        .otherwise(F.contains(content, term))
-    )
+def _matching_categories(content: Column, block) -> Column:
+    """Categories of the block's terms that occur in a line, one for each term."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+        import regex
+
+        automaton = ahocorasick.Automaton()
+        by_key: dict[str, list[int]] = {}
+        for n, (_, term, _) in enumerate(block.value):
+            by_key.setdefault(term.lower(), []).append(n)
+        for key, owners in by_key.items():
+            automaton.add_word(key, owners)
+        automaton.make_automaton()
 
+        def holds(term: str, rule: str, line: str) -> bool:
+            if rule == "number":
+                return bool(regex.search(rf"(?<!\p{{Nd}}){regex.escape(term)}(?!\p{{Nd}})", line))
+            return rule == "nocase" or term in line
 
-def term_findings(lines: DataFrame, terms: DataFrame, inline_limit: int = INLINE_TERMS) -> DataFrame:
-    """One finding per line and term ``(category, term, rule)`` that occurs in it.
+        for batch in batches:
+            out = []
+            for line in batch:
+                hit = {n for _, owners in automaton.iter(line.lower()) for n in owners} if line else ()
+                out.append([block.value[n][0] for n in sorted(hit) if holds(block.value[n][1], block.value[n][2], line)])
+            yield pd.Series(out)
 
-    A short list is tested inside the projection. A list over ``inline_limit`` is joined on the first three
-    characters of each term with the three-character pieces of each line, then verified, so that neither side
-    is broadcast and lines meet only terms they may contain."""
-    few = terms.limit(inline_limit + 1).collect()
-    if not few:
+    return run(content)
+
+
+def term_findings(lines: DataFrame, terms: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One finding per line and distinct term ``(category, term, rule)`` that occurs in it: ``literal`` as it stands,
+    ``nocase`` in any case, ``number`` not inside a longer run of digits.
+
+    The terms are a stated list of queries, sent to the executors in blocks of about ``block_bytes``. A line meets all
+    terms of a block in one pass of an automaton, however many they are; nothing is shuffled. Empty terms are left out."""
+    known = terms.select("category", "term", "rule").where("term <> ''").distinct()
+    size = known.agg(F.sum(F.octet_length("term") + F.octet_length("category") + 64)).first()[0]
+    if not size:
         return lines.select("path", "line", F.lit("").alias("category")).where(F.lit(False))
-    if len(few) <= inline_limit:
-        known = F.array(
-            *[
-                F.struct(F.lit(t["category"]).alias("category"), F.lit(t["term"]).alias("term"), F.lit(t["rule"]).alias("rule"))
-                for t in few
-            ]
-        )
-        hits = F.filter(known, lambda t: _term_holds(F.col("content"), t["term"], t["rule"]))
-        return lines.select("path", "line", F.explode(F.transform(hits, lambda t: t["category"])).alias("category"))
-    lowered = F.lower("content")
-    starts = F.sequence(F.lit(1), F.greatest(F.length(lowered) - (MIN_TERM_CHARS - 1), F.lit(1)))
-    pieces = F.array_distinct(F.transform(starts, lambda i: lowered.substr(i, F.lit(MIN_TERM_CHARS))))
-    cut = lines.select("path", "line", "content", F.explode(pieces).alias("piece"))
-    keyed = terms.select("category", "term", "rule", F.substring(F.lower("term"), 1, MIN_TERM_CHARS).alias("piece"))
-    return (
-        cut.join(keyed, "piece")
-        .where(_term_holds(F.col("content"), F.col("term"), F.col("rule")))
-        .select("path", "line", "category")
-    )
+    blocks = math.ceil(size / block_bytes)
+    found = []
+    for n in range(blocks):
+        part = known.where(F.pmod(F.xxhash64("category", "term", "rule"), F.lit(blocks)) == n).orderBy("category", "term", "rule")
+        rows = [tuple(r) for r in part.collect()]
+        if rows:
+            found.append(_matching_categories(F.col("content"), lines.sparkSession.sparkContext.broadcast(rows)))
+    return lines.select("path", "line", F.explode(F.flatten(F.array(*found))).alias("category"))
 
 
 def findings(lines: DataFrame, terms: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from convspark.config import DAY_S, SplitRules
 from convspark.functions.text import iso_utc, period_of
+from convspark.operators.lookup import BROADCAST_ROWS
 from convspark.operators.lookup import lookup_join
 from convspark.operators.ordered import running_total
 from convspark.session import stage
@@ -104,8 +105,15 @@ def stratified_sample(df: DataFrame, stratum: Column, id_col: str, total: int, s
         .where(F.col("__pos") <= F.col("allocation"))
         .select(id_col)
     )
-    # at most `total` ids
-    return df.join(F.broadcast(chosen), id_col, "left_semi")
+    if total > BROADCAST_ROWS:
+        return df.join(chosen, id_col, "left_semi")
+    return df.join(F.broadcast(chosen), id_col, "left_semi")  # at most `total` ids
+
+
+def style_sample(pairs: DataFrame, total: int, seed: int | str) -> DataFrame:
+    """A seeded sample of ``total`` pairs, spread over the years in proportion, in time order. The sample has a fixed
+    size; only it is sorted."""
+    return stratified_sample(pairs, period_of(F.col("ts"), "year"), "pair_id", total, seed).orderBy("ts", "pair_id")
 
 
 def eval_stratum(granularity: str = "month") -> Column:
@@ -122,9 +130,11 @@ def flag_eval_sample(split: DataFrame, rules: SplitRules = SplitRules()) -> Data
         rules.eval_sample_size,
         rules.seed,
     ).select("pair_id", F.lit(True).alias("__chosen"))
+    if rules.eval_sample_size <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)  # at most eval_sample_size rows
     return (
         split.drop("eval_sample")
-        .join(F.broadcast(chosen), "pair_id", "left")  # at most eval_sample_size rows
+        .join(chosen, "pair_id", "left")
         .withColumn("eval_sample", F.coalesce("__chosen", F.lit(False)) & (F.col("split") == "holdout"))
         .drop("__chosen")
     )
@@ -257,14 +267,7 @@ def fingerprint(df: DataFrame, row_hash: Column) -> DataFrame:
     return sums.select("rows", F.substring(F.sha2(text, 256), 1, 12).alias("dataset_version"))
 
 
-def sample_identity(sample: DataFrame, id_col: str, max_ids: int) -> DataFrame:
-    """12 hex digits of the sorted ids of an evaluation sample. The sample is small by construction
-    (``max_ids``); a larger input is an error, use ``dataset_version`` for it."""
-    joined = F.array_join(F.sort_array(F.collect_list(id_col)), "\n")
-    few = sample.select(id_col).limit(max_ids + 1)
-    return few.agg(F.count("*").alias("ids"), joined.alias("all")).select(
-        "ids",
-        F.when(F.col("ids") > max_ids, F.raise_error(F.lit(f"more than {max_ids} ids in the sample")).cast("string"))
-        .otherwise(F.substring(F.sha2(F.col("all"), 256), 1, 12))
-        .alias("identity"),
-    )
+def sample_identity(sample: DataFrame, id_col: str) -> DataFrame:
+    """12 hex digits that depend on the set of ids of an evaluation sample, whatever its size and order."""
+    ids = sample.select(F.col(id_col).cast("string").alias("id")).distinct()
+    return fingerprint(ids, F.sha2("id", 256)).withColumnsRenamed({"rows": "ids", "dataset_version": "identity"})

@@ -149,3 +149,10 @@ def chunk_sections(notes: DataFrame) -> DataFrame:
     return notes.select(
         "chunk", F.concat(F.lit("### "), F.col("period"), F.lit("\n"), strip(F.col("text"))).alias("section")
     )
+
+
+def write_sections(notes: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The sections of all chunks as one text in ``chunk`` order, over as many files as it needs: ranges of chunks in file
+    order, sorted inside, a blank line between sections."""
+    placed = chunk_sections(notes).repartitionByRange("chunk").sortWithinPartitions("chunk")
+    placed.select(F.concat("section", F.lit("\n"))).write.mode(mode).text(path)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +65,8 @@ def pair_up(
     return PairBuild(turns, own, cutoffs, split, replaced)
 
 
-def messages_manifest(build: MessageBuild, me: int) -> DataFrame:
+def messages_manifest(build: MessageBuild, me: int, sources: DataFrame | None = None) -> DataFrame:
+    """Counts of a message build. ``sources`` (``path``, ``sha256``, ``bytes``) are the files it was read from."""
     drops = ex.drop_counts(build.classified)
     reasons = drops.groupBy("reason").agg(F.sum("records").alias("records"))
     summary = build.messages.agg(
@@ -81,21 +83,42 @@ def messages_manifest(build: MessageBuild, me: int) -> DataFrame:
         )
     }
     version = sp.dataset_version(build.messages, tables.MESSAGE.names).select("dataset_version")
-    sources = build.messages.groupBy("ts_source").agg(F.count("*").alias("messages"))
+    stamps = build.messages.groupBy("ts_source").agg(F.count("*").alias("messages"))
+    chats = F.array_sort(F.collect_list(F.struct("chat_id", "chat_type", "raw_messages", "kept_messages", "me_messages")))
+    # one entry a chat and a sender: what a single export holds; counts of larger collections are tables of their own
+    per_chat = ex.chat_summary(build.classified, me).agg(chats.alias("chats"), F.count("*").alias("n"))
+    kind = F.when(F.col("n") == 1, "single_chat").otherwise("full_export")
+    anomalies = ex.anomaly_counts(build.messages).select(F.struct("*"))
+    read = [] if sources is None else [
+        sources.agg(F.array_sort(F.collect_list(F.struct("path", "sha256", "bytes")))).scalar().alias("sources"),
+        sources.agg(F.sum("bytes")).scalar().alias("source_bytes"),
+    ]
     offsets = ex.local_utc_offsets(build.messages)
     return summary.select(
         version.scalar().alias("dataset_version"),
+        per_chat.select(kind).scalar().alias("export_kind"),
+        F.lit(me).cast("bigint").alias("me"),
+        *read,
         raw.scalar().alias("raw_messages"),
         "*",
         ex.counter_map(reasons, "reason", "records").scalar().alias("dropped"),
         *kinds.values(),
-        ex.counter_map(sources, "ts_source", "messages").scalar().alias("ts_source_counts"),
+        ex.counter_map(stamps, "ts_source", "messages").scalar().alias("ts_source_counts"),
         ex.counter_map(offsets, "offset", "messages").scalar().alias("local_utc_offsets"),
+        anomalies.scalar().alias("anomalies"),
+        per_chat.select("chats").scalar().alias("chats"),
+        ex.counter_map(ex.sender_counts(build.messages), "sender_raw_id", "messages").scalar().alias("sender_counts"),
     )
 
 
-def dataset_manifest(build: PairBuild, messages_version: str) -> DataFrame:
-    """Counts only: no chat id, name or text."""
+def dataset_manifest(
+    build: PairBuild,
+    messages_version: str,
+    pair_rules: PairRules = PairRules(),
+    split_rules: SplitRules = SplitRules(),
+    config_source: str = "defaults",
+) -> DataFrame:
+    """Counts and rules only: no chat id, name or text."""
     own = build.own_turns.agg(
         F.count("*").alias("own_turns"), F.count_if(F.col("drop_reason").isNull()).alias("pairs_kept")
     )
@@ -119,6 +142,12 @@ def dataset_manifest(build: PairBuild, messages_version: str) -> DataFrame:
         QS,
     )
     version = sp.dataset_version(split.drop("split")).select("dataset_version")
+    over = split.agg(F.count_if(F.length("reply") > pair_rules.reply.max_chars))
+    years = sp.split_by_year(split)
+    years = years.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("year", F.struct("train", "holdout"))))))
+    chats = sp.split_summary(split, build.cutoffs)
+    chats = chats.agg(F.array_sort(F.collect_list(F.struct(*[c for c in chats.columns if c != "chat_id"]))))
+    config = json.dumps({"pairs": asdict(pair_rules), "split": asdict(split_rules)}, default=str, sort_keys=True)
     return own.select(
         version.scalar().alias("dataset_version"),
         F.lit(messages_version).alias("messages_dataset_version"),
@@ -129,6 +158,11 @@ def dataset_manifest(build: PairBuild, messages_version: str) -> DataFrame:
         sizes.scalar().alias("__s"),
         ex.counter_map(sp.eval_by_period(split), "period", "rows").scalar().alias("eval_sample_by_period"),
         lengths.select(F.struct("*")).scalar().alias("lengths"),
+        over.scalar().alias("replies_over_max"),
+        years.scalar().alias("per_year"),
+        chats.scalar().alias("chats"),
+        F.lit(config).alias("config"),
+        F.lit(config_source).alias("config_source"),
     ).select("*", "__c.*", "__s.*").drop("__c", "__s")
 
 
@@ -155,10 +189,11 @@ def ingest(
     build = pair_up(parsed.messages, pair_rules, split_rules, anonymize_rules)
     check(build)
     out = out.rstrip("/")
-    manifest = stage(messages_manifest(parsed, me), "messages_manifest")
+    sources = tables.file_fingerprints_of(spark.read.format("binaryFile").load(export_path))
+    manifest = stage(messages_manifest(parsed, me, sources), "messages_manifest")
     tables.write_messages(parsed.messages, f"{out}/messages")
     tables.write_pairs(build.split, f"{out}/pairs")
     tables.write_manifest(manifest, f"{out}/messages_manifest")
     tables.write_manifest(
-        dataset_manifest(build, manifest.first()["dataset_version"]), f"{out}/dataset_manifest"
+        dataset_manifest(build, manifest.first()["dataset_version"], pair_rules, split_rules), f"{out}/dataset_manifest"
     )

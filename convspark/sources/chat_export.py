@@ -1,15 +1,25 @@
 """Reader of chat exports: one nested JSON document per file, with one chat or many.
 
-A document is parsed by one task, because its records have no boundaries before it is parsed. Collections of
-exports scale over files; a single very large export should be cut into JSON lines (one record per line with
-its chat) and read by ``read_records_jsonl``, which splits."""
+A document has no boundaries that can be found without reading it from its start, so one task walks through it in
+blocks and cuts out its records as text, without holding more than a record. Records are then dealt over all cores
+and parsed there, as those of JSON lines (``read_records_jsonl``) are."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convspark.operators.export import BROKEN_CHARACTER, PAYLOAD_KEYS
+from convspark.operators.lookup import lookup_join
+from convspark.session import stage
+from convspark.sources.files import text_blocks
+
+#: Characters and rows that a cutting task holds before it passes them on.
+CUT_CHARS, CUT_ROWS = 4 << 20, 5000
 
 # An escaped half of a surrogate pair without its other half.
 _HIGH, _LOW = r"\\u[dD][89abAB][0-9a-fA-F]{2}", r"\\u[dD][c-fC-F][0-9a-fA-F]{2}"
@@ -44,52 +54,188 @@ def _integer_text(value: Column, path: str) -> Column:
     return F.when(_kind(field).isin("BIGINT", "STRING"), field.try_cast("string"))
 
 
-def _fail(condition: Column, path: Column, message: str, value: Column, cast: str) -> Column:
-    return F.when(condition, F.raise_error(F.concat(path, F.lit(f": {message}"))).cast(cast)).otherwise(value)
-
-
-def _chat_type(chat: Column) -> Column:
-    return F.coalesce(F.nullif(_text(chat, "$.type"), F.lit("")), F.lit("unknown"))
-
-
-def read_chats(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, chat_pos, chat_id, chat_type, messages)``; ``left_chats`` come after ``chats``."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("path"),
-        F.regexp_replace("value", LONE_SURROGATE, "$1" + BROKEN_CHARACTER).alias("value"),
+class _Walk:
+    """A JSON document read in blocks. ``value`` parses the value at hand, ``text`` is what it was written as."""
+
+    def __init__(self, blocks: Iterator[str], path: str):
+        self.blocks, self.path, self.held, self.at, self.over = blocks, path, "", 0, False
+        self.decoder = json.JSONDecoder()
+
+    def fail(self, message: str) -> ValueError:
+        return ValueError(f"{self.path}: {message}")
+
+    def more(self) -> bool:
+        """Read on, at least as much as is held, so that a long value is not parsed from its start too often."""
+        wanted, parts = max(1, len(self.held) - self.at), []
+        while wanted > 0 and not self.over:
+            block = next(self.blocks, None)
+            self.over = block is None
+            if block:
+                parts.append(block)
+                wanted -= len(block)
+        self.held, self.at = self.held[self.at :] + "".join(parts), 0
+        return bool(parts)
+
+    def peek(self) -> str:
+        while True:
+            while self.at < len(self.held) and self.held[self.at] in " \t\r\n﻿":
+                self.at += 1
+            if self.at < len(self.held):
+                return self.held[self.at]
+            if not self.more():
+                raise self.fail("not valid JSON, it ends too early")
+
+    def take(self, wanted: str) -> None:
+        if self.peek() != wanted:
+            raise self.fail(f"not valid JSON, {wanted!r} expected")
+        self.at += 1
+
+    def value(self):
+        self.peek()
+        while True:
+            try:
+                found, end = self.decoder.raw_decode(self.held, self.at)
+            except json.JSONDecodeError as error:
+                cut = error.msg.startswith("Unterminated string") or error.pos >= len(self.held) - 16
+                if not (cut and self.more()):
+                    raise self.fail(f"not valid JSON, {error.msg}") from None
+                continue
+            if not isinstance(found, (dict, list, str)) and not self.held[end:].strip("+-.0123456789eE") and self.more():
+                continue  # a number may go on
+            self.text = self.held[self.at : end]
+            self.at = end
+            return found
+
+    def members(self) -> Iterator[str]:
+        """Keys of the object at hand; the caller reads each value."""
+        self.take("{")
+        while self.peek() != "}":
+            key = self.value()
+            if not isinstance(key, str):
+                raise self.fail("not valid JSON, a key expected")
+            self.take(":")
+            yield key
+            if self.peek() != "}":
+                self.take(",")
+        self.take("}")
+
+    def items(self) -> Iterator[None]:
+        self.take("[")
+        while self.peek() != "]":
+            yield
+            if self.peek() != "]":
+                self.take(",")
+        self.take("]")
+
+    def end(self) -> None:
+        if self.held[self.at :].strip() or any(block.strip() for block in self.blocks):
+            raise self.fail("not valid JSON, text after its end")
+
+
+def _cut(walk: _Walk) -> Iterator[tuple]:
+    """Rows (``left``, ``chat``, ``pos``, ``text``, ``key``): the records of each chat, and under ``key`` its header values."""
+    if walk.peek() != "{":
+        walk.value()
+        raise walk.fail("top level is not an object")
+    header, listed, single = [], False, False
+    for key in walk.members():
+        if key == "messages" and walk.peek() == "[":
+            single = True
+            yield from _records(walk, 0, 0)
+        elif key in ("chats", "left_chats") and walk.peek() == "{":
+            for inner in walk.members():
+                if inner == "list" and walk.peek() == "[":
+                    listed = listed or key == "chats"
+                    for at, _ in enumerate(walk.items()):
+                        yield from _chat(walk, int(key == "left_chats"), at)
+                else:
+                    walk.value()
+        else:
+            walk.value()
+            if key in ("id", "type"):
+                header.append((0, 0, None, walk.text, key))
+    walk.end()
+    if single:
+        yield from header
+        yield (0, 0, None, "true", "messages")
+    elif not listed:
+        raise walk.fail("neither 'messages' nor 'chats.list'")
+
+
+def _chat(walk: _Walk, left: int, at: int) -> Iterator[tuple]:
+    yield (left, at, None, None, None)  # a chat, whatever it holds
+    if walk.peek() != "{":
+        walk.value()
+        return
+    for key in walk.members():
+        if key == "messages" and walk.peek() == "[":
+            yield from _records(walk, left, at)
+            yield (left, at, None, "true", key)
+        else:
+            walk.value()
+            if key in ("id", "type"):
+                yield (left, at, None, walk.text, key)
+
+
+def _records(walk: _Walk, left: int, at: int) -> Iterator[tuple]:
+    for pos, _ in enumerate(walk.items()):
+        walk.value()
+        yield (left, at, pos, walk.text, None)
+
+
+def cut_exports(spark: SparkSession, path: str) -> DataFrame:
+    """Staged rows (``path``, ``left``, ``chat``, ``pos``, ``text``, ``key``) of all export files: records and chat headers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["left", "chat", "pos", "text", "key"]
+
+        def frame(rows: list[tuple], file: str) -> pd.DataFrame:
+            found = pd.DataFrame(rows, columns=names).assign(path=file)
+            return found.astype({"pos": "Int64"})
+
+        for batch in batches:
+            for file in batch["path"]:
+                rows, size = [], 0
+                for row in _cut(_Walk(text_blocks(file), file)):
+                    rows.append(row)
+                    size += len(row[3] or "")
+                    if size > CUT_CHARS or len(rows) > CUT_ROWS:
+                        yield frame(rows, file)
+                        rows, size = [], 0
+                if rows:
+                    yield frame(rows, file)
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    cut = files.repartition("path").mapInPandas(run, "left int, chat int, pos long, text string, key string, path string")
+    return stage(cut, "cut-export")
+
+
+def read_chats(cut: DataFrame) -> DataFrame:
+    """``(path, left, chat, chat_pos, chat_id, chat_type)`` of every chat; ``left_chats`` come after ``chats``. There are far
+    fewer chats than records; they are numbered within a file."""
+    v = F.try_parse_json("text")
+    number = F.when(_kind(v).isin("BIGINT", "STRING"), v.try_cast("string"))
+    name = F.when(_kind(v) == "STRING", v.try_cast("string"))
+    chats = (
+        cut.where("pos IS NULL")
+        .groupBy("path", "left", "chat")
+        .agg(
+            F.max(F.when(F.col("key") == "id", F.trim(number).try_cast("bigint"))).alias("chat_id"),
+            F.max(F.when(F.col("key") == "type", F.nullif(name, F.lit("")))).alias("chat_type"),
+            F.max(F.col("key") == "messages").alias("has_messages"),
+        )
     )
-    doc = files.select("path", F.try_parse_json("value").alias("doc"))
-    top = F.col("doc")
-    single = _is_array(_at(top, "$.messages"))
-    many = _is_array(_at(top, "$.chats.list"))
 
-    def stop(message: str) -> Column:
-        return F.raise_error(F.concat(F.col("path"), F.lit(f": {message}"))).cast("array<variant>")
+    def fail(message: str) -> Column:
+        return F.raise_error(F.concat("path", F.lit(f": {message}"))).cast("bigint")
 
-    left = F.when(_is_array(_at(top, "$.left_chats.list")), F.variant_get(top, "$.left_chats.list", "array<variant>"))
-    chats = (
-        F.when(top.isNull(), stop("not valid JSON"))
-        .when(~_is_object(top), stop("top level is not an object"))
-        .when(single, F.array(top))
-        .when(many, F.concat(F.variant_get(top, "$.chats.list", "array<variant>"), F.coalesce(left, F.array().cast("array<variant>"))))
-        .otherwise(stop("neither 'messages' nor 'chats.list'"))
-    )
-    listed = doc.select("path", F.posexplode(chats).alias("chat_pos", "chat"))
-    chat = F.col("chat")
-    number = F.trim(_integer_text(chat, "$.id")).try_cast("bigint")
-    return listed.select(
-        "path",
-        "chat_pos",
-        _fail(number.isNull(), F.col("path"), "chat without a numeric 'id'", number, "bigint").alias("chat_id"),
-        _chat_type(chat).alias("chat_type"),
-        _fail(
-            ~_is_array(_at(chat, "$.messages")),
-            F.col("path"),
-            "chat without a 'messages' list",
-            F.try_variant_get(chat, "$.messages", "array<variant>"),
-            "array<variant>",
-        ).alias("messages"),
+    checked = (
+        F.when(F.col("chat_id").isNull(), fail("chat without a numeric 'id'"))
+        .when(~F.coalesce("has_messages", F.lit(False)), fail("chat without a 'messages' list"))
+        .otherwise(F.col("chat_id"))
     )
+    place = F.row_number().over(Window.partitionBy("path").orderBy("left", "chat")) - 1
+    return chats.select("path", "left", "chat", place.alias("chat_pos"), checked.alias("chat_id"), F.coalesce("chat_type", F.lit("unknown")).alias("chat_type"))
 
 
 def _fragments_ok(text: Column) -> Column:
@@ -123,7 +269,7 @@ def flatten_text(text: Column) -> Column:
 
 
 def record_columns(records: DataFrame) -> DataFrame:
-    """Variant records ``(chat_id, chat_type, chat_pos, pos, record)`` -> typed columns for classification."""
+    """Variant records ``(chat_id, chat_type, chat_pos, pos, record, has_broken)`` -> typed columns for classification."""
     r = F.col("record")
     entities = _at(r, "$.text_entities").try_cast("array<variant>")
     entity_text = F.when(
@@ -146,6 +292,7 @@ def record_columns(records: DataFrame) -> DataFrame:
         "chat_type",
         "chat_pos",
         "pos",
+        "has_broken",
         _is_object(r).alias("is_object"),
         _integer_text(r, "$.id").alias("raw_id"),
         F.when(_kind(kind) == "STRING", kind.try_cast("string")).alias("type"),
@@ -167,11 +314,19 @@ def record_columns(records: DataFrame) -> DataFrame:
     )
 
 
+def _parsed(text: Column) -> Column:
+    """A record; halves of surrogate pairs without their other half become the broken character."""
+    return F.parse_json(F.regexp_replace(text, LONE_SURROGATE, "$1" + BROKEN_CHARACTER))
+
+
 def read_chat_export(spark: SparkSession, path: str) -> DataFrame:
     """Typed raw records of all chats in export order (``chat_pos``, ``pos``)."""
-    chats = read_chats(spark, path)
+    cut = cut_exports(spark, path)
+    chats = stage(read_chats(cut), "chats")
+    records = cut.where("pos IS NOT NULL").select("path", "left", "chat", "pos", "text")
+    placed = lookup_join(records, chats, ["path", "left", "chat"], ["pos"])
     return record_columns(
-        chats.select("chat_id", "chat_type", "chat_pos", F.posexplode("messages").alias("pos", "record"))
+        placed.select("chat_id", "chat_type", "chat_pos", "pos", _parsed(F.col("text")).alias("record"), F.col("text").rlike(LONE_SURROGATE).alias("has_broken"))
     )
 
 
@@ -179,7 +334,7 @@ def read_records_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """The same from JSON lines ``{"chat_id", "chat_type", "chat_pos", "pos", "record"}``; files split freely."""
     filled = F.trim("value") != ""
     # the condition is repeated because filters may be merged and then run in any order
-    lines = spark.read.text(path).where(filled).select(F.when(filled, F.parse_json("value")).alias("v"))
+    lines = spark.read.text(path).where(filled).select(F.when(filled, _parsed(F.col("value"))).alias("v"), F.col("value").rlike(LONE_SURROGATE).alias("has_broken"))
     v = F.col("v")
     return record_columns(
         lines.select(
@@ -188,5 +343,6 @@ def read_records_jsonl(spark: SparkSession, path: str) -> DataFrame:
             F.variant_get(v, "$.chat_pos", "int").alias("chat_pos"),
             F.variant_get(v, "$.pos", "int").alias("pos"),
             F.variant_get(v, "$.record", "variant").alias("record"),
+            "has_broken",
         )
     )

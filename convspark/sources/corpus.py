@@ -5,34 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convspark.operators.privacy import blocklist_terms, setting_terms, text_lines
+from convspark.operators.privacy import ALLOW_MARKER, blocklist_terms, setting_terms
+from convspark.sources.files import list_files, read_text_lines
 
 # What is never searched.
 SKIPPED_FOLDERS = r"(?:^|/)(?:\.git|\.venv|node_modules|__pycache__)(?:/|$)"
 SKIPPED_FILES = r"(?:^|/)\.env(?:\.(?!example$)[^/]*)?$|data/private"
-BINARY_PROBE_BYTES = 8000
 
 
-def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, text)`` of the text files below ``path``; paths are filtered before contents are looked at.
-
-    Spark's file listing leaves out names that begin with a dot or an underscore, so such files are never seen."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path", "content")
-        .where(~F.col("path").rlike(SKIPPED_FOLDERS) & ~F.col("path").rlike(SKIPPED_FILES))
-    )
-    probe = F.hex(F.substring("content", 1, BINARY_PROBE_BYTES))
-    binary = probe.rlike("^(?:..)*00")
-    return files.where(~binary).select(
-        "path", F.try_validate_utf8("content").alias("valid"), "content"
-    ).select("path", F.coalesce("valid", F.make_valid_utf8("content")).alias("text"))
+def searched_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, bytes)`` of the files below ``path`` that are searched, those with a leading dot or underscore included."""
+    files = list_files(spark, path, F.col("path").rlike(SKIPPED_FOLDERS))
+    return files.where(~F.col("path").rlike(SKIPPED_FOLDERS) & ~F.col("path").rlike(SKIPPED_FILES))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return text_lines(read_text_files(spark, path), "path", "text")
+    """``(path, line, content)`` of the text files below ``path``; exempted lines are left out. Files are dealt over all
+    cores and read in blocks."""
+    files = searched_files(spark, path).repartition(spark.sparkContext.defaultParallelism)
+    return read_text_lines(files).where(~F.contains("content", F.lit(ALLOW_MARKER)))
 
 
 def read_blocklist(spark: SparkSession, path: str) -> DataFrame:

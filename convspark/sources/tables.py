@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from convspark.operators.split import dataset_version
 from convspark.schemas import MESSAGE, PAIR, TRAIN_EXAMPLE
+from convspark.sources.files import fingerprints, list_files
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -59,9 +61,13 @@ def read_train_examples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """sha256 and size of each input file."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    """sha256 and size of each input file; files are read in blocks."""
+    return fingerprints(list_files(spark, path))
+
+
+def file_fingerprints_of(files: DataFrame) -> DataFrame:
+    """The same for a table of files (``path``)."""
+    return fingerprints(files.select("path"))
 
 
 def write_manifest(manifest: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -71,3 +77,16 @@ def write_manifest(manifest: DataFrame, path: str, mode: str = "errorifexists")
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
+
+
+def write_train_manifest(manifest: DataFrame, examples: DataFrame, path: str, tokenizer: str, pairs_version: str, max_tokens: int, mode: str = "errorifexists") -> None:
+    """``training.train_manifest`` with what the examples were made of: their version, the tokenizer and the limit."""
+    version = dataset_version(examples.select("pair_id", "text")).select("dataset_version")
+    named = manifest.select(
+        version.scalar().alias("dataset_version"),
+        F.lit(pairs_version).alias("pairs_dataset_version"),
+        F.lit(tokenizer).alias("tokenizer"),
+        F.lit(max_tokens).alias("max_seq_length"),
+        "*",
+    )
+    write_manifest(named, path, mode)

@@ -1,19 +1,22 @@
 """Structured Streaming counterparts of the live operators.
 
 Input streams have ``chat_id, message_id, ts`` (seconds) and ``event_time`` (timestamp). Rows later than the
-watermark are dropped by Spark. State per chat is bounded: one open turn plus the rows younger than the watermark,
-one day of passed replies, or a few numbers. The size of a micro-batch is set at the source
-(``maxFilesPerTrigger`` and the like)."""
+watermark are dropped by Spark. Operators whose result depends on the order of rows hold them back until the watermark
+has passed them and take them in order then, so that results equal those of the batch operators however rows are
+spread over micro-batches. State per chat is bounded: the rows younger than the watermark, and one open turn, one day
+of passed replies, or a few numbers. The size of a micro-batch is set at the source (``maxFilesPerTrigger`` and the
+like). A stream that has come to its end is closed by a marker row (``with_end``), which lets everything out."""
 
 from __future__ import annotations
 
+import bisect
 import json
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from convspark.config import DAY_S, HOUR_S, MEMORY_TURNS, AnonymizeRules, InitiativeRules, LiveRules
 from convspark.functions.cleaning import anonymize
@@ -22,6 +25,10 @@ from convspark.functions.text import clip
 from convspark.operators.live import should_skip
 
 LATE = "10 minutes"
+#: Origins of messages that count as sent.
+OUTGOING = ("owner", "bot", "initiative")
+#: Chat and time of the row that closes a stream.
+END_CHAT, END_TS = -1, 4_102_444_800
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100, glob: str | None = None) -> DataFrame:
@@ -35,14 +42,40 @@ def with_event_time(messages: DataFrame, late: str = LATE) -> DataFrame:
     return messages.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", late)
 
 
-def run_available(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process what the source holds now, write it as Parquet and return the result as a table."""
-    query = (
-        df.writeStream.format("parquet").outputMode(mode).option("path", out)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(out)
+def with_end(messages: DataFrame, folder: str) -> DataFrame:
+    """``messages`` (a stream) and the marker row that ``run_available`` puts into ``folder`` when the stream is over."""
+    spark = messages.sparkSession
+    schema = StructType([StructField(f.name, f.dataType) for f in messages.schema])
+    spark.createDataFrame([], schema).write.mode("append").parquet(folder)
+    return messages.unionByName(spark.readStream.schema(schema).parquet(folder))
+
+
+def _end_row(schema: StructType) -> tuple:
+    values = {"chat_id": END_CHAT, "ts": END_TS}
+    empty = {"string": "", "boolean": False, "double": 0.0}
+    return tuple(values.get(f.name, empty.get(f.dataType.simpleString(), -1)) for f in schema)
+
+
+def run_available(df: DataFrame, out: str, checkpoint: str, mode: str = "append", end: tuple[str, StructType] | None = None) -> DataFrame:
+    """Process what the source holds now, write it as Parquet and return the result as a table.
+
+    ``end``: folder and schema given to ``with_end``, if the source will hold no more. The marker is read after all else;
+    windows, turns and timers that were open are then complete."""
+
+    def run() -> None:
+        query = (
+            df.writeStream.format("parquet").outputMode(mode).option("path", out)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+
+    run()
+    if end:
+        folder, schema = end
+        df.sparkSession.createDataFrame([_end_row(schema)], schema).write.mode("append").parquet(folder)
+        run()
+    result = df.sparkSession.read.schema(df.schema).parquet(out)
+    return result.where(F.col("chat_id") != END_CHAT) if end else result
 
 
 def enrich(messages: DataFrame, max_chars: int = 1000, rules: AnonymizeRules = AnonymizeRules()) -> DataFrame:
@@ -66,45 +99,61 @@ def session_counts(messages: DataFrame, gap: str = "2 hours") -> DataFrame:
 
 
 def last_activity(messages: DataFrame) -> DataFrame:
-    """Running maxima per chat (for update or complete mode)."""
-    incoming = F.col("origin") == "partner"
+    """Running maxima per chat and whether a refused first message blocks it (for update or complete mode)."""
+    incoming, outgoing = F.col("origin") == "partner", F.col("origin").isin(*OUTGOING)
+    refused = F.max(F.when(F.col("origin") == "refused", F.col("ts")))
     return messages.groupBy("chat_id").agg(
         F.max(F.when(incoming, F.col("ts"))).alias("last_incoming_ts"),
-        F.max(F.when(~incoming, F.col("ts"))).alias("last_outgoing_ts"),
+        F.max(F.when(outgoing, F.col("ts"))).alias("last_outgoing_ts"),
         F.max(F.when(F.col("origin") == "bot", F.col("ts"))).alias("last_bot_reply_ts"),
+        F.max(F.when(incoming | outgoing, F.col("ts"))).alias("last_activity_ts"),
+        F.coalesce(refused > F.coalesce(F.max(F.when(incoming, F.col("ts"))), F.lit(0)), F.lit(False)).alias("peer_blocked"),
     )
 
 
-def edit_origin(sent: DataFrame, edits: DataFrame, keep: str = "7 days") -> DataFrame:
-    """Edits and deletions with whether the bot sent the message within ``keep`` before. The time bound takes the
-    place of a count of remembered ids, which a join cannot express, and lets old rows leave the state."""
-    mine = sent.select(
-        F.col("chat_id").alias("s_chat"), F.col("message_id").alias("s_message"), F.col("event_time").alias("s_time")
-    )
-    same = (
-        (F.col("chat_id") == F.col("s_chat"))
-        & (F.col("message_id") == F.col("s_message"))
-        & (F.col("s_time") <= F.col("event_time"))
-        & (F.col("s_time") >= F.col("event_time") - F.expr(f"INTERVAL {keep}"))
+def edit_origin(messages: DataFrame, rules: LiveRules = LiveRules()) -> DataFrame:
+    """For each edited or deleted message (rows with ``is_edit``): did the bot send it, among its last ``remembered_ids``
+    by then? The other rows are the messages the bot sent."""
+    most = rules.remembered_ids
+
+    def step(chat, rows, data, watermark):
+        sent = data.setdefault("sent", [])
+        out = []
+        for row in rows:
+            if row["is_edit"]:
+                out.append((chat, row["message_id"], row["ts"], row["message_id"] in sent))
+            else:
+                sent.append(row["message_id"])
+                del sent[:-most]
+        return out, None
+
+    return _stateful(
+        messages, step, "chat_id bigint, message_id bigint, ts bigint, by_bot boolean", ["is_edit"], ("ts", "is_edit", "message_id")
     )
-    joined = edits.join(mine, same, "left_outer")
-    return joined.select("chat_id", "message_id", "ts", F.col("s_message").isNotNull().alias("by_bot"))
 
 
-def _stateful(messages: DataFrame, step, output: str, needed: list[str]) -> DataFrame:
-    """``step(chat_id, rows, data, watermark)`` gets the new rows in time order and the chat's state as a dict; it
-    returns output rows and the moment (seconds) at which to look again, or None."""
+def _stateful(messages: DataFrame, step, output: str, needed: list[str], order: tuple[str, ...] = ("ts", "message_id")) -> DataFrame:
+    """``step(chat_id, rows, data, watermark)`` gets the rows that the watermark has passed, in ``order``, and the chat's
+    state as a dict; it returns output rows and the moment (seconds) at which to look again, or None. Younger rows wait
+    in the state."""
     names = [part.split()[0] for part in output.split(", ")]
+    columns = ["ts", "message_id", *needed]
+    key = [columns.index(name) for name in order]
 
-    def update(key, frames, state):
+    def update(chat, frames, state):
         data = json.loads(state.get[0]) if state.exists else {}
-        frames = [frame for frame in frames if len(frame)]
-        rows = []
-        if frames and not state.hasTimedOut:
-            together = pd.concat(frames).sort_values(["ts", "message_id"], kind="stable")
-            rows = together.to_dict("records")
+        waiting = data.pop("waiting", [])
+        for frame in frames:
+            waiting.extend(list(row.values()) for row in frame[columns].to_dict("records"))
+        waiting.sort(key=lambda row: [row[k] for k in key])
         watermark = state.getCurrentWatermarkMs() / 1000.0
-        out, again = step(key[0], rows, data, watermark)
+        ready = bisect.bisect_right(waiting, watermark, key=lambda row: row[0])
+        rows = [dict(zip(columns, row)) for row in waiting[:ready]]
+        out, again = step(chat[0], rows, data, watermark)
+        left = waiting[ready:]
+        if left:
+            data["waiting"] = left
+            again = min(left[0][0], again) if again is not None else left[0][0]
         state.update((json.dumps(data),))
         if again is not None:
             state.setTimeoutTimestamp(int(max(again, watermark) * 1000) + 1)
@@ -112,23 +161,16 @@ def _stateful(messages: DataFrame, step, output: str, needed: list[str]) -> Data
             yield pd.DataFrame(out, columns=names)
 
     return (
-        messages.select("chat_id", "message_id", "ts", "event_time", *needed)
+        messages.select("chat_id", "event_time", *columns)
         .groupBy("chat_id")
         .applyInPandasWithState(update, output, "data string", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
 def build_turns(messages: DataFrame, merge_window_s: int = 180) -> DataFrame:
-    """Turns as a stream. Rows wait in state until the watermark has passed them, so late rows inside the allowed
-    delay still land in order; a turn is emitted when the next one starts or its window has passed."""
+    """Turns as a stream. A turn is emitted when the next one starts or its window has passed."""
 
     def step(chat, rows, data, watermark):
-        pending = data.setdefault("pending", [])
-        for row in rows:
-            pending.append(
-                [int(row["ts"]), int(row["message_id"]), int(row["sender_id"]), bool(row["is_me"]), row["text"], bool(row["is_forwarded"])]
-            )
-        pending.sort()
         out = []
 
         def close():
@@ -139,23 +181,19 @@ def build_turns(messages: DataFrame, merge_window_s: int = 180) -> DataFrame:
                     (chat, turn["sender"], turn["is_me"], turn["start"], turn["end"], len(turn["texts"]), "\n".join(turn["texts"]), "\n".join(own))
                 )
 
-        ready = [item for item in pending if item[0] <= watermark]
-        data["pending"] = pending[len(ready) :]
-        for ts, _, sender, is_me, words, forwarded in ready:
+        for row in rows:
+            ts, sender = row["ts"], row["sender_id"]
             turn = data.get("open")
             if not turn or turn["sender"] != sender or ts - turn["end"] > merge_window_s:
                 close()
-                turn = data["open"] = {"sender": sender, "is_me": is_me, "start": ts, "end": ts, "texts": [], "forwarded": []}
+                turn = data["open"] = {"sender": sender, "is_me": row["is_me"], "start": ts, "end": ts, "texts": [], "forwarded": []}
             turn["end"] = ts
-            turn["texts"].append(words)
-            turn["forwarded"].append(forwarded)
+            turn["texts"].append(row["text"])
+            turn["forwarded"].append(row["is_forwarded"])
         turn = data.get("open")
         if turn and watermark > turn["end"] + merge_window_s:
             close()
-        times = [data["pending"][0][0]] if data["pending"] else []
-        if data.get("open"):
-            times.append(data["open"]["end"] + merge_window_s)
-        return out, min(times) if times else None
+        return out, data["open"]["end"] + merge_window_s if data.get("open") else None
 
     return _stateful(
         messages,
@@ -166,7 +204,7 @@ def build_turns(messages: DataFrame, merge_window_s: int = 180) -> DataFrame:
 
 
 def gate_messages(messages: DataFrame, gate, rules: LiveRules = LiveRules()) -> DataFrame:
-    """Outcome of each message as it arrives: fixed gates and the skip draw are columns, the pause, the provocations
+    """Outcome of each message in order: fixed gates and the skip draw are columns, the pause, the provocations
     of the hour and the passed replies of the day are state."""
     prepared = messages.withColumn("gate", gate).withColumn(
         "provoking", is_provocation(F.col("kind"))
@@ -289,8 +327,8 @@ def followup_due(messages: DataFrame, rules: InitiativeRules = InitiativeRules()
         open_replies = data.setdefault("open", [])
         for row in rows:
             ts = int(row["ts"])
-            side = "out" if row["origin"] != "partner" else "in"
-            for reply in reversed(open_replies):  # they are in time order: stop at the first too old
+            side = "out" if row["origin"] in OUTGOING else "in" if row["origin"] == "partner" else None
+            for reply in reversed(open_replies) if side else ():  # they are in time order: stop at the first too old
                 if reply["ts"] + wait < ts:
                     break
                 if reply["ts"] < ts:
@@ -320,6 +358,7 @@ def followup_due(messages: DataFrame, rules: InitiativeRules = InitiativeRules()
 def opener_plan(messages: DataFrame, rules: InitiativeRules = InitiativeRules()) -> DataFrame:
     """First messages as timers: once a local day, at the moment the seed gives, if the chat is silent then."""
     seed, probability, zone_name = rules.seed, rules.opener_probability, rules.zone
+    active = messages.where(F.col("origin").isin("partner", *OUTGOING))
     begin, span, silence = rules.opener_from_s, rules.opener_to_s - rules.opener_from_s, rules.opener_silence_s
 
     def step(chat, rows, data, watermark):
@@ -337,24 +376,28 @@ def opener_plan(messages: DataFrame, rules: InitiativeRules = InitiativeRules())
             midnight = int(datetime.combine(day, time(), tzinfo=zone).timestamp())
             return midnight + begin + int(draw("time", day) * span)
 
-        # times not yet decided on stay in state, because a row may be newer than a planned moment before it
-        times = data.setdefault("times", [])
-        times.extend(int(row["ts"]) for row in rows)
-        times.sort()
-        if "day" not in data:
-            data["day"] = datetime.fromtimestamp(times[0], tz=zone).date().isoformat()
-        day = date.fromisoformat(data["day"])
+        def decide(limit):
+            """Planned moments before ``limit``, all rows up to which have been seen."""
+            day = date.fromisoformat(data["day"])
+            while moment(day) < limit:
+                at = moment(day)
+                if draw("roll", day) < probability:
+                    out.append((chat, day.isoformat(), at, "ok" if at - data["last"] >= silence else "not_silent"))
+                day += timedelta(days=1)
+            data["day"] = day.isoformat()
+
         out = []
-        while moment(day) < watermark:
-            at = moment(day)
-            earlier = [t for t in times if t <= at]
-            if earlier:
-                data["last"] = max(earlier[-1], data.get("last", earlier[-1]))
-                times[:] = times[len(earlier) :]
-            if draw("roll", day) < probability and "last" in data:
-                out.append((chat, day.isoformat(), at, "ok" if at - data["last"] >= silence else "not_silent"))
-            day += timedelta(days=1)
-        data["day"] = day.isoformat()
-        return out, moment(day)
-
-    return _stateful(messages, step, "chat_id bigint, day string, at bigint, outcome string", [])
+        for row in rows:
+            if "last" in data:
+                decide(row["ts"])
+            else:
+                data["day"] = datetime.fromtimestamp(row["ts"], tz=zone).date().isoformat()
+                if moment(date.fromisoformat(data["day"])) < row["ts"]:  # the first day's moment is over
+                    data["day"] = (date.fromisoformat(data["day"]) + timedelta(days=1)).isoformat()
+            data["last"] = row["ts"]
+        if "last" not in data:
+            return out, None
+        decide(watermark)
+        return out, moment(date.fromisoformat(data["day"]))
+
+    return _stateful(active, step, "chat_id bigint, day string, at bigint, outcome string", [])

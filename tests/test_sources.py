@@ -79,6 +79,35 @@ def test_lone_surrogates(spark, tmp_path):
     assert rows[1]["text"] == "😂 ok" and rows[2]["text"] == "a\\ud83d"
 
 
+def test_the_mark_itself_is_text(spark, tmp_path):
+    path = write(tmp_path / "m.json", chat([record(1, text="a \uffff b")]))
+    row = ex.classify_records(read_chat_export(spark, path)).first()
+    assert (row["reason"], row["text"]) == (None, "a \uffff b")
+
+
+def test_cut_in_small_blocks(spark, tmp_path, monkeypatch):
+    """Block borders inside strings, numbers, escapes and white space change nothing."""
+    from convspark.sources import chat_export, files
+
+    doc = {"about": [1.5, {"x": "]}"}], "chats": {"n": -12.5e3, "list": [{"messages": [record(1, text='q " \\ é 😂 }'), {"id": 123456}, 7, [], "s"], "id": 5}, chat([], 6)]}, "z": True}
+    text = json.dumps(doc, indent=1)
+    whole = list(chat_export._cut(chat_export._Walk(iter([text]), "p")))
+    for size in (1, 2, 7, 50):
+        pieces = (text[i : i + size] for i in range(0, len(text), size))
+        assert list(chat_export._cut(chat_export._Walk(pieces, "p"))) == whole
+    assert [json.loads(r[3]) for r in whole if r[2] is not None] == doc["chats"]["list"][0]["messages"]
+    monkeypatch.setattr(files, "BLOCK", 5)
+    (tmp_path / "lines.txt").write_bytes("a\r\nb\rc\n\nd\u2028é\x85f\n".encode())
+    assert list(files._lines(str(tmp_path / "lines.txt"))) == ["a", "b", "c", "", "d", "é", "f"]
+
+
+def test_records_are_dealt_over_tasks(spark, tmp_path):
+    path = write(tmp_path / "large.json", chat([record(i, i) for i in range(1, 30_001)]))
+    rows = read_chat_export(spark, path)
+    assert rows.count() == 30_000
+    assert rows.where("pos = chat_pos").count() == 1 and rows.agg(F.max("pos")).first()[0] == 29_999
+
+
 def test_full_export_equals_single_and_skips_other_chats(spark, tmp_path):
     records = [record(i, i * 50, i % 2 == 0) for i in range(1, 9)]
     single = write(tmp_path / "single.json", chat(records))
@@ -122,6 +151,12 @@ def test_ingest(spark, tmp_path):
     manifest = tables.read_manifest(spark, f"{out}/dataset_manifest").first()
     assert (manifest["turns"], manifest["own_turns"], manifest["pairs_kept"], manifest["train"], manifest["holdout"], manifest["eval_sample"]) == (120, 60, 60, 51, 9, 4)
     assert manifest["anonymized"]["email"] == 60 and manifest["conversations"] == 1
+    assert manifest["config_source"] == "defaults" and '"tail_fraction": 0.15' in manifest["config"] and manifest["replies_over_max"] == 0
+    assert len(manifest["chats"]) == 1 and manifest["per_year"]["2024"]["train"] == 51
+    read = tables.read_manifest(spark, f"{out}/messages_manifest").first()
+    assert (read["export_kind"], read["me"], read["raw_messages"], read["anomalies"]["reply_id_unparsed"]) == ("single_chat", 1001, 120, 0)
+    assert read["source_bytes"] == read["sources"][0]["bytes"] == len((tmp_path / "x.json").read_bytes())
+    assert read["sender_counts"]["user1001"] == 60 and read["chats"][0]["me_messages"] == 60
     pairs = tables.read_pairs(spark, f"{out}/pairs")
     assert pairs.count() == 60 and pairs.where("eval_sample").count() == 4
     assert tables.read_pairs(spark, f"{out}/pairs", "train").where("reply LIKE '%<email>%'").count() == 51
@@ -135,6 +170,19 @@ def test_ingest(spark, tmp_path):
     assert len(prints["sha256"]) == 64 and prints["bytes"] == len((tmp_path / "x.json").read_bytes())
 
 
+def test_sections_and_train_manifest(spark, tmp_path):
+    from convspark.operators import training
+
+    notes = spark.createDataFrame([(n, f"p{n}", f" text {n} ") for n in range(40)], "chunk int, period string, text string").repartition(5)
+    training.write_sections(notes, str(tmp_path / "dossier"))
+    lines = [p.read_text() for p in sorted((tmp_path / "dossier").glob("part-*"))]
+    assert "".join(lines) == "".join(f"### p{n}\ntext {n}\n\n" for n in range(40))
+    examples = spark.createDataFrame([("1:1", "t", 10, 4, 6), ("1:2", "u", 30, 4, 26)], "pair_id string, text string, tokens int, prompt_tokens int, reply_tokens int")
+    tables.write_train_manifest(training.train_manifest(examples, 20), examples, str(tmp_path / "m"), "words", "abc", 20)
+    row = tables.read_manifest(spark, str(tmp_path / "m")).first()
+    assert (row["tokenizer"], row["pairs_dataset_version"], row["examples"], row["dropped_too_long"], row["max_seq_length"]) == ("words", "abc", 1, 1, 20)
+
+
 def test_jsonl_errors(spark, tmp_path):
     good = '{"messages":[{"role":"user","content":"a"}],"pair_id":"1:1"}'
     path = write(tmp_path / "t.jsonl", good + "\n\n" + good)
@@ -168,6 +216,9 @@ def test_privacy(spark, tmp_path):
     (root / "a" / ".env.example").write_text("user1234567")
     (root / "a" / "bin").write_bytes(b"\x00" + body.encode())
     (root / "a" / "odd").write_bytes(b"\xff user1234567")
+    for name in ("_secret.py", "__init__.py", ".hidden/ci.yml"):
+        (root / "a" / name).parent.mkdir(exist_ok=True)
+        (root / "a" / name).write_text("user1234567")
     blocklist = corpus.read_blocklist(spark, write(tmp_path / "block.txt", "# comment\n\nсекретное\nab\n"))
     settings = corpus.read_setting_terms(spark, write(tmp_path / "env", "OWNER_IDS=55555,12\nAPI_TOKEN='hunter2hunter2'\nSHORT_KEY=abc\nPERSONA_NAME=Мирон\n"))
     terms = blocklist.unionByName(settings).cache()
@@ -180,9 +231,9 @@ def test_privacy(spark, tmp_path):
         if r["path"].endswith("text.txt"):
             by_line.setdefault(r["line"], set()).add(r["category"])
     assert by_line == {i: c for i, (_, c) in enumerate(LINES, 1) if c}
-    assert {r["path"].rsplit("/", 1)[1] for r in found} == {"text.txt", "odd"}
-    joined = privacy.term_findings(lines, terms, inline_limit=1).collect()
-    assert sorted(map(str, joined)) == sorted(map(str, privacy.term_findings(lines, terms).collect()))
+    assert {r["path"].rsplit("/", 1)[1] for r in found} == {"text.txt", "odd", ".env.example", "_secret.py", "__init__.py", "ci.yml"}
+    blocks = privacy.term_findings(lines, terms, block_bytes=50).collect()
+    assert sorted(map(str, blocks)) == sorted(map(str, privacy.term_findings(lines, terms).collect()))
     assert privacy.term_findings(lines, terms.where(F.lit(False))).count() == 0
 
 

@@ -71,13 +71,22 @@ def test_sample_is_proportional_seeded_and_order_free(spark):
     assert first == again != other and len(first) == 50 and sum(i % 10 == 0 for i in first) == 5
 
 
+def test_style_sample(spark):
+    pairs = spark.range(400).select(F.concat(F.lit("1:"), "id").alias("pair_id"), (F.lit(1640995200) + F.col("id") * 200000).cast("bigint").alias("ts"))
+    rows = sp.style_sample(pairs, 40, 3).collect()
+    years = [r["ts"] // 31557600 + 1970 for r in rows]
+    assert len(rows) == 40 and [r["ts"] for r in rows] == sorted(r["ts"] for r in rows)
+    assert 14 <= years.count(2022) <= 18 and 14 <= years.count(2023) <= 18
+
+
 def test_fingerprints(spark):
     df = spark.range(50).select("id", F.col("id").cast("string").alias("t"))
     a, b = sp.dataset_version(df).first(), sp.dataset_version(df.repartition(7)).first()
     assert a == b and len(a["dataset_version"]) == 12
     assert sp.dataset_version(df.where("id > 0")).first() != a
-    with pytest.raises(Exception, match="more than 10"):
-        sp.sample_identity(df, "t", 10).collect()
+    first, again = sp.sample_identity(df, "t").first(), sp.sample_identity(df.union(df).repartition(3), "t").first()
+    assert first == again and (first["ids"], len(first["identity"])) == (50, 12)
+    assert sp.sample_identity(df.where("id <> 7"), "t").first()["identity"] != first["identity"]
 
 
 @pytest.mark.parametrize("values,q,expected", [

@@ -59,6 +59,20 @@ def test_knn_is_exact(spark, monkeypatch, pivots, same_chat):
         assert [d for _, d in got[q]] == pytest.approx([d for _, d in expected[q]], abs=2e-6)
 
 
+@pytest.mark.parametrize("same_chat", [False, True])
+def test_probed_search_recall(spark, same_chat):
+    """Hits obey the filters, and their distances are those of the exact search for nine of ten or more."""
+    _, index = vectors(spark, 900, 16, 5)
+    queries = index.select(F.col("pair_id").alias("query_id"), "chat_id", F.col("ts").alias("ts_before"), "embedding").where("pair_id % 20 = 0 and pair_id > 100")
+    exact = {(r["query_id"], r["hit"]): r["distance"] for r in knn.nearest(queries, index, 10, same_chat).collect()}
+    found = knn.nearest_probed(queries, index, 10, same_chat, tables=10, bits=5, probes=4).collect()
+    ids = {r["pair_id"]: r["chat_id"] for r in index.select("pair_id", "chat_id").collect()}
+    assert all(r["ts"] < r["query_id"] and (not same_chat or r["chat_id"] == ids[r["query_id"]]) for r in found)
+    assert len({(r["query_id"], r["pair_id"]) for r in found}) == len(found)
+    same = sum(abs(r["distance"] - exact[r["query_id"], r["hit"]]) < 1e-6 for r in found)
+    assert same >= 0.9 * len(exact)
+
+
 def test_k_zero_and_empty_index(spark):
     _, index = vectors(spark, 30)
     queries = index.select(F.col("pair_id").alias("query_id"), "embedding").limit(3)

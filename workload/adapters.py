@@ -50,24 +50,22 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def as_messages(conversations: DataFrame) -> DataFrame:
-    """Each line of a conversation turn is one message of one of four chats."""
+    """Each line of a conversation turn is one message of one of four chats; system lines come from a third sender."""
     lines = (
-        conversations
-        .where("role <> 'system'")
-        .select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+        conversations.select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
         .where(F.trim("text") != "")
         .withColumn("i", F.col("pos") + 1)
     )
     late = F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") >= 4), 10800).otherwise(0)
     step = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, 200).otherwise(40)
-    me = F.col("role") == "assistant"
+    me, system = F.col("role") == "assistant", F.col("role") == "system"
     chat = F.col("conv_id") % 4
     return lines.select(
         chat.alias("chat_id"),
         (F.col("conv_id") * 10000 + F.col("turn") * 100 + F.col("i")).alias("message_id"),
         (1704067200 + F.col("conv_id") * 86400 + F.col("turn") * 1500 + late + (F.col("i") - 1) * step).alias("ts"),
-        F.when(me, F.lit(ME)).otherwise(chat + 1002).cast("bigint").alias("sender_id"),
-        F.when(me, "me").otherwise(F.concat(F.lit("p"), chat)).alias("sender_name"),
+        F.when(me, F.lit(ME)).when(system, chat + 2002).otherwise(chat + 1002).cast("bigint").alias("sender_id"),
+        F.when(me, "me").when(system, F.concat(F.lit("s"), chat)).otherwise(F.concat(F.lit("p"), chat)).alias("sender_name"),
         me.alias("is_me"),
         "text",
         ((F.col("conv_id") * 7 + F.col("turn") * 3 + F.col("i")) % 11 == 0).alias("is_forwarded"),
@@ -145,7 +143,7 @@ def raw_records(spark: SparkSession, sf: str) -> DataFrame:
         F.when(i % 7 == 0, F.lit(None)).otherwise(F.col("ts").cast("string")).alias("date_unixtime"),
         F.when(i % 49 == 0, F.lit("bad")).otherwise(local).alias("date"),
         F.when(i % 5 == 0, i - 1).when(i % 41 == 0, i + 50).cast("string").alias("reply_to"),
-        F.lit(None).cast("string").alias("edited_unixtime"),
+        F.when(i % 47 == 0, F.lit("later")).when(i % 46 == 0, F.col("ts").cast("string")).alias("edited_unixtime"),
         F.col("is_forwarded"),
     )
 
@@ -233,7 +231,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
         v.alias("pair_id"),
         (v % 4).alias("chat_id"),
         v.alias("ts"),
-        F.concat(F.lit("Reply "), v % 50, F.when(v % 2 == 0, "!").otherwise("")).alias("reply"),
+        F.concat(F.lit("Reply "), v % 50, F.when(v % 2 == 0, "!").otherwise(""), F.when(v % 50 % 3 == 0, " and some more words").otherwise("")).alias("reply"),
         "label",
         "embedding",
     )

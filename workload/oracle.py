@@ -15,14 +15,14 @@ MESSAGES = """
 lines AS (
   SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) AS i
-  FROM conversations WHERE role <> 'system'),
+  FROM conversations),
 m AS (
   SELECT conv_id % 4 AS chat_id, conv_id*10000 + turn*100 + i AS message_id,
     CAST(1704067200 + conv_id*86400 + turn*1500
       + CASE WHEN conv_id%5=0 AND turn>=4 THEN 10800 ELSE 0 END
       + (i-1) * CASE WHEN (conv_id+turn)%3=0 THEN 200 ELSE 40 END AS BIGINT) AS ts,
-    CASE WHEN role='assistant' THEN 1001 ELSE conv_id % 4 + 1002 END AS sender_id,
-    CASE WHEN role='assistant' THEN 'me' ELSE 'p' || (conv_id % 4) END AS sender_name,
+    CASE role WHEN 'assistant' THEN 1001 WHEN 'system' THEN conv_id % 4 + 2002 ELSE conv_id % 4 + 1002 END AS sender_id,
+    CASE role WHEN 'assistant' THEN 'me' WHEN 'system' THEN 's' || (conv_id % 4) ELSE 'p' || (conv_id % 4) END AS sender_name,
     role = 'assistant' AS is_me, line AS text,
     (conv_id*7 + turn*3 + i) % 11 = 0 AS is_forwarded
   FROM lines WHERE trim(line) <> '')"""
@@ -452,11 +452,17 @@ add("accounting_check", """SELECT "check", left_count, right_count, left_count =
   UNION ALL SELECT 'holdout by year = holdout', (SELECT CAST(coalesce(sum(k),0) AS BIGINT) FROM (SELECT count(*) AS k FROM held GROUP BY substr(period,1,4))), (SELECT count(*) FROM held))""", SPLIT)
 add("dataset_version", """SELECT count(*) AS rows, substr(sha256(count(*) || ':' || sum(h)), 1, 12) AS dataset_version FROM (
   SELECT CAST(CAST('0x' || substr(sha256(CAST(to_json({'chat_id': chat_id, 'message_id': message_id, 'ts': ts, 'text': text}) AS VARCHAR)), 1, 15) AS BIGINT) AS HUGEINT) AS h FROM m)""", MESSAGES)
-add("sample_identity", "SELECT count(*) AS ids, substr(sha256(coalesce(string_agg(pair_id, chr(10) ORDER BY pair_id), '')), 1, 12) AS identity FROM chosen", SPLIT)
+add("sample_identity", """SELECT count(*) AS ids, substr(sha256(count(*) || ':' || coalesce(sum(h), 0)), 1, 12) AS identity FROM (
+  SELECT CAST(CAST('0x' || substr(sha256(pair_id), 1, 15) AS BIGINT) AS HUGEINT) AS h FROM chosen)""", SPLIT)
 
 add("anonymize_documents", "SELECT doc_id, t5 AS text FROM c5", cleaned())
 add("anonymize_counts", f"""SELECT {count_of(TOKEN_URL, 'text')} AS token_url, {count_of(EMAIL, 't1')} AS email, {count_of(MENTION, 't2')} AS mention,
   {count_of(CARD, 't3')} AS card, {count_of(PHONE, 't4')} + {count_of(PHONE, 't4b')} AS phone FROM c5""", cleaned())
+add("term_findings", """SELECT doc_id, 'blocklist' AS category, count(*) AS findings
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) l JOIN terms ON contains(lower(l.line), lower(terms.term))
+  GROUP BY doc_id""", """terms AS (SELECT DISTINCT trim(p) AS term FROM (SELECT unnest(string_split(text, chr(10))) AS p FROM benchmark)
+    WHERE length(trim(p)) >= 3 AND NOT starts_with(trim(p), '#'))""")
+# The shapes and phrases of the privacy search and the guard, in the dialect of this engine.
 SHAPES = {
     "telegram-user-id": r"\buser\d{5,}\b",
     "telegram-bot-token": r"\b\d{8,10}:[A-Za-z0-9_-]{35}\b",
@@ -538,7 +544,7 @@ f AS (SELECT doc_id, spot, fact FROM k QUALIFY row_number() OVER (PARTITION BY d
 add("knn_join", "SELECT query_id, rank, pair_id, distance FROM nn", VECTORS, neighbours("nn", "pair_id <> query_id", 8))
 add("knn_join_asof", "SELECT query_id, rank, pair_id, distance FROM nn", VECTORS, neighbours("nn", "ts < query_id AND q_chat = v_chat", 8))
 add("statements_anti", "SELECT query_id, pair_id, rank FROM said WHERE NOT EXISTS (SELECT 1 FROM shown s WHERE s.query_id = said.query_id AND s.pair_id = said.pair_id)",
-    VECTORS, neighbours("shown", "ts < query_id", 8), neighbours("said", "ts < query_id AND label <> 0", 4))
+    VECTORS, neighbours("shown", "ts < query_id", 8), neighbours("said", "ts < query_id AND pair_id % 50 % 3 = 0", 4))
 add("retrieval_leakage", """SELECT query_id, pair_id, CASE WHEN pair_id = query_id THEN 'target_retrieved' WHEN label = 0 THEN 'holdout_retrieved'
   ELSE 'not_earlier' END AS violation FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, pair_id) AS hit FROM cand)
   WHERE hit <= 5 AND (pair_id = query_id OR label = 0 OR ts >= query_id)""", VECTORS)
@@ -590,8 +596,8 @@ add("train_eval_split", """SELECT pair_id, CASE WHEN n >= 20 AND rn <= greatest(
 FLAT_CLIP = "CASE WHEN length(replace({x}, chr(10), ' / ')) > {n} THEN substr(replace({x}, chr(10), ' / '), 1, {n}-1) || '…' ELSE replace({x}, chr(10), ' / ') END"
 EXAMPLES = f"""array_to_string(list_transform({THEIRS}, lambda t: 'Собеседник: ' || {FLAT_CLIP.format(x='t.text', n=300)} || chr(10) || 'Me: ' || reply), chr(10) || chr(10))"""
 KNOW = f"""concat_ws(chr(10) || chr(10),
-  CASE WHEN ts % 200 = 0 THEN '### Что Me уже говорил на похожие темы' || chr(10) || 'Его реальные прошлые реплики, с месяцем. Это его мнения и факты, а не шаблоны: не повторяй их дословно.' || chr(10) || '- [' || period || '] ' || {FLAT_CLIP.format(x='reply', n=300)} END,
-  CASE WHEN ts % 300 = 0 THEN '### Что Me знает про этого собеседника' || chr(10) || 'Короткая памятка из прошлых разговоров. Если она противоречит переписке ниже, верь переписке.' || chr(10) || '- факт' END)"""
+  CASE WHEN ts % 200 = 0 THEN '### Me: earlier statements' || chr(10) || '- [' || period || '] ' || {FLAT_CLIP.format(x='reply', n=300)} END,
+  CASE WHEN ts % 300 = 0 THEN '### Partner: notes' || chr(10) || '- факт' END)"""
 add("prompt_table", f"""SELECT pair_id, regexp_replace('Me' || chr(10) || 'стиль' || chr(10) || CASE WHEN len({THEIRS}) > 0 THEN {EXAMPLES} ELSE '(примеров нет)' END || chr(10) || chr(10) || {KNOW} || chr(10) || chr(10) || 'конец', '\\n{{3,}}', chr(10) || chr(10), 'g') AS system,
   regexp_replace(CASE WHEN len(context) > 1 THEN {transcript('context[:-2]')} ELSE '(начало разговора)' END || chr(10) || '### ' || context[-1].text || chr(10) || 'Me:', '\\n{{3,}}', chr(10) || chr(10), 'g') AS user FROM pairs""", OWN)
 add("chunk_render", f"""SELECT chunk, count(*) AS pairs, arg_min(period, n) || ' — ' || arg_max(period, n) AS period, string_agg(line, chr(10) ORDER BY n) AS text FROM (
@@ -698,18 +704,31 @@ add("reply_target_audit", """SELECT count(*) AS replies, count(*) FILTER (WHERE
   FROM (SELECT * FROM cls WHERE chat_id<>3 AND reason IS NULL AND reply_to IS NOT NULL) k
   LEFT JOIN (SELECT chat_id, record_id, bool_or(reason IS NULL) AS kept FROM cls WHERE chat_id<>3 AND record_id IS NOT NULL GROUP BY 1, 2) t ON t.chat_id=k.chat_id AND t.record_id=k.reply_to""", RAW)
 
-# --- streams: what is final once the watermark (ten minutes behind the newest row) has passed -----
+add("pairs_since", "SELECT pair_id, ts FROM pairs WHERE ts >= 1705708800", OWN)
+add("first_eval_records", "SELECT pair_id, ts FROM split_pairs WHERE eval_sample ORDER BY ts, pair_id LIMIT 20", SPLIT)
+add("style_sample", """SELECT pair_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY draw, pair_id) AS pos FROM drawn) JOIN given USING (y) WHERE pos <= share""",
+    OWN, """drawn AS (SELECT pair_id, ts, substr(period, 1, 4) AS y, sha256('7:' || pair_id) AS draw FROM pairs),
+years AS (SELECT y, count(*) AS size, sum(count(*)) OVER () AS p FROM drawn GROUP BY y),
+parts AS (SELECT y, size * least(60, p) // p AS base, size * least(60, p) % p AS rest, least(60, p) AS t FROM years),
+given AS (SELECT y, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, y) <= t - sum(base) OVER () THEN 1 ELSE 0 END AS share FROM parts)""")
+add("sender_counts", "SELECT from_id AS sender_raw_id, count(*) AS messages FROM cls WHERE reason IS NULL GROUP BY 1", RAW)
+add("anomaly_counts", """SELECT CAST(0 AS BIGINT) AS text_entities_mismatch, count(*) FILTER (WHERE pos % 47 = 0) AS edited_unixtime_unparsed,
+  CAST(0 AS BIGINT) AS reply_id_unparsed FROM cls WHERE reason IS NULL""", RAW)
+add("messages_manifest", """SELECT count(*) AS raw_messages, count(*) FILTER (WHERE chat_id <> 3 AND reason IS NULL) AS kept_messages,
+  min(stamp) FILTER (WHERE chat_id <> 3 AND reason IS NULL) AS ts_min, max(stamp) FILTER (WHERE chat_id <> 3 AND reason IS NULL) AS ts_max,
+  'full_export' AS export_kind, (SELECT '{' || string_agg('"' || r || '":' || n, ',' ORDER BY n DESC, r) || '}' FROM (
+    SELECT CASE WHEN chat_id = 3 THEN 'chat_type_skipped' ELSE reason END AS r, count(*) AS n FROM cls WHERE chat_id = 3 OR reason IS NOT NULL GROUP BY 1)) AS dropped,
+  count(DISTINCT chat_id) AS chats, count(DISTINCT from_id) FILTER (WHERE chat_id <> 3 AND reason IS NULL) AS senders FROM cls""", RAW)
+ORACLE["knn_join_pivots"] = ORACLE["knn_join"]
+
+# --- streams: the whole result of the batch operators -----
 
-WATERMARK = "(SELECT max(ts) - 600 FROM {rows})"
 add("stream_enrich", f"""SELECT doc_id, kind, least(length(t5), 1000) AS chars FROM c5 JOIN k USING (doc_id)""",
     cleaned().replace(documents(sm.CONTACTS, 20), documents(sm.CONTACTS + sm.PROVOKING, 40)),
     "k AS (" + ORACLE["classify_messages"].replace(documents(sm.PROVOKING, 28), documents(sm.CONTACTS + sm.PROVOKING, 40)) + ")")
-add("stream_hourly_counts", f"""SELECT chat_id, ts // 3600 * 3600 AS bucket_ts, count(*) AS messages FROM live GROUP BY 1, 2
-  HAVING ts // 3600 * 3600 + 3600 <= {WATERMARK.format(rows='live')}""", LIVE)
-ORACLE["stream_hourly_counts"] = ORACLE["stream_hourly_counts"].replace("HAVING ts // 3600 * 3600", "HAVING min(ts) // 3600 * 3600")
-add("stream_turns", f"""SELECT chat_id, sender_id, is_me, start_ts, end_ts, n_messages FROM (
-  SELECT *, lead(start_ts) OVER (PARTITION BY chat_id ORDER BY turn_idx) AS next_ts FROM turns)
-  WHERE end_ts + 180 < {WATERMARK.format(rows='m')} OR next_ts <= {WATERMARK.format(rows='m')}""", TURNS)
-ORACLE["stream_gate"] = ORACLE["gate_messages"]
-ORACLE["stream_rate_limit"] = ORACLE["rate_limit"]
-ORACLE["stream_followup"] = f"SELECT * FROM ({ORACLE['followup_due']}) WHERE ts + 1200 < (SELECT CAST(floor(epoch(max(ts))) AS BIGINT) - 600 FROM events)"
+add("stream_hourly_counts", "SELECT chat_id, CAST(ts // 3600 * 3600 AS BIGINT) AS bucket_ts, count(*) AS messages FROM live GROUP BY 1, 2", LIVE)
+add("stream_turns", "SELECT chat_id, sender_id, is_me, start_ts, end_ts, n_messages, text, own_text FROM turns", TURNS)
+ORACLE["stream_sessions"] = f"SELECT chat_id, start_ts, end_ts, messages FROM ({ORACLE['session_counts']})"
+for batch in ("gate_messages", "rate_limit", "followup_due", "learning_due", "edit_origin"):
+    ORACLE[{"gate_messages": "stream_gate", "followup_due": "stream_followup", "learning_due": "stream_learning", "edit_origin": "stream_edits"}.get(batch, f"stream_{batch}")] = ORACLE.get(batch, "")
+ORACLE = {name: sql for name, sql in ORACLE.items() if sql}

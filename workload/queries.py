@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,9 @@ from convspark.operators import split as sp
 from convspark.operators import stats as st
 from convspark.operators import turns as tn
 from convspark.operators.quantiles import nearest_rank_quantiles
+from convspark.plans import dataset
 from convspark.session import stage, staging_dir
+from convspark.sources import vector_table
 from convspark.streaming import jobs
 from workload import adapters as ad
 from workload import samples as sm
@@ -28,6 +32,7 @@ PROMPT_SYSTEM = "${name}\n${style_profile}\n${examples}\n\n${knowledge}\n\nко
 PROMPT_USER = "${history}\n### ${incoming}\n${name}:"
 SMALL_BUDGET = LiveRules(replies_per_hour=3, replies_per_day=40)
 LOOSE_SHORT = 60
+STATEMENT_MIN_CHARS = 20
 
 QUERIES: dict = {}
 
@@ -94,16 +99,15 @@ def index_text(spark, sf):
 
 @query
 def split_pair(spark, sf):
-    context = F.col("context")
-    history = F.slice(context, F.lit(1), F.size(context) - 1)
-    previous = F.try_element_at(text.partner_turns(history), F.lit(-1))["text"]
-    last = F.element_at(context, -1)
-    stop = F.when(last["is_me"], F.raise_error(F.lit("the last context turn must be the partner's")).cast("string"))
-    return ad.pairs(spark, sf).select(
-        "pair_id", text.render_turns(history, NAME).alias("history"),
-        F.coalesce(stop, last["text"]).alias("incoming"), previous.alias("previous"),
-        text.last_partner_text(context).alias("last_partner_text"),
-    )
+    return ev.split_pair(ad.pairs(spark, sf), NAME)
+
+
+@query
+def pairs_since(spark, sf):
+    """Pairs of the build that leaves out replies before a day."""
+    rules = replace(ad.PAIR_RULES, min_date=date(2024, 1, 20))
+    pairs = tn.build_pairs(tn.judge_own_turns(ad.turns(spark, sf), rules))
+    return pairs.select("pair_id", "ts")
 
 
 @query
@@ -208,6 +212,16 @@ def eval_sample(spark, sf):
     return sp.flag_eval_sample(split, ad.SPLIT_RULES).select("pair_id", "split", "eval_sample")
 
 
+@query
+def style_sample(spark, sf):
+    return sp.style_sample(ad.pairs(spark, sf), 60, 7).select("pair_id", "ts")
+
+
+@query
+def first_eval_records(spark, sf):
+    return ev.first_records(ad.split_pairs(spark, sf).where("eval_sample"), 20).select("pair_id", "ts")
+
+
 @query
 def split_summary(spark, sf):
     return sp.split_summary(ad.split_pairs(spark, sf), ad.cutoffs(spark, sf))
@@ -238,7 +252,7 @@ def dataset_version(spark, sf):
 @query
 def sample_identity(spark, sf):
     sample = ad.split_pairs(spark, sf).where("eval_sample")
-    return sp.sample_identity(sample, "pair_id", ad.SPLIT_RULES.eval_sample_size)
+    return sp.sample_identity(sample, "pair_id")
 
 
 # --- cleaning and classification ---------------------------------------------------------------
@@ -272,6 +286,15 @@ def privacy_findings(spark, sf):
     )
 
 
+@query
+def term_findings(spark, sf):
+    """Lines of documents that hold a line of a benchmark passage: the passages as a block list."""
+    passages = ad.table(spark, sf, "benchmark").select(F.explode(F.split("text", "\n")).alias("value"))
+    lines = privacy.text_lines(ad.documents(spark, sf), "doc_id", "text")
+    found = privacy.term_findings(lines, privacy.blocklist_terms(passages))
+    return privacy.finding_counts(found).withColumnRenamed("path", "doc_id")
+
+
 @query
 def classify_messages(spark, sf):
     rows = _documents(spark, sf, sm.PROVOKING, 28)
@@ -334,6 +357,32 @@ def knn_join(spark, sf):
     return knn.knn_join(queries, ad.vectors(spark, sf)).select("query_id", "rank", "pair_id", "distance")
 
 
+@query
+def knn_join_pivots(spark, sf):
+    """The same join by the way that large tables take: vectors in groups by pivots."""
+    queries = ad.vector_queries(spark, sf).drop("ts_before").withColumn("exclude", F.array("query_id"))
+    return knn.knn_join(queries, ad.vectors(spark, sf), pivots=8).select("query_id", "rank", "pair_id", "distance")
+
+
+@query
+def retrieval(spark, sf):
+    """Query text to examples: texts of the holdout ask the index of the training pairs of their chat."""
+    path = f"{staging_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    identity = vector_table.EmbeddingIdentity("local", "hashed-words", 64)
+
+    def embed(rows):
+        return rows.withColumn("embedding", vector_table.hashed_features(F.col("document")))
+
+    vector_table.build_index(ad.train(spark, sf), path, embed, identity, "current")
+    asked = ev.split_pair(ad.split_pairs(spark, sf).where("split = 'holdout'"), NAME).join(ad.split_pairs(spark, sf).select("pair_id", "chat_id", "ts"), "pair_id")
+    queries = asked.select(
+        F.col("pair_id").alias("query_id"), "chat_id", F.col("ts").alias("ts_before"),
+        vector_table.hashed_features(knn.query_text(F.col("previous"), F.col("incoming"))).alias("embedding"),
+    )
+    hits = knn.knn_join(queries, vector_table.open_index(spark, path, identity), same_chat=True)
+    return hits.select("query_id", "rank", "pair_id", "distance")
+
+
 @query
 def knn_join_asof(spark, sf):
     hits = knn.knn_join(ad.vector_queries(spark, sf), ad.vectors(spark, sf), same_chat=True)
@@ -345,7 +394,7 @@ def statements_anti(spark, sf):
     queries = ad.vector_queries(spark, sf)
     index = ad.vectors(spark, sf)
     shown = knn.knn_join(queries, index, k=8)
-    said = knn.knn_join(queries, index.where("label <> 0"), k=4)
+    said = knn.knn_join(queries, index.where(F.length("reply") >= STATEMENT_MIN_CHARS), k=4)
     return knn.statements_not_shown(said, shown).select("query_id", "pair_id", "rank")
 
 
@@ -653,6 +702,25 @@ def chat_summary(spark, sf):
     return ex.chat_summary(ex.classify_records(ad.raw_records(spark, sf)), ad.ME)
 
 
+@query
+def sender_counts(spark, sf):
+    return ex.sender_counts(ex.to_messages(ex.classify_records(ad.raw_records(spark, sf)), ad.ME))
+
+
+@query
+def anomaly_counts(spark, sf):
+    return ex.anomaly_counts(ex.to_messages(ex.classify_records(ad.raw_records(spark, sf)), ad.ME))
+
+
+@query
+def messages_manifest(spark, sf):
+    """The manifest without its version, maps as text."""
+    classified = ex.classify_records(ad.raw_records(spark, sf))
+    build = dataset.MessageBuild(classified, ex.to_messages(ex.only_chat_types(classified), ad.ME))
+    row = dataset.messages_manifest(build, ad.ME)
+    return row.select("raw_messages", "kept_messages", "ts_min", "ts_max", "export_kind", F.to_json("dropped").alias("dropped"), F.size("chats").alias("chats"), F.size("sender_counts").alias("senders"))
+
+
 @query
 def top_senders(spark, sf):
     return ex.top_senders(ad.raw_records(spark, sf), 3)
@@ -683,6 +751,26 @@ def _run(spark, df, label, mode="append"):
     return jobs.run_available(df, f"{folder}/out", f"{folder}/state", mode)
 
 
+ARRIVALS, DELAY_S = 4, 540
+
+
+def _arriving(spark, rows, label, job):
+    """``job`` over ``rows`` as a stream that comes to its end. Rows come in several micro-batches, out of order by up to
+    ``DELAY_S`` seconds; each micro-batch is spread over all cores."""
+    folder = f"{staging_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    cores = spark.sparkContext.defaultParallelism
+    arrival = F.col("ts") + F.pmod(F.xxhash64("message_id"), F.lit(DELAY_S))
+    placed = stage(rows.withColumn("__arrival", arrival), f"{label}-rows")
+    cuts = placed.approxQuantile("__arrival", [n / ARRIVALS for n in range(1, ARRIVALS)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = placed if low is None else placed.where(F.col("__arrival") > low)
+        part = part if high is None else part.where(F.col("__arrival") <= high)
+        part.drop("__arrival").repartition(cores).write.mode("append").parquet(f"{folder}/in")
+    read = jobs.read_stream(spark, f"{folder}/in", rows.schema, cores)
+    stream = jobs.with_event_time(jobs.with_end(read, f"{folder}/end"))
+    return jobs.run_available(job(stream), f"{folder}/out", f"{folder}/state", end=(f"{folder}/end", rows.schema))
+
+
 @query
 def stream_enrich(spark, sf):
     texts = _stream(spark, sf, "documents")
@@ -694,29 +782,44 @@ def stream_enrich(spark, sf):
 
 @query
 def stream_hourly_counts(spark, sf):
-    rows = jobs.with_event_time(ad.as_live(_stream(spark, sf, "events")))
-    return _run(spark, jobs.bucket_counts(rows, "1 hour"), "hours")
+    return _arriving(spark, ad.live_events(spark, sf), "hours", lambda rows: jobs.bucket_counts(rows, "1 hour"))
+
+
+@query
+def stream_sessions(spark, sf):
+    counts = _arriving(spark, ad.live_events(spark, sf), "sessions", lambda rows: jobs.session_counts(rows, "3601 seconds"))
+    return counts.select("chat_id", "start_ts", "end_ts", "messages")
 
 
 @query
 def stream_turns(spark, sf):
-    rows = jobs.with_event_time(ad.as_messages(_stream(spark, sf, "conversations")))
-    return _run(spark, jobs.build_turns(rows), "turns").drop("text", "own_text")
+    return _arriving(spark, ad.messages(spark, sf), "turns", jobs.build_turns)
 
 
 @query
 def stream_gate(spark, sf):
-    rows = jobs.with_event_time(ad.as_live(_stream(spark, sf, "events")))
-    return _run(spark, jobs.gate_messages(rows, _gate(), SMALL_BUDGET), "gate")
+    return _arriving(spark, ad.live_events(spark, sf), "gate", lambda rows: jobs.gate_messages(rows, _gate(), SMALL_BUDGET))
 
 
 @query
 def stream_rate_limit(spark, sf):
-    rows = jobs.with_event_time(ad.as_live(_stream(spark, sf, "events")).where("origin = 'partner'"))
-    return _run(spark, jobs.rate_limit(rows, SMALL_BUDGET), "rate")
+    rows = ad.live_events(spark, sf).where("origin = 'partner'")
+    return _arriving(spark, rows, "rate", lambda stream: jobs.rate_limit(stream, SMALL_BUDGET))
 
 
 @query
 def stream_followup(spark, sf):
-    rows = jobs.with_event_time(ad.as_live(_stream(spark, sf, "events")))
-    return _run(spark, jobs.followup_due(rows), "followup")
+    return _arriving(spark, ad.live_events(spark, sf), "followup", jobs.followup_due)
+
+
+@query
+def stream_learning(spark, sf):
+    return _arriving(spark, _live_turns(spark, sf), "learning", jobs.learning_due)
+
+
+@query
+def stream_edits(spark, sf):
+    rows = ad.live_events(spark, sf).select("chat_id", "message_id", "ts", "origin")
+    edits = rows.withColumn("ts", F.col("ts") + F.col("message_id") % 5 * 100000).withColumn("is_edit", F.lit(True))
+    both = rows.where("origin = 'bot'").withColumn("is_edit", F.lit(False)).unionByName(edits).drop("origin")
+    return _arriving(spark, both, "edits", lambda stream: jobs.edit_origin(stream, LiveRules(remembered_ids=100)))
