@@ -120,10 +120,11 @@ def identifiers(docs: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
         good = good.when(F.col("kind") == n, valid(kind, F.col("text")))
     placed = placed.where(good)
     # a candidate must not overlap a base span: neither one that begins before it nor one that begins inside it
-    order = Window.partitionBy("row").orderBy("start", F.desc("kind"))
+    onward = Window.partitionBy("row").orderBy("start", F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    backward = Window.partitionBy("row").orderBy(F.desc("start"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_base = F.col("kind") >= 0
-    reached = F.max(F.when(is_base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ahead = F.min(F.when(is_base, F.col("start"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    reached = F.max(F.when(is_base, F.col("end"))).over(onward)
+    ahead = F.min(F.when(is_base, F.col("start"))).over(backward)
     placed = placed.withColumns({"reached": reached, "ahead": ahead})
     free = (F.coalesce("reached", F.lit(0)) <= F.col("start")) & (F.coalesce("ahead", F.col("end")) >= F.col("end"))
     spans = placed.where(is_base | free).select("row", "start", "kind", "end", F.lower("text").alias("instance"), _patterns().alias("patterns"))

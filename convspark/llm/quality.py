@@ -185,8 +185,6 @@ def judged(docs: DataFrame, rules: Rules, column: str = "__quality") -> DataFram
     over the references, null where they are not judged) and ``kept``."""
     ref = references(docs, rules)
     text = F.col("text")
-    with_words = docs.withColumn("__words", words(text))
-    found = F.col("__words")
 
     def verdict(z: Column) -> Column:
         base_failed = failed(z["base"], rules)
@@ -205,8 +203,12 @@ def judged(docs: DataFrame, rules: Rules, column: str = "__quality") -> DataFram
         )
         return bind(far, lambda f: F.struct(*(z["base"][n].alias(n) for n in BASE), *(f[n].alias(n) for n in ("base_failed", "class_distance", "word_distance", "kept"))))
 
-    parts = F.struct(base_counts(text, found).alias("base"), class_counts(text).alias("classes"), found.alias("words"))
-    return with_words.withColumn(column, bind(parts, verdict)).drop("__words")
+    def measured(found: Column) -> Column:
+        return bind(F.struct(base_counts(text, found).alias("base"), class_counts(text).alias("classes"), found.alias("words")), verdict)
+
+    # the words are bound, not a column: a filter on the verdict may be moved before that column and split the text anew
+    # for every place that names it
+    return docs.withColumn(column, bind(words(text), measured))
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
