@@ -48,7 +48,8 @@ def test_empty_table(docs, operators, name):
 
 
 def test_all_null(docs, operators):
-    for name in NAMES:
+    """Nothing to learn from and nothing to measure."""
+    for name in ("score", "identify", "quality", "mix"):
         assert len(operators[name](docs([(None, None, None, None)] * 3)).collect()) == 3
 
 
@@ -66,9 +67,8 @@ def test_stages(spark, docs, odd_rows, benchmark_table, tmp_path, name, step):
     table = docs(odd_rows)
     found = step(spark, table, str(tmp_path))
     if name != corpus_pipeline.STAGES[-1][0]:
-        assert found.columns == table.columns and found.schema == table.schema or set(found.columns) == set(table.columns)
+        assert found.columns == table.columns
     assert step(spark, docs([]), str(tmp_path)).count() == 0
-    assert found.count() >= 0
 
 
 def test_stage_results(spark, docs, odd_rows, benchmark_table, tmp_path):

@@ -56,7 +56,7 @@ def test_cases(docs):
     assert base(docs, texts) == [plain_spans(t) for t in texts]
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="a1 9.@+-_(é😀", max_size=40), min_size=40, max_size=60))
 def test_any_text(docs, texts):
     assert base(docs, texts) == [plain_spans(t) for t in texts]

@@ -46,7 +46,7 @@ def test_cases(docs):
     assert counts(docs, TEXTS)[0] == [plain_counts(t) for t in TEXTS]
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="ab \n\t#|é", max_size=60), min_size=30, max_size=40))
 def test_any_text(docs, texts):
     assert counts(docs, texts)[0] == [plain_counts(t) for t in texts]
