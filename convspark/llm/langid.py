@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convspark.llm.common import crc_remainder
+from convspark.operators.lookup import lookup_join
 from convspark.session import stage
 
 UNKNOWN = "und"
@@ -231,7 +232,7 @@ def train(labelled: DataFrame, rules: Rules | None = None) -> Model:
     sizes = rows.groupBy("lang").agg(F.count("*").alias("texts"))
     share = F.lit(float(rules.texts_per_language)) / F.col("texts")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    sample = stage(rows.join(sizes, "lang").where(draw < share).select("doc_id", "text", "lang"), "language-sample")
+    sample = stage(lookup_join(rows, sizes, "lang", ["doc_id"]).where(draw < share).select("doc_id", "text", "lang"), "language-sample")
     held_back = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(10)) == 0
     model = build_model(_counts(sample.where(~held_back), rules.order).toPandas(), rules)
     if model.languages:
