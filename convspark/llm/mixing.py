@@ -67,12 +67,14 @@ def targets(sizes: DataFrame, rules: Rules) -> DataFrame:
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, order: np.ndarray) -> np.ndarray:
-    """How many of ``counts`` documents to take of each length, so that their words come as near to ``budget`` from below
-    as the knapsack finds. ``order``: lengths as they are filled up."""
+    """How many of ``counts`` documents to take of each length, so that their words (or those of the ones left out) come as
+    near to ``budget`` as the knapsack finds. ``order``: lengths as they are filled up."""
     whole = int((lengths * counts).sum())
     budget = max(0, min(budget, whole))
-    if budget == whole:
-        return counts.copy()
+    if 2 * budget > whole:  # few are left out: these are fitted, so that short ones are still there for the last words
+        return counts - fit(lengths, counts, whole - budget, order)
+    if not budget:
+        return np.zeros_like(counts)
     taken = (counts * budget) // whole
     gap = budget - int((lengths * taken).sum())
     for k in order.tolist():

@@ -83,7 +83,7 @@ def test_one_length_is_drawn_over_many_ranges(docs):
     for r in found:
         taken[r["source_size"], rows[r["doc_id"]][3]] += r["taken"]
     goal = plain_targets({s: 1000 for s in "abc"})
-    assert all(abs(n - goal[s]) <= 1 for (_, s), n in taken.items())
+    assert all(abs(n - goal[s]) <= 2 for (_, s), n in taken.items())
 
 
 def test_the_mix_repeats_rows(docs):
