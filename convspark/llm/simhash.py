@@ -29,13 +29,13 @@ BYTE_PAIRS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
 CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """SimHash of one text as an unsigned number: zero if it has no word; one shingle of all words if they are few."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """A hash for each shingle of a text, in order: none if it has no word; one shingle of all words if they are few."""
     import xxhash
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, ">u8")
     joined = b" ".join(tokens)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(sizes + 1) - 1
@@ -45,7 +45,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist())), ">u8", len(starts))
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist())), ">u8", len(starts))
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """SimHash of one text as an unsigned number: zero if it has no word."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
         part = hashes[at : at + CHUNK]
@@ -118,10 +125,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, list_limit: int = 64, ext
     return rows.join(classes, "fp", "left").select("doc_id", "text_hash", "fp", "component", "component_id", "class_size", *extra)
 
 
-def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``docs`` with one document of each component: the smallest doc_id, then the smallest text hash.
-    Of repeated rows one stays. Columns stay as they are."""
-    found = near_duplicates(docs, shingle)
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one document of each ``component`` of ``found`` (``doc_id``, ``text_hash``, ``component``): the smallest
+    doc_id, then the smallest text hash. Of repeated rows one stays. Columns stay as they are."""
     one = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
     chosen = found.join(one, "component").where(
         F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("text_hash") == F.col("one.text_hash"))
