@@ -99,3 +99,54 @@ def test_recall_of_the_embedding(rate, least):
         keys = decontam.embed_keys(np.array([a, b], np.uint64), rules.repetitions, rules.sampled, rules.seed)
         hits += bool((keys[:, 0] == keys[:, 1]).any())
     assert hits >= least * pairs
+
+
+def plain_passage_distance(item, words):
+    """Least edit distance of the item from any passage."""
+    row = [0] * (len(words) + 1)
+    for i, x in enumerate(item, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(words, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return min(row)
+
+
+def test_passages_with_free_ends():
+    draw = random.Random(5)
+    for _ in range(400):
+        item, words = draw.choices(range(1, 5), k=draw.randint(1, 9)), draw.choices(range(5), k=draw.randrange(14))
+        masks = {}
+        for at, word in enumerate(item):
+            masks[word] = masks.get(word, 0) | 1 << at
+        for most in (0, 1, 3):
+            assert decontam.contains_within(masks, len(item), words, most) == (plain_passage_distance(item, words) <= most)
+
+
+def test_edits_before_and_after_the_run():
+    """A window that begins two words before the place of the shared run."""
+    w = [f"w{n}" for n in range(21)]
+    block = decontam.Block.build([(1, " ".join(w[1:]))], decontam.Rules()).prepare()
+    text = [*w[1:4], "x", "y", *w[4:16], *w[18:21]]
+    assert len(text) == 20 and plain_distance(w[1:], text) == 4
+    around = [f"o{n}" for n in range(40)]
+    assert block.search([" ".join(text), " ".join(around + text + around), " ".join(around + text[:-1] + around)]) == [[1], [1], []]
+
+
+@pytest.mark.parametrize("insert_first", [True, False])
+def test_all_passages_at_the_edit_rate_are_found(insert_first):
+    """20 % edits, insertions at one end of the passage and deletions at the other, or anywhere."""
+    draw = random.Random(6)
+    items = [(n, passage(draw, draw.randint(15, 60))) for n in range(150)]
+    block = decontam.Block.build(items, decontam.Rules()).prepare()
+    texts = []
+    for _, text in items:
+        words = text.split()
+        k = int(0.2 * len(words))
+        if insert_first:
+            cut = draw.randint(1, 3)
+            words = words[:cut] + ["added"] * (k // 2) + words[cut : -1 - (k - k // 2)] + words[-1:]
+            changed = " ".join(words)
+        else:
+            changed = edited(draw, text, k)
+        texts.append(f"{passage(draw, 50)} {changed} {passage(draw, 50)}")
+    assert all(n in found for (n, _), found in zip(items, block.search(texts)))
