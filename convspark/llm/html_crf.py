@@ -39,6 +39,9 @@ OTHER_WORDS = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments respond reply replies cookie consent gdpr notice popup modal overlay newsletter subscribe signup login related recommended share sharing social sidebar side widget menu nav navigation navbar footer header masthead promo promoted sponsor sponsored toolbar pagination pager tags meta byline".split()
 )
 MAIN_TAGS = frozenset(("article", "main"))
+#: What a head may hold; any other element ends it, as text does.
+HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+FOREIGN = frozenset(("svg", "math"))
 BUCKETS = 1 << 14
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -75,6 +78,8 @@ class BlockParser(HTMLParser):
         self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in HEAD_TAGS:
+            self._end_head(anywhere=tag == "body")
         if tag in VOID:
             if tag == "br" or tag == "hr":
                 self._text(" ")
@@ -98,6 +103,15 @@ class BlockParser(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        # only foreign elements close themselves; elsewhere the stroke means nothing
+        if tag not in VOID and self._in_foreign():
+            self._pop(len(self.open) - 1)
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """In HTML a section is a comment up to the next ``>``, whatever its keyword; only foreign elements have CDATA."""
+        if self._in_foreign() and self.rawdata.startswith("<![CDATA[", i):
+            return super().parse_marked_section(i, report)
+        return self.parse_bogus_comment(i)
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
@@ -110,6 +124,8 @@ class BlockParser(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip(" \t\n\r\f"):
+            self._end_head()
         self._text(data)
 
     def close(self) -> None:
@@ -122,6 +138,18 @@ class BlockParser(HTMLParser):
             if self.links:
                 self.linked += len(data)
 
+    def _in_foreign(self) -> bool:
+        return any(name in FOREIGN for name, _ in self.open)
+
+    def _end_head(self, anywhere: bool = False) -> None:
+        """Ends a head that is open still: the innermost element, or ``anywhere``."""
+        for at in range(len(self.open) - 1, -1, -1):
+            if self.open[at][0] == "head":
+                self._pop(at)
+                return
+            if not anywhere:
+                return
+
     def _close_until(self, tag: str) -> None:
         for at in range(len(self.open) - 1, -1, -1):
             name = self.open[at][0]
@@ -152,7 +180,7 @@ def blocks_of(html: str | None) -> list[Block]:
     try:
         parser.feed(html or "")
         parser.close()
-    except (AssertionError, ValueError):  # declarations that the parser can't read; the text before them is kept
+    except (AssertionError, ValueError):  # character numbers of thousands of digits; the text before them is kept
         parser._end_block()
     return parser.blocks
 

@@ -66,6 +66,27 @@ def test_blocks():
     assert [b.tags for b in html_crf.blocks_of("<div><p>x</div>y")] == [("div", "p"), ()]
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<html><head><title>t</title><body><p>A<p>B</body></html>",
+        "<html><head><meta charset=utf-8><title>t</title><p>A</p><p>B</p>",
+        "<head><title>t</title>\n A <p>B",
+        "<head><noscript><img src=x>n</noscript><title>t</title></head><p>A<p>B",
+        "<body><p><svg width=9 />A<p>B",
+        "<body><p><math/>A<p>B",
+        "<body><p><svg><title/><g><path d=x /><text>s</text></g></svg>A<p>B",
+        "<p>A<p>B<svg><![CDATA[ x > <p>y ]]></svg>",
+        "<p>A<![word x]><p>B",
+        "<p>A<![ x]><p>B",
+        "<p>A<![endif]--><p>B<!-- ]> -->",
+        "<p>A<![if !x]><p>B<![endif]>",
+    ],
+)
+def test_no_text_is_lost_after_optional_tags_and_odd_declarations(html):
+    assert [b.text for b in html_crf.blocks_of(html)] == ["A", "B"]
+
+
 def test_viterbi_is_the_best_path():
     draw = np.random.default_rng(3)
     for _ in range(30):
