@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convspark.llm import decontam, filter_audit, html_crf, langid, mixing, pii, prefix_trie, quality, sharding, simhash, suffix_tree, token_counts
+from convspark.llm import decontam, filter_audit, html_crf, langid, mixing, packing, pii, prefix_trie, quality, sharding, simhash, suffix_tree, token_counts
 from convspark.llm.common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -62,6 +62,10 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read_table(spark, folder, "documents"), TOKENIZER, packing.Rules(capacity=TOKEN_LIMIT))
+
+
 def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality,
         op9_language,
         op10_mixing,
+        op11_packing,
         op12_filter_audit,
         op13_prefix_trie,
     )
