@@ -5,16 +5,15 @@ Input rows are live messages with ``chat_id, message_id, ts`` (seconds) and ``or
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convspark.config import DAY_S, HOUR_S, MEMORY_TURNS, InitiativeRules, LiveRules
 from convspark.functions.guard import is_provocation
 from convspark.functions.text import clip, clock_seconds, seeded_fraction, utc_clock
+from convspark.operators.chained import Slices, budget_room, learning_moments
 from convspark.operators.lookup import lookup_join
 from convspark.operators.ordered import (
     fitting_width,
@@ -85,45 +84,17 @@ def autopause(messages: DataFrame, rules: LiveRules = LiveRules()) -> DataFrame:
     return rows.where(~_is("bot")).select("chat_id", "message_id", "ts", outcome.alias("outcome"))
 
 
-def reply_room(candidates: DataFrame, rules: LiveRules = LiveRules()) -> DataFrame:
+def reply_room(candidates: DataFrame, rules: LiveRules = LiveRules(), slices: Slices = Slices()) -> DataFrame:
     """Per chat and second: how many replies the budget still allows when the second begins.
 
     Only replies that pass use up budget, so each second depends on the ones before it. Candidates are counted
     per second first. Stretches of a chat with a silence of a day between them do not affect each other and run
-    apart. Each task streams its sorted seconds with a state of at most one day."""
+    apart; a busy stretch is cut into slices that run side by side (see ``chained``)."""
     seconds = candidates.groupBy("chat_id", "ts").agg(F.count("*").alias("asked"))
     stretches = number_islands(
         seconds, ["chat_id"], "ts", ["ts"], ["ts"], lambda a, b: b["ts"] - a["ts"] >= DAY_S, "stretch"
     )
-    sorted_rows = stretches.repartition("chat_id", "stretch").sortWithinPartitions("chat_id", "stretch", "ts")
-    per_hour, per_day, hour, day = rules.replies_per_hour, rules.replies_per_day, HOUR_S, DAY_S
-
-    def spend(batches):
-        key = None
-        for rows in batches:
-            room = []
-            for chat, stretch, ts, asked in zip(rows["chat_id"], rows["stretch"], rows["ts"], rows["asked"]):
-                if (chat, stretch) != key:
-                    key = (chat, stretch)
-                    recent, today = deque(), deque()
-                    in_hour = in_day = 0
-                while recent and recent[0][0] <= ts - hour:
-                    in_hour -= recent.popleft()[1]
-                while today and today[0][0] <= ts - day:
-                    in_day -= today.popleft()[1]
-                free = max(0, min(per_hour - in_hour, per_day - in_day))
-                room.append(free)
-                used = min(free, asked)
-                if used:
-                    recent.append((ts, used))
-                    today.append((ts, used))
-                    in_hour += used
-                    in_day += used
-            yield pd.DataFrame({"chat_id": rows["chat_id"], "ts": rows["ts"], "room": room})
-
-    return sorted_rows.select("chat_id", "stretch", "ts", "asked").mapInPandas(
-        spend, "chat_id bigint, ts bigint, room bigint"
-    )
+    return budget_room(stretches, ["chat_id", "stretch"], rules, slices).select("chat_id", "ts", "room")
 
 
 def rate_limit(candidates: DataFrame, rules: LiveRules = LiveRules()) -> DataFrame:
@@ -392,37 +363,13 @@ def budget_backtest(messages: DataFrame, rules: LiveRules = LiveRules()) -> Data
     return parts[0].unionByName(parts[1])
 
 
-def learning_due(turns: DataFrame, rules: LiveRules = LiveRules()) -> DataFrame:
+def learning_due(turns: DataFrame, rules: LiveRules = LiveRules(), slices: Slices = Slices()) -> DataFrame:
     """Moments at which a chat's facts are rewritten: enough new human turns and enough time since the last.
 
-    Each moment depends on the one before it, so the turns are counted per second and each chat is streamed in
-    time order with three numbers of state."""
+    Each moment depends on the one before it. Turns are counted per second; a busy chat is cut into slices that run side
+    by side (see ``chained``)."""
     seconds = human_turns(turns).groupBy("chat_id", "ts").agg(F.count("*").alias("rows"))
-    sorted_rows = seconds.repartition("chat_id").sortWithinPartitions("chat_id", "ts")
-    need, pause = rules.facts_min_turns, rules.facts_interval_s
-
-    def watch(batches):
-        chat = None
-        out = []
-        for rows in batches:
-            for key, ts, count in zip(rows["chat_id"], rows["ts"], rows["rows"]):
-                if key != chat:
-                    if chat is not None and new >= need:
-                        out.append((chat, last + pause, new))
-                    chat, new, last = key, 0, -pause
-                if new >= need and last + pause < ts:
-                    out.append((chat, last + pause, new))
-                    last, new = last + pause, 0
-                new += count
-                if new >= need and ts - last >= pause:
-                    out.append((chat, ts, new))
-                    last, new = ts, 0
-            yield pd.DataFrame(out, columns=["chat_id", "due_ts", "turns"])
-            out = []
-        if chat is not None and new >= need:
-            yield pd.DataFrame([(chat, last + pause, new)], columns=["chat_id", "due_ts", "turns"])
-
-    return sorted_rows.mapInPandas(watch, "chat_id bigint, due_ts bigint, turns bigint")
+    return learning_moments(seconds, ["chat_id"], rules.facts_min_turns, rules.facts_interval_s, slices)
 
 
 def edit_origin(sent: DataFrame, edits: DataFrame, rules: LiveRules = LiveRules()) -> DataFrame:
