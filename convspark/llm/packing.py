@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -25,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convspark.llm.token_counts import WHITE
+from convspark.llm.token_counts import WHITE, byte_symbols
 from convspark.operators.lookup import lookup_join
 from convspark.session import stage
 
-#: Words and pieces whose ids a worker remembers, and the longest of them; a full memory is emptied, which changes no id.
-REMEMBERED = 400_000
+#: Pieces whose ids a worker remembers, and the longest of them; a full memory is emptied, which changes no id.
+REMEMBERED = 800_000
 LONGEST_REMEMBERED = 40
-ITEM_ROWS = 4_000
+ITEM_ROWS = 1_000
 ITEMS = "item long, doc_id long, start long, length int, doc_tokens long, crc long, ids binary"
 PIECES = "item long, doc_id long, start long, length long, crc long, doc_tokens long, sequence_id long, offset long, inside long"
 RESULT = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -52,9 +53,9 @@ class Rules:
     ranges: int = 4_096
 
 
-class WordIds(dict):
-    """Ids of words as little-endian 32-bit numbers. A vocabulary whose pieces never hold white space is asked for each
-    word, or piece of a plain word, once; any other is asked for whole texts."""
+class PieceIds(dict):
+    """Ids of texts as little-endian 32-bit numbers. For a vocabulary that cuts texts into letters, single digits and other
+    signs, the library's model is asked once for each piece; for any other the library is asked for whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -63,65 +64,66 @@ class WordIds(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-        cut = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        added = [t for t in spec["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])]
-        # Fixed value: the only pattern of pieces that is known here not to match white space.
+        cut, bytes_ = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}])[:2]
+        # Fixed value: the only pattern of pieces that is known here.
         known = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and cut.get("pattern") == {"Regex": known} and cut.get("invert") and not added
-        self.plain = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-z]+|[0-9]|[^a-z0-9]+")
-        self.special = tuple(t["content"][:2] for t in spec["added_tokens"])
-        self.pieces: dict[str, bytes] = {}
-        self.white = re.compile(f"[{WHITE}]+")
-        self.separators = re.compile("[\x1c-\x1f]")
+        as_known = cut.get("pattern") == {"Regex": known} and cut.get("invert") and bytes_.get("type") == "ByteLevel" and not bytes_.get("add_prefix_space")
+        self.by_piece = kinds == ["NFC", "Replace", "Lowercase"] and as_known
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.symbols = byte_symbols()
+        self.clear_signs: set[str] = set()
+        self.pattern = re.compile(rf"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\w{WHITE}]|_)+")
+        self.plain = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-z]+|[0-9]|[^a-z0-9\t-\r ]+")
 
     def asked(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = self.asked(piece)
-            if len(piece) <= LONGEST_REMEMBERED:
-                if len(self.pieces) >= REMEMBERED:
-                    self.pieces.clear()
-                self.pieces[piece] = found
-        return found
-
-    def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable() and not any(s in word for s in self.special):
-            found = b"".join(map(self.piece, self.plain.findall(word.lower())))
-        else:
-            found = self.asked(word)
-        if len(word) <= LONGEST_REMEMBERED:
+    def __missing__(self, piece: str) -> bytes:
+        symbols = "".join([self.symbols[b] for b in piece.encode()])
+        found = np.array([t.id for t in self.model.tokenize(symbols)], dtype="<u4").tobytes()
+        if len(piece) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
                 self.clear()
-            self[word] = found
+            self[piece] = found
         return found
 
+    def known_signs(self, text: str) -> bool:
+        """Whether the pattern's classes mean what the vocabulary's mean: not for numbers that are no decimal digits, and not for
+        code points that Python's tables do not know yet."""
+        unseen = set(text) - self.clear_signs
+        if any(c.isalnum() and not c.isalpha() and not c.isdecimal() or unicodedata.category(c) == "Cn" for c in unseen):
+            return False
+        self.clear_signs |= unseen
+        return True
+
     def of(self, text: str) -> bytes:
-        if not self.by_word:
+        if text.isascii() and self.by_piece and not any(s in text for s in self.special):
+            return b"".join(map(self.__getitem__, self.plain.findall(text.lower())))
+        if not self.by_piece or any(s in text for s in self.special) or not self.known_signs(text):
             return self.asked(text)
-        # Python takes four separators for white space that the vocabulary does not.
-        words = self.white.split(text) if self.separators.search(text) else text.split()
-        return b"".join(map(self.__getitem__, words))
+        text = unicodedata.normalize("NFC", text)
+        if "Σ" in text:  # a lower-case form that does not depend on its neighbours
+            text = text.replace("Σ", "σ")
+        return b"".join(map(self.__getitem__, self.pattern.findall(text.lower())))
 
 
 @functools.lru_cache(maxsize=2)
-def word_ids(tokenizer: str) -> WordIds:
+def piece_ids(tokenizer: str) -> PieceIds:
     """One for each worker. A bare file name is looked up among the public vocabularies of the machine."""
     if "/" not in tokenizer:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path(tokenizer)
-    return WordIds(tokenizer)
+    return PieceIds(tokenizer)
 
 
 def cut_items(batches: Iterable[pd.DataFrame], tokenizer: str, rules: Rules) -> Iterator[pd.DataFrame]:
     """Full sequences and rests of each document, with their ids."""
-    ids = word_ids(tokenizer)
+    ids = piece_ids(tokenizer)
     end = np.array([rules.end_id], dtype="<u4").tobytes()
     item = TaskContext.get().partitionId() << 40
     width = 4 * rules.capacity

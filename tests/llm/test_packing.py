@@ -65,7 +65,7 @@ def check(rows, found, library, rules):
 
 def some_rows(n, seed):
     rng = random.Random(seed)
-    words = ["the", "Corpus", "naïve", "42", "don't", "x" * 30, "ﬁ", "\x1c", "日本", "a-b", "<|endoftext|>"]
+    words = ["the", "Corpus", "naïve", "x² ½", "under_score", "ΟΔΟΣ", "İ", "42", "don't", "x" * 30, "ﬁ", "\x1c", "日本", "a-b", "<|endoftext|>"]
     return [(i, " ".join(rng.choices(words, k=rng.choice([0, 1, 3, 10, 40, 200])))) for i in range(n)]
 
 
@@ -92,11 +92,11 @@ def test_empty_table(spark, docs):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.characters(), st.sampled_from("aB1'st <|\x1c\x1f\x85 ́İΣé|>")), max_size=30))
+@given(st.text(alphabet=st.one_of(st.characters(), st.sampled_from("aB1'st <|\x1c\x1f\x85 ́İΣé|>_²½Ⅷ'l٣一")), max_size=30))
 def test_ids_equal_the_library(library, text):
     text = text.encode("utf-8", "replace").decode()
     for t in (text, f"{text}<|endoftext|>{text}"):
-        assert np.frombuffer(packing.word_ids(TOKENIZER).of(t), dtype="<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(packing.piece_ids(TOKENIZER).of(t), dtype="<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 @settings(max_examples=60, deadline=None)
