@@ -97,11 +97,11 @@ def reply_room(candidates: DataFrame, rules: LiveRules = LiveRules(), slices: Sl
     return budget_room(stretches, ["chat_id", "stretch"], rules, slices).select("chat_id", "ts", "room")
 
 
-def rate_limit(candidates: DataFrame, rules: LiveRules = LiveRules()) -> DataFrame:
+def rate_limit(candidates: DataFrame, rules: LiveRules = LiveRules(), slices: Slices = Slices()) -> DataFrame:
     """Add ``outcome``: ``pass`` while the hourly and daily budget lasts, else ``rate_limited``."""
     placed = candidates.withColumn("__at", position_in_second(["chat_id"], "ts", ["message_id"]))
     return (
-        placed.join(reply_room(candidates.select("chat_id", "ts"), rules), ["chat_id", "ts"])
+        placed.join(reply_room(candidates.select("chat_id", "ts"), rules, slices), ["chat_id", "ts"])
         .withColumn("outcome", F.when(F.col("__at") <= F.col("room"), "pass").otherwise("rate_limited"))
         .drop("__at", "room")
     )

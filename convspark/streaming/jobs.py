@@ -3,26 +3,26 @@
 Input streams have ``chat_id, message_id, ts`` (seconds) and ``event_time`` (timestamp). Rows later than the
 watermark are dropped by Spark. Operators whose result depends on the order of rows hold them back until the watermark
 has passed them and take them in order then, so that results equal those of the batch operators however rows are
-spread over micro-batches. State per chat is bounded: the rows younger than the watermark, and one open turn, one day
-of passed replies, or a few numbers. The size of a micro-batch is set at the source (``maxFilesPerTrigger`` and the
-like). A stream that has come to its end is closed by a marker row (``with_end``), which lets everything out."""
+spread over micro-batches. State per chat is typed (``typed_state``) and bounded: the rows younger than the watermark, and
+one open turn, one day of passed replies, or a few numbers. The size of a micro-batch is set at the source
+(``maxFilesPerTrigger`` and the like). A stream that has come to its end is closed by a marker row (``with_end``), which
+lets everything out; without it the last minutes before the watermark are withheld."""
 
 from __future__ import annotations
 
-import bisect
-import json
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from convspark.config import DAY_S, HOUR_S, MEMORY_TURNS, AnonymizeRules, InitiativeRules, LiveRules
 from convspark.functions.cleaning import anonymize
 from convspark.functions.guard import classify, is_provocation
 from convspark.functions.text import clip
 from convspark.operators.live import should_skip
+from convspark.streaming.typed_state import in_order
 
 LATE = "10 minutes"
 #: Origins of messages that count as sent.
@@ -31,6 +31,22 @@ OUTGOING = ("owner", "bot", "initiative")
 END_CHAT, END_TS = -1, 4_102_444_800
 
 
+def since(times: list[int], moment: int) -> int:
+    """How many of the sorted times are later than ``moment``."""
+    return len(times) - bisect_right(times, moment)
+
+
+def any_within(times: list[int], first: int, last: int) -> bool:
+    return bisect_right(times, last) > bisect_left(times, first)
+
+
+def draw(text: str) -> float:
+    """The seeded draw of ``seeded_fraction``, for one text."""
+    import hashlib
+
+    return int(hashlib.sha256(text.encode()).hexdigest()[:12], 16) / float(1 << 48)
+
+
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100, glob: str | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if glob:
@@ -69,13 +85,17 @@ def run_available(df: DataFrame, out: str, checkpoint: str, mode: str = "append"
         )
         query.awaitTermination()
 
+    _run_to_end(df.sparkSession, run, end)
+    result = df.sparkSession.read.schema(df.schema).parquet(out)
+    return result.where(F.col("chat_id") != END_CHAT) if end else result
+
+
+def _run_to_end(spark: SparkSession, run: Callable[[], None], end: tuple[str, StructType] | None) -> None:
     run()
     if end:
         folder, schema = end
-        df.sparkSession.createDataFrame([_end_row(schema)], schema).write.mode("append").parquet(folder)
+        spark.createDataFrame([_end_row(schema)], schema).write.mode("append").parquet(folder)
         run()
-    result = df.sparkSession.read.schema(df.schema).parquet(out)
-    return result.where(F.col("chat_id") != END_CHAT) if end else result
 
 
 def enrich(messages: DataFrame, max_chars: int = 1000, rules: AnonymizeRules = AnonymizeRules()) -> DataFrame:
@@ -117,7 +137,7 @@ def edit_origin(messages: DataFrame, rules: LiveRules = LiveRules()) -> DataFram
     most = rules.remembered_ids
 
     def step(chat, rows, data, watermark):
-        sent = data.setdefault("sent", [])
+        sent = [i for (i,) in data["sent"]]
         out = []
         for row in rows:
             if row["is_edit"]:
@@ -125,45 +145,12 @@ def edit_origin(messages: DataFrame, rules: LiveRules = LiveRules()) -> DataFram
             else:
                 sent.append(row["message_id"])
                 del sent[:-most]
+        data["sent"] = [(i,) for i in sent]
         return out, None
 
-    return _stateful(
-        messages, step, "chat_id bigint, message_id bigint, ts bigint, by_bot boolean", ["is_edit"], ("ts", "is_edit", "message_id")
-    )
-
-
-def _stateful(messages: DataFrame, step, output: str, needed: list[str], order: tuple[str, ...] = ("ts", "message_id")) -> DataFrame:
-    """``step(chat_id, rows, data, watermark)`` gets the rows that the watermark has passed, in ``order``, and the chat's
-    state as a dict; it returns output rows and the moment (seconds) at which to look again, or None. Younger rows wait
-    in the state."""
-    names = [part.split()[0] for part in output.split(", ")]
-    columns = ["ts", "message_id", *needed]
-    key = [columns.index(name) for name in order]
-
-    def update(chat, frames, state):
-        data = json.loads(state.get[0]) if state.exists else {}
-        waiting = data.pop("waiting", [])
-        for frame in frames:
-            waiting.extend(list(row.values()) for row in frame[columns].to_dict("records"))
-        waiting.sort(key=lambda row: [row[k] for k in key])
-        watermark = state.getCurrentWatermarkMs() / 1000.0
-        ready = bisect.bisect_right(waiting, watermark, key=lambda row: row[0])
-        rows = [dict(zip(columns, row)) for row in waiting[:ready]]
-        out, again = step(chat[0], rows, data, watermark)
-        left = waiting[ready:]
-        if left:
-            data["waiting"] = left
-            again = min(left[0][0], again) if again is not None else left[0][0]
-        state.update((json.dumps(data),))
-        if again is not None:
-            state.setTimeoutTimestamp(int(max(again, watermark) * 1000) + 1)
-        if out:
-            yield pd.DataFrame(out, columns=names)
-
-    return (
-        messages.select("chat_id", "event_time", *columns)
-        .groupBy("chat_id")
-        .applyInPandasWithState(update, output, "data string", "append", GroupStateTimeout.EventTimeTimeout)
+    return in_order(
+        messages, step, "chat_id bigint, message_id bigint, ts bigint, by_bot boolean", "is_edit boolean",
+        {"sent": ("list", "message_id bigint")}, ("ts", "is_edit", "message_id"),
     )
 
 
@@ -172,34 +159,34 @@ def build_turns(messages: DataFrame, merge_window_s: int = 180) -> DataFrame:
 
     def step(chat, rows, data, watermark):
         out = []
+        turn, texts = data["turn"], data["texts"]
 
         def close():
-            turn = data.pop("open", None)
-            if turn:
-                own = [t for t, fwd in zip(turn["texts"], turn["forwarded"]) if not fwd]
-                out.append(
-                    (chat, turn["sender"], turn["is_me"], turn["start"], turn["end"], len(turn["texts"]), "\n".join(turn["texts"]), "\n".join(own))
-                )
+            sender, is_me, start, end = turn
+            own = [t for t, forwarded in texts if not forwarded]
+            out.append((chat, sender, is_me, start, end, len(texts), "\n".join(t for t, _ in texts), "\n".join(own)))
 
         for row in rows:
             ts, sender = row["ts"], row["sender_id"]
-            turn = data.get("open")
-            if not turn or turn["sender"] != sender or ts - turn["end"] > merge_window_s:
-                close()
-                turn = data["open"] = {"sender": sender, "is_me": row["is_me"], "start": ts, "end": ts, "texts": [], "forwarded": []}
-            turn["end"] = ts
-            turn["texts"].append(row["text"])
-            turn["forwarded"].append(row["is_forwarded"])
-        turn = data.get("open")
-        if turn and watermark > turn["end"] + merge_window_s:
+            if turn and turn[0] == sender and ts - turn[3] <= merge_window_s:
+                turn = (*turn[:3], ts)
+            else:
+                if turn:
+                    close()
+                turn, texts = (sender, row["is_me"], ts, ts), []
+            texts.append((row["text"], row["is_forwarded"]))
+        if turn and watermark > turn[3] + merge_window_s:
             close()
-        return out, data["open"]["end"] + merge_window_s if data.get("open") else None
+            turn, texts = None, []
+        data["turn"], data["texts"] = turn, texts
+        return out, turn[3] + merge_window_s if turn else None
 
-    return _stateful(
+    return in_order(
         messages,
         step,
         "chat_id bigint, sender_id bigint, is_me boolean, start_ts bigint, end_ts bigint, n_messages int, text string, own_text string",
-        ["sender_id", "is_me", "text", "is_forwarded"],
+        "sender_id bigint, is_me boolean, text string, is_forwarded boolean",
+        {"turn": ("value", "sender bigint, is_me boolean, start bigint, until bigint"), "texts": ("list", "text string, forwarded boolean")},
     )
 
 
@@ -211,27 +198,24 @@ def gate_messages(messages: DataFrame, gate, rules: LiveRules = LiveRules()) ->
     ).withColumn("skip", should_skip(F.coalesce("text", F.lit("")), rules, F.col("chat_id"), F.col("message_id")))
     prepared = prepared.withColumn("has_text", F.coalesce(F.length("text") > 0, F.lit(False)))
     pause, per_hour, per_day, provocations = rules.pause_s, rules.replies_per_hour, rules.replies_per_day, rules.provocations_per_hour
-    hour, day = HOUR_S, DAY_S
 
     def step(chat, rows, data, watermark):
-        passed = data.setdefault("passed", [])
-        provoked = data.setdefault("provoked", [])
+        passed, provoked = ([t for (t,) in data[name]] for name in ("passed", "provoked"))
+        owner_ts = data["owner"][0] if data["owner"] else None
         out = []
         for row in rows:
-            ts, outcome = int(row["ts"]), row["gate"]
+            ts, outcome = row["ts"], row["gate"]
             if outcome is None:
-                passed[:] = [t for t in passed if t > ts - day]
-                provoked[:] = [t for t in provoked if t > ts - hour]
-                if data.get("owner_ts") is not None and data["owner_ts"] + pause > ts:
+                if owner_ts is not None and owner_ts + pause > ts:
                     outcome = "paused"
                 elif not row["has_text"]:
                     outcome = "non_text"
                 else:
                     if row["provoking"]:
                         provoked.append(ts)
-                    if row["provoking"] and len(provoked) > provocations:
+                    if row["provoking"] and since(provoked, ts - HOUR_S) > provocations:
                         outcome = "provocation_ignored"
-                    elif sum(1 for t in passed if t > ts - hour) >= per_hour or len(passed) >= per_day:
+                    elif since(passed, ts - HOUR_S) >= per_hour or since(passed, ts - DAY_S) >= per_day:
                         outcome = "rate_limited"
                     elif row["skip"]:
                         outcome = "skipped"
@@ -239,50 +223,59 @@ def gate_messages(messages: DataFrame, gate, rules: LiveRules = LiveRules()) ->
                         passed.append(ts)
                         outcome = "pass"
             elif outcome == "owner_message_autopause":
-                data["owner_ts"] = ts
-            out.append((chat, int(row["message_id"]), ts, outcome))
+                owner_ts = ts
+            out.append((chat, row["message_id"], ts, outcome))
+        if rows:
+            data["passed"] = [(t,) for t in passed[bisect_right(passed, rows[-1]["ts"] - DAY_S):]]
+            data["provoked"] = [(t,) for t in provoked[bisect_right(provoked, rows[-1]["ts"] - HOUR_S):]]
+            data["owner"] = None if owner_ts is None else (owner_ts,)
         return out, None
 
-    return _stateful(
-        prepared, step, "chat_id bigint, message_id bigint, ts bigint, outcome string", ["gate", "provoking", "skip", "has_text"]
+    return in_order(
+        prepared, step, "chat_id bigint, message_id bigint, ts bigint, outcome string",
+        "gate string, provoking boolean, skip boolean, has_text boolean",
+        {"owner": ("value", "ts bigint"), "passed": ("list", "ts bigint"), "provoked": ("list", "ts bigint")},
     )
 
 
 def rate_limit(messages: DataFrame, rules: LiveRules = LiveRules()) -> DataFrame:
-    per_hour, per_day, hour, day = rules.replies_per_hour, rules.replies_per_day, HOUR_S, DAY_S
+    per_hour, per_day = rules.replies_per_hour, rules.replies_per_day
 
     def step(chat, rows, data, watermark):
-        passed = data.setdefault("passed", [])
+        passed = [t for (t,) in data["passed"]]
         out = []
         for row in rows:
-            ts = int(row["ts"])
-            passed[:] = [t for t in passed if t > ts - day]
-            free = sum(1 for t in passed if t > ts - hour) < per_hour and len(passed) < per_day
+            ts = row["ts"]
+            free = since(passed, ts - HOUR_S) < per_hour and since(passed, ts - DAY_S) < per_day
             if free:
                 passed.append(ts)
-            out.append((chat, int(row["message_id"]), ts, "pass" if free else "rate_limited"))
+            out.append((chat, row["message_id"], ts, "pass" if free else "rate_limited"))
+        if rows:
+            data["passed"] = [(t,) for t in passed[bisect_right(passed, rows[-1]["ts"] - DAY_S):]]
         return out, None
 
-    return _stateful(messages, step, "chat_id bigint, message_id bigint, ts bigint, outcome string", [])
+    return in_order(
+        messages, step, "chat_id bigint, message_id bigint, ts bigint, outcome string", "", {"passed": ("list", "ts bigint")}
+    )
 
 
 def recent_memory(turns: DataFrame, n: int = MEMORY_TURNS, flagged_chars: int = 200) -> DataFrame:
-    """The memory of a chat after each micro-batch in which it changed."""
+    """The memory of a chat after each micro-batch in which it changed (see ``keep_current`` for readers of the newest). Rows
+    wait for the watermark: a stream that is not closed (``with_end``) withholds its last minutes."""
     stub = F.when(F.col("flagged"), clip(F.col("text"), flagged_chars)).otherwise(F.col("text"))
 
     def step(chat, rows, data, watermark):
-        kept = data.setdefault("kept", [])
-        kept.extend([int(r["ts"]), int(r["message_id"]), bool(r["is_me"]), r["text"]] for r in rows)
-        kept.sort()
-        del kept[:-n]
+        kept = data["kept"] + [(r["ts"], r["message_id"], r["is_me"], r["text"]) for r in rows]
+        data["kept"] = kept = sorted(kept, key=lambda turn: turn[:2])[-n:]
         newest = kept[-1][0] if kept else 0
         return [(chat, newest, len(kept) - i, m, me, words) for i, (_, m, me, words) in enumerate(kept)] if rows else [], None
 
-    return _stateful(
+    return in_order(
         turns.withColumn("text", stub),
         step,
         "chat_id bigint, as_of_ts bigint, back int, message_id bigint, is_me boolean, text string",
-        ["is_me", "text"],
+        "is_me boolean, text string",
+        {"kept": ("list", "ts bigint, message_id bigint, is_me boolean, text string")},
     )
 
 
@@ -292,28 +285,23 @@ def learning_due(turns: DataFrame, rules: LiveRules = LiveRules()) -> DataFrame:
 
     def step(chat, rows, data, watermark):
         out = []
-        data.setdefault("new", 0)
-        data.setdefault("last", -pause)
-
-        def due_by(moment):
-            if data["new"] >= need and data["last"] + pause < moment:
-                out.append((chat, data["last"] + pause, data["new"]))
-                data["last"], data["new"] = data["last"] + pause, 0
-
-        seconds = {}
+        last, new = data["state"] or (-pause, 0)
+        seconds: dict[int, int] = {}
         for row in rows:
-            seconds[int(row["ts"])] = seconds.get(int(row["ts"]), 0) + 1
-        for ts in sorted(seconds):
-            due_by(ts)
-            data["new"] += seconds[ts]
-            if data["new"] >= need and ts - data["last"] >= pause:
-                out.append((chat, ts, data["new"]))
-                data["last"], data["new"] = ts, 0
-        due_by(watermark)
-        return out, data["last"] + pause if data["new"] >= need else None
+            seconds[row["ts"]] = seconds.get(row["ts"], 0) + 1
+        for ts, count in (*seconds.items(), (watermark, 0)):
+            if new >= need and last + pause < ts:
+                out.append((chat, last + pause, new))
+                last, new = last + pause, 0
+            new += count
+            if count and new >= need and ts - last >= pause:
+                out.append((chat, ts, new))
+                last, new = ts, 0
+        data["state"] = (last, new)
+        return out, last + pause if new >= need else None
 
     human = turns.where(~F.col("by_bot") & ~F.col("flagged"))
-    return _stateful(human, step, "chat_id bigint, due_ts bigint, turns bigint", [])
+    return in_order(human, step, "chat_id bigint, due_ts bigint, turns bigint", "", {"state": ("value", "last bigint, new bigint")})
 
 
 def followup_due(messages: DataFrame, rules: InitiativeRules = InitiativeRules()) -> DataFrame:
@@ -321,83 +309,121 @@ def followup_due(messages: DataFrame, rules: InitiativeRules = InitiativeRules()
     wait, seed, probability = rules.followup_from_s, rules.seed, rules.followup_probability
 
     def step(chat, rows, data, watermark):
-        import hashlib
-
-        out = []
-        open_replies = data.setdefault("open", [])
-        for row in rows:
-            ts = int(row["ts"])
-            side = "out" if row["origin"] in OUTGOING else "in" if row["origin"] == "partner" else None
-            for reply in reversed(open_replies) if side else ():  # they are in time order: stop at the first too old
-                if reply["ts"] + wait < ts:
-                    break
-                if reply["ts"] < ts:
-                    reply[side] = True
-            if row["origin"] == "bot":
-                open_replies.append({"ts": ts, "id": int(row["message_id"])})
-        left = []
-        for reply in open_replies:
-            if watermark <= reply["ts"] + wait:
-                left.append(reply)
+        replies = data["replies"] + [(r["ts"], r["message_id"]) for r in rows if r["origin"] == "bot"]
+        sides = {}
+        for side, origins in (("out", OUTGOING), ("in", ("partner",))):
+            sides[side] = sorted([t for (t,) in data[side]] + [r["ts"] for r in rows if r["origin"] in origins])
+        out, left = [], []
+        for ts, message_id in replies:
+            if watermark <= ts + wait:
+                left.append((ts, message_id))
                 continue
-            digest = hashlib.sha256(f"{seed}:{chat}:{reply['ts']}".encode()).hexdigest()
-            rolled = int(digest[:12], 16) / float(1 << 48)
-            if reply.get("out"):
+            if any_within(sides["out"], ts + 1, ts + wait):
                 outcome = "later_outgoing_message"
-            elif reply.get("in"):
+            elif any_within(sides["in"], ts + 1, ts + wait):
                 outcome = "partner_spoke_last"
             else:
-                outcome = "ok" if rolled < probability else "rolled_no"
-            out.append((chat, reply["id"], reply["ts"], outcome))
-        data["open"] = left
-        return out, min(r["ts"] for r in left) + wait if left else None
-
-    return _stateful(messages, step, "chat_id bigint, message_id bigint, ts bigint, outcome string", ["origin"])
+                outcome = "ok" if draw(f"{seed}:{chat}:{ts}") < probability else "rolled_no"
+            out.append((chat, message_id, ts, outcome))
+        data["replies"] = left
+        for side, times in sides.items():  # only what a reply that is still open can look at
+            data[side] = [(t,) for t in times[bisect_right(times, left[0][0]):]] if left else []
+        return out, left[0][0] + wait if left else None
+
+    return in_order(
+        messages, step, "chat_id bigint, message_id bigint, ts bigint, outcome string", "origin string",
+        {"replies": ("list", "ts bigint, message_id bigint"), "out": ("list", "ts bigint"), "in": ("list", "ts bigint")},
+    )
 
 
 def opener_plan(messages: DataFrame, rules: InitiativeRules = InitiativeRules()) -> DataFrame:
     """First messages as timers: once a local day, at the moment the seed gives, if the chat is silent then."""
     seed, probability, zone_name = rules.seed, rules.opener_probability, rules.zone
-    active = messages.where(F.col("origin").isin("partner", *OUTGOING))
+    # the filter is applied before the watermark: the row that closes the stream has to pass it
+    active = messages.where(F.col("origin").isin("partner", *OUTGOING) | (F.col("chat_id") == END_CHAT))
     begin, span, silence = rules.opener_from_s, rules.opener_to_s - rules.opener_from_s, rules.opener_silence_s
 
     def step(chat, rows, data, watermark):
-        import hashlib
         from datetime import date, datetime, time, timedelta
         from zoneinfo import ZoneInfo
 
         zone = ZoneInfo(zone_name)
-
-        def draw(what, day):
-            digest = hashlib.sha256(f"{seed}:{what}:{chat}:{day}".encode()).hexdigest()
-            return int(digest[:12], 16) / float(1 << 48)
+        out = []
 
         def moment(day):
             midnight = int(datetime.combine(day, time(), tzinfo=zone).timestamp())
-            return midnight + begin + int(draw("time", day) * span)
+            return midnight + begin + int(draw(f"{seed}:time:{chat}:{day}") * span)
 
-        def decide(limit):
+        def decide(day, last, limit):
             """Planned moments before ``limit``, all rows up to which have been seen."""
-            day = date.fromisoformat(data["day"])
-            while moment(day) < limit:
-                at = moment(day)
-                if draw("roll", day) < probability:
-                    out.append((chat, day.isoformat(), at, "ok" if at - data["last"] >= silence else "not_silent"))
+            while (at := moment(day)) < limit:
+                if draw(f"{seed}:roll:{chat}:{day}") < probability:
+                    out.append((chat, day.isoformat(), at, "ok" if at - last >= silence else "not_silent"))
                 day += timedelta(days=1)
-            data["day"] = day.isoformat()
+            return day
 
-        out = []
+        day, last = (date.fromisoformat(data["state"][0]), data["state"][1]) if data["state"] else (None, None)
         for row in rows:
-            if "last" in data:
-                decide(row["ts"])
+            if day is None:
+                day = datetime.fromtimestamp(row["ts"], tz=zone).date()
+                if moment(day) < row["ts"]:  # the first day's moment is over
+                    day += timedelta(days=1)
             else:
-                data["day"] = datetime.fromtimestamp(row["ts"], tz=zone).date().isoformat()
-                if moment(date.fromisoformat(data["day"])) < row["ts"]:  # the first day's moment is over
-                    data["day"] = (date.fromisoformat(data["day"]) + timedelta(days=1)).isoformat()
-            data["last"] = row["ts"]
-        if "last" not in data:
+                day = decide(day, last, row["ts"])
+            last = row["ts"]
+        if day is None:
             return out, None
-        decide(watermark)
-        return out, moment(date.fromisoformat(data["day"]))
+        day = decide(day, last, watermark)
+        data["state"] = (day.isoformat(), last)
+        return out, moment(day)
+
+    return in_order(
+        active, step, "chat_id bigint, day string, at bigint, outcome string", "", {"state": ("value", "day string, last bigint")}
+    )
+
+
+def keep_current(
+    df: DataFrame, folder: str, checkpoint: str, mode: str = "append", end: tuple[str, StructType] | None = None, fold_every: int = 50
+) -> DataFrame:
+    """Process what the source holds now and keep, in ``folder``, the newest rows of each chat, which are returned
+    (``read_current``). ``end`` as in ``run_available``.
+
+    A micro-batch writes the chats that changed into a folder with its own number, so a batch that is replayed after a failure
+    replaces itself and changes nothing. Every ``fold_every`` batches all newest rows are folded into one table, and readers
+    need only what came after it; older folders are the owner's to expire."""
+    spark, schema = df.sparkSession, df.schema
+
+    def merge(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
+        if number and number % fold_every == 0:
+            newest = read_current(spark, folder, schema, number, folded_before=number)
+            newest.write.mode("overwrite").parquet(f"{folder}/folded/{number}")
+
+    def run() -> None:
+        query = df.writeStream.foreachBatch(merge).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
 
-    return _stateful(active, step, "chat_id bigint, day string, at bigint, outcome string", [])
+    _run_to_end(spark, run, end)
+    return read_current(spark, folder, schema).where(F.col("chat_id") != END_CHAT)
+
+
+def _folds(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the folded tables that are complete."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/folded")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.listStatus(path) if files.exists(path) else []
+    return sorted(int(f.getPath().getName()) for f in found if files.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")))
+
+
+def read_current(spark: SparkSession, folder: str, schema: StructType, until: int | None = None, folded_before: int | None = None) -> DataFrame:
+    """The rows of the last micro-batch in which each chat changed."""
+    folds = [n for n in _folds(spark, folder) if folded_before is None or n < folded_before]
+    changes = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).option("basePath", f"{folder}/changes").parquet(f"{folder}/changes")
+    if until is not None:
+        changes = changes.where(F.col("batch") <= until)
+    if folds:
+        folded = spark.read.schema(schema).parquet(f"{folder}/folded/{folds[-1]}").withColumn("batch", F.lit(folds[-1]).cast("long"))
+        changes = changes.where(F.col("batch") > folds[-1]).unionByName(folded)
+    last = changes.groupBy("chat_id").agg(F.max("batch").alias("batch"))
+    return changes.join(last, ["chat_id", "batch"]).select(*schema.names)

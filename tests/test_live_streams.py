@@ -141,7 +141,7 @@ def stream(spark, folder, schema, files=1):
     return jobs.with_event_time(jobs.read_stream(spark, f"{folder}/*", schema, files))
 
 
-def run_to_the_end(spark, rows, schema, folder, job, files=4, seed=3):
+def run_to_the_end(spark, rows, schema, folder, job, files=4, seed=3, sink=jobs.run_available, **options):
     """``job`` over a stream that is over, its rows spread over files out of order within the allowed delay."""
     import random
 
@@ -152,7 +152,7 @@ def run_to_the_end(spark, rows, schema, folder, job, files=4, seed=3):
         spark.createDataFrame(arriving[i * size : (i + 1) * size], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     read = jobs.read_stream(spark, f"{folder}/in", schema, 1)
     closed = jobs.with_event_time(jobs.with_end(read, f"{folder}/end"))
-    return jobs.run_available(job(closed), f"{folder}/out", f"{folder}/state", end=(f"{folder}/end", read.schema))
+    return sink(job(closed), f"{folder}/out", f"{folder}/state", end=(f"{folder}/end", read.schema), **options)
 
 
 def test_streams_equal_their_batch_counterparts(spark, table, tmp_path):
@@ -242,16 +242,61 @@ def test_late_rows_do_not_count(spark, tmp_path):
     assert sorted(r["messages"] for r in got.collect()) == [1, 1, 2]
 
 
-def test_memory_edits_and_enrichment_streams(spark, table, tmp_path):
+FLAGS = ["origin <> 'partner' as is_me", "kind is not null as flagged"]
+
+
+@pytest.mark.parametrize("fold_every", [2, 50])
+def test_memory_stream(spark, table, tmp_path, fold_every):
+    """The newest memory of each chat, with and without folded tables between the changes."""
+    job = lambda rows: jobs.recent_memory(rows.selectExpr("*", *FLAGS))
+    got = run_to_the_end(spark, events(), table.schema, str(tmp_path), job, sink=jobs.keep_current, fold_every=fold_every)
+    batch = live.recent_memory(table.selectExpr("*", *FLAGS))
+    names = ["chat_id", "back", "message_id", "is_me", "text"]
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(map(tuple, batch.select(*names).collect()))
+
+
+def test_a_replayed_batch_changes_nothing(spark, table, tmp_path):
+    """The last commit is taken away, as if the driver had died between the sink and the commit."""
     src = str(tmp_path / "in")
-    write_in_time_order(spark, events(), table.schema, src, 2)
-    turns = stream(spark, src, table.schema).select("*", (F.col("origin") != "partner").alias("is_me"), F.col("kind").isNotNull().alias("flagged"))
-    got = jobs.run_available(jobs.recent_memory(turns), str(tmp_path / "m"), str(tmp_path / "mc"))
-    newest = got.groupBy("chat_id").agg(F.max("as_of_ts").alias("as_of_ts"))
-    mine = {(r["chat_id"], r["back"], r["message_id"]) for r in got.join(newest, ["chat_id", "as_of_ts"]).collect()}
-    batch = live.recent_memory(table.select("*", (F.col("origin") != "partner").alias("is_me"), F.col("kind").isNotNull().alias("flagged")))
-    assert mine == {(r["chat_id"], r["back"], r["message_id"]) for r in batch.collect()}
+    write_in_time_order(spark, events(), table.schema, src, 4)
+    run = lambda: jobs.keep_current(jobs.recent_memory(stream(spark, src, table.schema).selectExpr("*", *FLAGS)), str(tmp_path / "o"), str(tmp_path / "c"))
+    first = sorted(map(tuple, run().collect()))
+    commits = sorted((p for p in (tmp_path / "c" / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    for path in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        path.unlink(missing_ok=True)
+    assert sorted(map(tuple, run().collect())) == first
+
+
+def test_restart_from_a_checkpoint(spark, table, tmp_path):
+    """Turns, budgets and timers that are open when the query stops go on when it starts again."""
+    rows = sorted(events(), key=lambda r: (r[2], r[1]))
+    partner = [r for r in rows if r[3] == "partner"]
+    src, end, schema = str(tmp_path / "in"), str(tmp_path / "end"), table.schema
+    spark.createDataFrame(partner[:150], schema).coalesce(1).write.mode("append").parquet(src)
+
+    def go(last):
+        closed = jobs.with_event_time(jobs.with_end(jobs.read_stream(spark, src, schema, 1), end))
+        return jobs.run_available(jobs.rate_limit(closed, SMALL), str(tmp_path / "o"), str(tmp_path / "c"), end=(end, schema) if last else None)
+
+    assert 0 < go(False).count() < 150
+    spark.createDataFrame(partner[150:], schema).coalesce(1).write.mode("append").parquet(src)
+    batch = live.rate_limit(table.where("origin = 'partner'").select("chat_id", "message_id", "ts"), SMALL)
+    assert {r["message_id"]: r["outcome"] for r in go(True).collect()} == {r["message_id"]: r["outcome"] for r in batch.collect()}
+
 
+def test_rows_later_than_the_watermark_are_dropped_by_typed_state(spark, tmp_path):
+    schema = spark.createDataFrame(events()[:1], COLUMNS).schema
+    for rows in ([(1, 1, T0, "partner", None, "x"), (1, 2, T0 + 9_000, "partner", None, "x")], [(1, 4, T0 + 9_001, "partner", None, "x")], [(1, 3, T0 + 1, "partner", None, "x")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = jobs.read_stream(spark, str(tmp_path / "in"), schema, 1)
+    closed = jobs.with_event_time(jobs.with_end(read, str(tmp_path / "end")))
+    got = jobs.run_available(jobs.rate_limit(closed, SMALL), str(tmp_path / "o"), str(tmp_path / "c"), end=(str(tmp_path / "end"), schema))
+    assert {r["message_id"] for r in got.collect()} == {1, 2, 4}
+
+
+def test_enrichment_stream(spark, table, tmp_path):
+    src = str(tmp_path / "in")
+    write_in_time_order(spark, events(), table.schema, src, 2)
     rows = stream(spark, src, table.schema)
     got = jobs.run_available(jobs.enrich(rows), str(tmp_path / "n"), str(tmp_path / "nc"))
     assert got.count() == len(events())

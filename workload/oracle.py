@@ -731,4 +731,8 @@ add("stream_turns", "SELECT chat_id, sender_id, is_me, start_ts, end_ts, n_messa
 ORACLE["stream_sessions"] = f"SELECT chat_id, start_ts, end_ts, messages FROM ({ORACLE['session_counts']})"
 for batch in ("gate_messages", "rate_limit", "followup_due", "learning_due", "edit_origin"):
     ORACLE[{"gate_messages": "stream_gate", "followup_due": "stream_followup", "learning_due": "stream_learning", "edit_origin": "stream_edits"}.get(batch, f"stream_{batch}")] = ORACLE.get(batch, "")
+for name, batch in (("stream_memory", "recent_memory"), ("stream_last_activity", "last_activity"), ("learning_due_slices", "learning_due"), ("rate_limit_slices", "rate_limit")):
+    ORACLE[name] = ORACLE[batch]
+add("stream_opener", f"""SELECT chat_id, day, o."at" AS "at", outcome FROM ({ORACLE["opener_plan"]}) o
+  JOIN (SELECT chat_id, min(ts) AS first_ts FROM live GROUP BY 1) USING (chat_id) WHERE o."at" >= first_ts""", LIVE)
 ORACLE = {name: sql for name, sql in ORACLE.items() if sql}

@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convspark.config import CRITERIA, InitiativeRules, LiveRules
+from convspark.config import CRITERIA, DAY_S, InitiativeRules, LiveRules
 from convspark.functions import cleaning, guard, prompts, replies, text
 from convspark.operators import evaluation as ev
 from convspark.operators import export as ex
@@ -17,6 +17,7 @@ from convspark.operators import knn, live, privacy, training
 from convspark.operators import split as sp
 from convspark.operators import stats as st
 from convspark.operators import turns as tn
+from convspark.operators.chained import Slices
 from convspark.operators.quantiles import nearest_rank_quantiles
 from convspark.plans import dataset
 from convspark.session import stage, staging_dir
@@ -754,7 +755,7 @@ def _run(spark, df, label, mode="append"):
 ARRIVALS, DELAY_S = 4, 540
 
 
-def _arriving(spark, rows, label, job):
+def _arriving(spark, rows, label, job, sink=jobs.run_available, mode="append"):
     """``job`` over ``rows`` as a stream that comes to its end. Rows come in several micro-batches, out of order by up to
     ``DELAY_S`` seconds; each micro-batch is spread over all cores."""
     folder = f"{staging_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -768,7 +769,7 @@ def _arriving(spark, rows, label, job):
         part.drop("__arrival").repartition(cores).write.mode("append").parquet(f"{folder}/in")
     read = jobs.read_stream(spark, f"{folder}/in", rows.schema, cores)
     stream = jobs.with_event_time(jobs.with_end(read, f"{folder}/end"))
-    return jobs.run_available(job(stream), f"{folder}/out", f"{folder}/state", end=(f"{folder}/end", rows.schema))
+    return sink(job(stream), f"{folder}/out", f"{folder}/state", mode, end=(f"{folder}/end", rows.schema))
 
 
 @query
@@ -823,3 +824,38 @@ def stream_edits(spark, sf):
     edits = rows.withColumn("ts", F.col("ts") + F.col("message_id") % 5 * 100000).withColumn("is_edit", F.lit(True))
     both = rows.where("origin = 'bot'").withColumn("is_edit", F.lit(False)).unionByName(edits).drop("origin")
     return _arriving(spark, both, "edits", lambda stream: jobs.edit_origin(stream, LiveRules(remembered_ids=100)))
+
+
+@query
+def stream_memory(spark, sf):
+    kept = _arriving(spark, _live_turns(spark, sf), "memory", jobs.recent_memory, jobs.keep_current)
+    return kept.select("chat_id", "back", "message_id", "is_me", F.length("text").alias("chars"))
+
+
+@query
+def stream_last_activity(spark, sf):
+    rows = ad.live_events(spark, sf)
+    refused = rows.where("origin = 'bot'").withColumn("origin", F.lit("refused")).withColumn("ts", F.col("ts") + 1)
+    both = rows.unionByName(refused).select("chat_id", "message_id", "ts", "origin")
+    return _arriving(spark, both, "activity", jobs.last_activity, jobs.keep_current, "update")
+
+
+@query
+def stream_opener(spark, sf):
+    """Planned first messages of the days on which a chat was known and not yet silent for good."""
+    rules = InitiativeRules(opener_silence_s=900, opener_probability=0.6)
+    rows = ad.live_events(spark, sf).select("chat_id", "message_id", "ts", "origin")
+    plans = _arriving(spark, rows, "opener", lambda stream: jobs.opener_plan(stream, rules))
+    last = rows.groupBy("chat_id").agg(F.max(live._local_day(F.col("ts"), rules.zone)).alias("last"))
+    return plans.join(F.broadcast(last), "chat_id").where(F.to_date("day") <= F.col("last")).drop("last")
+
+
+@query
+def learning_due_slices(spark, sf):
+    return live.learning_due(_live_turns(spark, sf), slices=Slices(seconds=500, most=16, least_s=DAY_S))
+
+
+@query
+def rate_limit_slices(spark, sf):
+    rows = ad.live_events(spark, sf).where("origin = 'partner'").select("chat_id", "message_id", "ts")
+    return live.rate_limit(rows, SMALL_BUDGET, Slices(seconds=500, most=8, least_s=2 * DAY_S))
