@@ -8,8 +8,9 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from convspark.llm import decontam, mixing, quality, simhash
+from convspark.llm import decontam, mixing, quality
 from convspark.llm.queries import SHARD_BYTES
+from test_simhash import closure
 
 FOLDER = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="the given tables are not here")
@@ -40,9 +41,18 @@ def test_quality(tables):
     assert ids(tables[1]) == sorted(r["doc_id"] for r in judged if r["kept"])
 
 
+def shingles(text):
+    words = re.sub("[A-Z]", lambda m: m.group().lower(), text or "").replace("\x0b", " ").replace("\x0c", " ")
+    words = [w for w in re.split("[ \\t\\n\\r]+", words) if w]
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+
 def test_one_of_each_group(tables):
-    found = simhash.near_duplicates(tables[1]).collect()
-    assert ids(tables[2]) == sorted({r["component_id"] for r in found})
+    """One document of each component of five-word Jaccard similarity 0.8, by brute force over all pairs."""
+    sets = {r["doc_id"]: shingles(r["text"]) for r in tables[1].collect()}
+    group = closure(sorted(sets), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    kept = ids(tables[2])
+    assert len(kept) == len(set(group.values())) and {group[i] for i in kept} == set(group.values())
 
 
 def test_no_benchmark_passage_is_left(spark, tables):
