@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convspark.functions.text import last_items
+from convspark.session import stage
 
 SLICE = "__slice"
 TIME_WIDTH = 6 * 3600
@@ -237,3 +238,23 @@ def rolling_sums(
 
 def position_in_second(keys: Sequence[str], ts: str, order: Sequence[str]) -> Column:
     return F.row_number().over(Window.partitionBy(*keys, ts).orderBy(*order))
+
+
+def row_numbers(df: DataFrame, order: Sequence[str], out: str, parts: int | None = None) -> DataFrame:
+    """Number all rows from 0 in ``order``, which must tell any two rows apart.
+
+    Rows are dealt out by ranges of the whole order and numbered inside their range; the ranges' counts are added up, one number for
+    each range. Ranges are even however the first column repeats: all rows may share one second."""
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # the number inside a range is the lower 33 bits of Spark's own row id
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = stage(dealt.withColumn("__range", F.spark_partition_id()).withColumn("__place", place), "ranges")
+    sizes = sorted((r["__range"], r["count"]) for r in ranged.groupBy("__range").count().collect())
+    starts, seen = [], 0
+    for range_, count in sizes:
+        starts.append((range_, seen))
+        seen += count
+    first = spark.createDataFrame(starts, "__range int, __first long")
+    return ranged.join(F.broadcast(first), "__range").select(*df.columns, (F.col("__first") + F.col("__place")).alias(out))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from convspark.config import CHUNK_PAIRS, STATEMENT_MIN_CHARS
 from convspark.functions.prompts import chatml, chatml_prompt, chunk_line, fill
 from convspark.functions.text import last_partner_text, render_turns, strip
-from convspark.operators.ordered import running_total
+from convspark.operators.ordered import row_numbers
 from convspark.operators.quantiles import quantile_columns
 
 code_points = F.length
@@ -120,10 +120,10 @@ def train_eval_split(rows: DataFrame, id_col: str, fraction: float, seed: int |
     return border.unionByName(rest).drop("__range", "__hash", "__limit")
 
 
-def number_chunks(pairs: DataFrame, size: int = CHUNK_PAIRS, width: int = 900) -> DataFrame:
+def number_chunks(pairs: DataFrame, size: int = CHUNK_PAIRS, parts: int | None = None) -> DataFrame:
     """Add ``chunk`` and ``place``: consecutive groups of ``size`` pairs in time order over all chats."""
-    numbered = running_total(pairs, [], "ts", ["ts", "pair_id"], F.lit(1), "__n", width)
-    place = F.col("__n") - 1
+    numbered = row_numbers(pairs, ["ts", "pair_id"], "__n", parts)
+    place = F.col("__n")
     return numbered.withColumn("chunk", F.floor(place / size)).withColumn("place", place % size).drop("__n")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructType
 
 from convspark.config import STATEMENT_MIN_CHARS
-from convspark.functions.text import is_blank, strip
+from convspark.functions.text import is_blank, let, strip
 from convspark.operators.knn import index_text
 from convspark.operators.training import refuse_eval_rows
 from convspark.sources.tables import read_manifest, write_manifest
@@ -57,19 +57,20 @@ def embed_column(
 
 
 def hashed_features(text: Column, dimension: int = 64) -> Column:
-    """A vector without a model: signed hashing of words, unit length. All in SQL expressions."""
+    """A vector without a model: signed hashing of words, unit length (all zeros for a text without words). All in SQL expressions;
+    words are hashed once a text."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dimension - 1)),
-        lambda d: F.aggregate(
-            F.filter(hashes, lambda h: F.pmod(h, F.lit(dimension)) == d),
-            F.lit(0.0),
-            lambda total, h: total + F.when(F.shiftright(h, 32) % 2 == 0, 1.0).otherwise(-1.0),
-        ),
-    )
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda total, x: total + x * x))
-    return F.transform(counts, lambda x: (x / F.when(norm == 0, 1.0).otherwise(norm)).cast("float"))
+    places = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint") % (2 * dimension))
+
+    def vector(places: Column) -> Column:
+        often = lambda place: F.size(F.filter(places, lambda p: p == place))
+        counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda d: (often(d) - often(d + dimension)).cast("double"))
+        return let(counts, lambda counts: let(F.sqrt(F.aggregate(counts, F.lit(0.0), lambda total, x: total + x * x)), lambda norm: scaled(counts, norm)))
+
+    def scaled(counts: Column, norm: Column) -> Column:
+        return F.transform(counts, lambda x: (x / F.when(norm == 0, 1.0).otherwise(norm)).cast("float"))
+
+    return let(places, vector)
 
 
 def statement_pairs(pairs: DataFrame, min_chars: int = STATEMENT_MIN_CHARS) -> DataFrame:

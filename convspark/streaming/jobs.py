@@ -22,7 +22,7 @@ from convspark.functions.cleaning import anonymize
 from convspark.functions.guard import classify, is_provocation
 from convspark.functions.text import clip
 from convspark.operators.live import should_skip
-from convspark.streaming.typed_state import in_order
+from convspark.streaming.typed_state import in_order, store_for
 
 LATE = "10 minutes"
 #: Origins of messages that count as sent.
@@ -79,11 +79,12 @@ def run_available(df: DataFrame, out: str, checkpoint: str, mode: str = "append"
     windows, turns and timers that were open are then complete."""
 
     def run() -> None:
-        query = (
-            df.writeStream.format("parquet").outputMode(mode).option("path", out)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
+        with store_for(df):
+            query = (
+                df.writeStream.format("parquet").outputMode(mode).option("path", out)
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            )
+            query.awaitTermination()
 
     _run_to_end(df.sparkSession, run, end)
     result = df.sparkSession.read.schema(df.schema).parquet(out)
@@ -400,8 +401,9 @@ def keep_current(
             newest.write.mode("overwrite").parquet(f"{folder}/folded/{number}")
 
     def run() -> None:
-        query = df.writeStream.foreachBatch(merge).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        query.awaitTermination()
+        with store_for(df):
+            query = df.writeStream.foreachBatch(merge).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            query.awaitTermination()
 
     _run_to_end(spark, run, end)
     return read_current(spark, folder, schema).where(F.col("chat_id") != END_CHAT)

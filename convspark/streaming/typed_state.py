@@ -1,12 +1,14 @@
 """Per-chat steps over rows in event-time order, with typed state.
 
-Rows wait in a list state until the watermark has passed them; an event-time timer then hands them to the step in order,
-with the chat's own states: lists of rows or one row each, with the columns that the operator names. Only states that a step
-changed are written back."""
+Rows wait in a list state, one element of column arrays for each batch of them, until the watermark has passed them; an
+event-time timer then hands them to the step in order, with the chat's own states: lists of rows or one row each, with the
+columns that the operator names. Only states that a step changed are written back."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,12 +21,28 @@ STORE = {
 }
 
 
+@contextmanager
+def store_for(df: DataFrame) -> Iterator[None]:
+    """The session's settings while a query of ``df`` starts: a query keeps those it was started with."""
+    conf = df.sparkSession.conf
+    wanted = STORE if "TransformWithState" in df._jdf.queryExecution().logical().toString() else {}
+    before = {key: conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
+
+
 class ChatProcessor(StatefulProcessor):
     def __init__(self, step: Callable, output: str, needed: str, states: dict[str, tuple[str, str]], order: tuple[str, ...]):
         self.step, self.states = step, states
         self.names = [part.split()[0] for part in output.split(", ")]
-        self.schema = "ts bigint, message_id bigint" + (f", {needed}" if needed else "")
-        self.columns = [part.split()[0] for part in self.schema.split(", ")]
+        columns = [part.split() for part in ("ts bigint, message_id bigint" + (f", {needed}" if needed else "")).split(", ")]
+        self.columns = [name for name, _ in columns]
+        self.schema = ", ".join(f"{name} array<{kind}>" for name, kind in columns)
         self.key = [self.columns.index(name) for name in order]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -41,13 +59,11 @@ class ChatProcessor(StatefulProcessor):
             self.alarm.update((at_ms,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new: list[tuple] = []
         for frame in rows:
             part = frame[self.columns].astype(object)
-            new.extend(part.where(part.notna(), None).itertuples(index=False, name=None))
-        if new:
-            self.waiting.appendList(new)
-            self.wake(min(row[0] for row in new) * 1000 + 1)
+            part = part.where(part.notna(), None)
+            self.waiting.appendValue(tuple(part[name].tolist() for name in self.columns))
+            self.wake(int(frame["ts"].min()) * 1000 + 1)
         return iter(())
 
     def load(self) -> dict:
@@ -75,7 +91,8 @@ class ChatProcessor(StatefulProcessor):
         if set_ is None or set_[0] > watermark_ms:  # what this timer was for has been done
             return
         watermark = watermark_ms / 1000.0
-        waiting = sorted((tuple(row) for row in self.waiting.get()), key=lambda row: [row[k] for k in self.key])
+        waiting = [row for chunk in self.waiting.get() for row in zip(*chunk, strict=True)]
+        waiting.sort(key=itemgetter(*self.key))
         rows = [dict(zip(self.columns, row, strict=True)) for row in waiting if row[0] <= watermark]
         left = waiting[len(rows):]
         before = self.load()
@@ -83,7 +100,7 @@ class ChatProcessor(StatefulProcessor):
         out, again = self.step(key[0], rows, after, watermark)
         self.save(before, after)
         if rows:
-            self.waiting.put(left) if left else self.waiting.clear()
+            self.waiting.put([tuple(map(list, zip(*left, strict=True)))]) if left else self.waiting.clear()
         self.alarm.clear()
         moments = ([left[0][0]] if left else []) + ([again] if again is not None else [])
         if moments:
@@ -100,10 +117,8 @@ def in_order(
 ) -> DataFrame:
     """``step(chat_id, rows, data, watermark)`` gets the rows that the watermark has passed, in ``order``, as dicts, and the
     chat's states by name: a list of tuples for ``list``, a tuple or None for ``value``. It puts new ones into ``data`` and returns
-    output rows and the moment (seconds) at which to look again, or None. ``needed`` names further columns of the rows."""
-    spark = messages.sparkSession
-    for key, value in STORE.items():
-        spark.conf.set(key, value)
+    output rows and the moment (seconds) at which to look again, or None. ``needed`` names further columns of the rows. A query that
+    is not started by ``jobs`` needs ``store_for`` around its start."""
     processor = ChatProcessor(step, output, needed, states, order)
     rows = messages.select("chat_id", "event_time", *processor.columns)
     return rows.groupBy("chat_id").transformWithStateInPandas(processor, output, "append", "EventTime")

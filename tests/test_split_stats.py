@@ -160,3 +160,17 @@ def test_chunks(spark):
     assert [r["pairs"] for r in got] == [10, 10, 5]
     assert got[0]["text"].split("\n")[1] == "Me: достаточно длинный ответ 0" and got[2]["text"].endswith("ответ 24")
     assert got[0]["period"] == "2024-01 — 2024-02"
+
+
+@pytest.mark.parametrize("rows, parts", [(5_000, 7), (3, 7), (0, 4)])
+def test_row_numbers_of_one_second(spark, rows, parts):
+    """All rows share one second: the ranges are even all the same, and the numbers have no gap."""
+    from convspark.operators.ordered import row_numbers
+
+    table = spark.range(rows).select(F.lit(T0).alias("ts"), (F.col("id") * 7919 % 10_007).alias("pair_id"))
+    got = row_numbers(table, ["ts", "pair_id"], "n", parts).collect()
+    assert [r["pair_id"] for r in sorted(got, key=lambda r: r["n"])] == sorted(r["pair_id"] for r in table.collect())
+    assert sorted(r["n"] for r in got) == list(range(rows))
+    if rows > 1_000:
+        dealt = table.repartitionByRange(parts, "ts", "pair_id").groupBy(F.spark_partition_id()).count().collect()
+        assert len(dealt) == parts and max(r["count"] for r in dealt) < 2 * rows / parts

@@ -721,6 +721,26 @@ add("messages_manifest", """SELECT count(*) AS raw_messages, count(*) FILTER (WH
   count(DISTINCT chat_id) AS chats, count(DISTINCT from_id) FILTER (WHERE chat_id <> 3 AND reason IS NULL) AS senders FROM cls""", RAW)
 ORACLE["knn_join_pivots"] = ORACLE["knn_join"]
 
+
+def hashed_vector(x: str) -> str:
+    """Unit vector of signed word counts in 64 places, as FLOATs seen as DOUBLEs."""
+    words = f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')"
+    places = f"list_transform({words}, lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 128)"
+    return f"(SELECT list_transform(c, lambda v: CAST(CAST(v / greatest(sqrt(list_sum(list_transform(c, lambda y: y * y))), 1e-9) AS FLOAT) AS DOUBLE)) FROM (SELECT list_transform(range(0, 64), lambda d: CAST(len(list_filter(p, lambda z: z = d)) - len(list_filter(p, lambda z: z = d + 64)) AS DOUBLE)) AS c FROM (SELECT {places} AS p)))"
+
+
+REPLY_KEY = "regexp_replace(lower(reply), '[^\\p{L}\\p{N}]+', '', 'g')"
+add("retrieval", "SELECT query_id, rank, pair_id, distance FROM nn", SPLIT, f"""docs AS (
+  SELECT pair_id, chat_id, ts, reply, array_to_string(list_transform(CASE WHEN len({THEIRS}) > 0 THEN {THEIRS}[-2:] ELSE context[-2:] END, lambda t: t.text), chr(10)) AS words FROM train),
+asks AS (
+  SELECT pair_id, chat_id, ts, array_to_string(list_filter([list_filter(context[:-2], lambda t: NOT t.is_me)[-1].text, context[-1].text], lambda t: t IS NOT NULL AND t <> ''), chr(10)) AS words
+  FROM split_pairs WHERE split = 'holdout'),
+index_vec AS MATERIALIZED (SELECT pair_id, chat_id, ts, {REPLY_KEY} AS reply_key, {hashed_vector('words')} AS e FROM docs),
+ask_vec AS MATERIALIZED (SELECT pair_id, chat_id, ts, {hashed_vector('words')} AS e FROM asks),
+cand AS (
+  SELECT q.pair_id AS query_id, v.pair_id, v.reply_key, v.ts, round(1.0 - coalesce(list_cosine_similarity(q.e, v.e), 0), 6) AS distance
+  FROM ask_vec q JOIN index_vec v ON v.chat_id = q.chat_id AND v.ts < q.ts)""", neighbours("nn", "true", 8))
+
 # --- streams: the whole result of the batch operators -----
 
 add("stream_enrich", f"""SELECT doc_id, kind, least(length(t5), 1000) AS chars FROM c5 JOIN k USING (doc_id)""",

@@ -33,6 +33,8 @@ PROMPT_SYSTEM = "${name}\n${style_profile}\n${examples}\n\n${knowledge}\n\nко
 PROMPT_USER = "${history}\n### ${incoming}\n${name}:"
 SMALL_BUDGET = LiveRules(replies_per_hour=3, replies_per_day=40)
 LOOSE_SHORT = 60
+#: Cells of the probed search: recall of 0.9 or more on the given vectors, which have no groups.
+PROBED_TABLES, PROBED_BITS, PROBED_PROBES = 16, 6, 6
 STATEMENT_MIN_CHARS = 20
 
 QUERIES: dict = {}
@@ -384,6 +386,15 @@ def retrieval(spark, sf):
     return hits.select("query_id", "rank", "pair_id", "distance")
 
 
+@query
+def probed_neighbours(spark, sf):
+    """Every twentieth vector asks all others by the search that visits a bounded share of them."""
+    index = ad.vectors(spark, sf)
+    queries = ad.vector_queries(spark, sf).where("query_id % 20 = 0").drop("ts_before").withColumn("exclude", F.array("query_id"))
+    found = knn.nearest_probed(queries, index, 10, tables=PROBED_TABLES, bits=PROBED_BITS, probes=PROBED_PROBES)
+    return found.select("query_id", "hit", "pair_id", "distance")
+
+
 @query
 def knn_join_asof(spark, sf):
     hits = knn.knn_join(ad.vector_queries(spark, sf), ad.vectors(spark, sf), same_chat=True)
