@@ -44,6 +44,10 @@ def _gap_columns() -> list[Column]:
     ]
 
 
+#: Buckets of a hash by which frequent words and emoji are looked for.
+ITEM_BUCKETS = 1 << 20
+
+
 def _one_row(*parts: DataFrame) -> DataFrame:
     """Several one-row frames side by side."""
     first, *rest = parts
@@ -195,7 +199,30 @@ def reply_style_stats(pairs: DataFrame) -> DataFrame:
     return _one_row(shares, lengths)
 
 
-def _top(pairs: DataFrame, items: Column, name: str, n: int, order: Sequence[str], skip: Sequence[str] = ()) -> DataFrame:
+def heavy_items(items: DataFrame, name: str, n: int, extra: Sequence[Column], buckets: int = ITEM_BUCKETS) -> DataFrame:
+    """Items with their ``uses`` and ``extra`` aggregates: all that are among the ``n`` most frequent, ties included, and some more.
+
+    Items are first counted by buckets of a hash, of which there is a fixed number. Items of the fullest buckets are then counted
+    one by one. No item of another bucket is used more often than that bucket as a whole; if the ``n``-th item counted
+    is used more often than any such bucket, the result is proven, else eight times as many buckets are looked into. What is
+    shuffled does not grow with the number of different items."""
+    keyed = items.withColumn("__bucket", F.pmod(F.xxhash64(name), F.lit(buckets)))
+    sizes = stage(keyed.groupBy("__bucket").agg(F.count("*").alias("n")), "item-buckets")
+    wide = 16 * n
+    while True:
+        border = sizes.orderBy(F.desc("n")).limit(wide + 1).agg(F.count("*").alias("found"), F.min("n").alias("n")).first()
+        least = border["n"] if border["found"] > wide else 0
+        fullest = F.broadcast(sizes.where(F.col("n") > least).select("__bucket"))  # at most ``wide`` rows
+        counts = stage(keyed.join(fullest, "__bucket", "left_semi").groupBy(name).agg(F.count("*").alias("uses"), *extra), "counts")
+        if not least:
+            return counts
+        last = counts.orderBy(F.desc("uses")).limit(n).agg(F.count("*").alias("found"), F.min("uses").alias("uses")).first()
+        if last["found"] == n and last["uses"] > least:
+            return counts
+        wide *= 8
+
+
+def _top(pairs: DataFrame, items: Column, name: str, n: int, order: Sequence[str], skip: Sequence[str] = (), buckets: int = ITEM_BUCKETS) -> DataFrame:
     """Most frequent items; equal counts in order of first appearance (``order``, then place in the text).
 
     Counting keeps numbers only (count and first time), which is cheap to add up map-side. Where inside the first
@@ -206,9 +233,7 @@ def _top(pairs: DataFrame, items: Column, name: str, n: int, order: Sequence[str
         found = rows.select(*order, F.posexplode(items).alias("at", name))
         return found.where(~F.col(name).isin(*skip)) if skip else found
 
-    counts = stage(
-        exploded(pairs).groupBy(name).agg(F.count("*").alias("uses"), F.min(clock).alias("__first")), "counts"
-    )
+    counts = heavy_items(exploded(pairs).select(clock, name), name, n, [F.min(clock).alias("__first")], buckets)
     rank = F.struct((-F.col("uses")).alias("u"), F.col("__first").alias("f"))
     last = counts.orderBy(F.desc("uses"), F.asc("__first")).limit(n).agg(F.max(rank))
     top = counts.where(rank <= last.scalar())

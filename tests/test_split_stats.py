@@ -174,3 +174,35 @@ def test_row_numbers_of_one_second(spark, rows, parts):
     if rows > 1_000:
         dealt = table.repartitionByRange(parts, "ts", "pair_id").groupBy(F.spark_partition_id()).count().collect()
         assert len(dealt) == parts and max(r["count"] for r in dealt) < 2 * rows / parts
+
+
+@pytest.mark.parametrize("buckets", [8, 1 << 20])
+def test_top_items_with_few_buckets_equal_all_counts(spark, buckets):
+    """With few buckets the first look proves nothing and more buckets are looked into."""
+    rnd = random.Random(4)
+    words = [f"слово{int(rnd.paretovariate(0.7)) % 700}" for _ in range(4_000)]
+    rows = [(T0 + i, i, " ".join(words[i * 10 : i * 10 + 10])) for i in range(400)]
+    table = spark.createDataFrame(rows, "ts bigint, pair_id bigint, reply string")
+    first, uses = {}, {}
+    for place, word in enumerate(words):
+        first.setdefault(word, place)
+        uses[word] = uses.get(word, 0) + 1
+    wanted = sorted(uses, key=lambda w: (-uses[w], first[w]))[:5]
+    got = stats._top(table, F.split("reply", " "), "word", 5, ["ts", "pair_id"], buckets=buckets).collect()
+    assert [(r["word"], r["uses"]) for r in got] == [(w, uses[w]) for w in wanted]
+
+
+@pytest.mark.parametrize("accuracy", [4, 50, 2_000])
+def test_bracketed_quantiles_equal_the_histogram(spark, accuracy):
+    """Many different values, ties, one value alone, negative ones and nulls; a sketch too coarse for its brackets as well."""
+    rnd = random.Random(7)
+    rows = [("wide", rnd.randrange(10**12)) for _ in range(3_000)] + [("ties", rnd.choice([5, 5, 5, 9, -3])) for _ in range(500)]
+    rows += [("one", 4), ("none", None)] + [("skew", 0)] * 900 + [("skew", n) for n in range(100)]
+    table = spark.createDataFrame(rows, "name string, v bigint")
+    qs = {"low": 0.0, "p1": 0.01, "p50": 0.5, "p90": 0.9, "p99": 0.99, "high": 1.0}
+    values = {"v": F.col("v"), "half": F.floor(F.col("v") / 2)}
+    wanted = quantiles.nearest_rank_quantiles(table, ["name"], values, qs)
+    got = quantiles.bracketed_quantiles(table, ["name"], values, qs, accuracy)
+    assert sorted(map(tuple, got.select(*wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
+    alone = quantiles.bracketed_quantiles(table, [], values, qs, accuracy)
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, quantiles.nearest_rank_quantiles(table, [], values, qs).select(*alone.columns).collect()))

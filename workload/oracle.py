@@ -719,6 +719,8 @@ add("messages_manifest", """SELECT count(*) AS raw_messages, count(*) FILTER (WH
   'full_export' AS export_kind, (SELECT '{' || string_agg('"' || r || '":' || n, ',' ORDER BY n DESC, r) || '}' FROM (
     SELECT CASE WHEN chat_id = 3 THEN 'chat_type_skipped' ELSE reason END AS r, count(*) AS n FROM cls WHERE chat_id = 3 OR reason IS NOT NULL GROUP BY 1)) AS dropped,
   count(DISTINCT chat_id) AS chats, count(DISTINCT from_id) FILTER (WHERE chat_id <> 3 AND reason IS NULL) AS senders FROM cls""", RAW)
+add("value_quantiles", f"""SELECT o_orderpriority, count(cents) AS n, {quantile('cents', 0.5)} AS p50, {quantile('cents', 0.9)} AS p90, {quantile('cents', 0.99)} AS p99,
+  max(cents) AS max, CAST(sum(cents) AS BIGINT) AS total FROM (SELECT o_orderpriority, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders) GROUP BY 1""")
 ORACLE["knn_join_pivots"] = ORACLE["knn_join"]
 
 

@@ -18,7 +18,7 @@ from convspark.operators import split as sp
 from convspark.operators import stats as st
 from convspark.operators import turns as tn
 from convspark.operators.chained import Slices
-from convspark.operators.quantiles import nearest_rank_quantiles
+from convspark.operators.quantiles import bracketed_quantiles, nearest_rank_quantiles
 from convspark.plans import dataset
 from convspark.session import stage, staging_dir
 from convspark.sources import vector_table
@@ -163,6 +163,13 @@ def reply_style_stats(spark, sf):
     return st.reply_style_stats(ad.train(spark, sf).withColumn("reply", mixed))
 
 
+@query
+def value_quantiles(spark, sf):
+    """Quantiles of amounts, nearly all of which differ."""
+    orders = ad.table(spark, sf, "orders").select("o_orderpriority", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+    return bracketed_quantiles(orders, ["o_orderpriority"], {"cents": F.col("cents")}, st.QS).drop("metric")
+
+
 @query
 def top_words(spark, sf):
     return st.top_words(ad.train(spark, sf), 50)
