@@ -168,7 +168,7 @@ def as_live(e: DataFrame) -> DataFrame:
 
 
 def eval_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Three runs over the documents: scores, silences, errors and raw judge answers."""
+    """Three runs over the documents: scores, silences, errors and raw judge answers, which quote the whole text first."""
     d = documents(spark, sf)
     doc, run = F.col("doc_id"), F.col("run")
     runs = F.explode(F.array(*[F.lit(r) for r in (1, 2, 3)])).alias("run")
@@ -177,6 +177,7 @@ def eval_records(spark: SparkSession, sf: str) -> DataFrame:
         return ((doc * 7 + run * 3 + criterion * 5) % 5 + 1).cast("bigint")
 
     raw = F.concat(
+        F.translate(F.coalesce("text", F.lit("")), "{}", "()"),
         F.lit('ok {"style_similarity": {"score": '), score(1), F.lit(', "reason": "r"}, "appropriateness": '), score(2),
         F.lit(', "not_assistant_like": '), score(3),
         F.when(doc % 29 == 0, F.lit(".7")).otherwise(F.lit("")),
@@ -193,7 +194,7 @@ def eval_records(spark: SparkSession, sf: str) -> DataFrame:
         F.when((doc + run) % 19 == 0, "boom").alias("error"),
         F.when((doc * run) % 11 == 0, "hybrid").alias("fallback_from"),
         (F.col("n_chars") % 2000).cast("bigint").alias("latency_ms"),
-        F.when(doc % 37 == 0, F.lit("no json")).otherwise(raw).alias("judge_raw"),
+        F.when(doc % 37 == 0, F.translate("text", "{}", "()")).otherwise(raw).alias("judge_raw"),
         doc.alias("doc_id"),
         run.alias("run"),
         "lang",

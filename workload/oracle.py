@@ -223,14 +223,14 @@ runs AS (
 
 VOTES = """
 votes AS (
-  SELECT '1:' || doc_id AS pair_id, {a} AS va, {b} AS vb FROM documents)"""
+  SELECT '1:' || doc_id AS pair_id, {a} AS va, {b} AS vb FROM (SELECT doc_id, length(coalesce(text, '')) AS k FROM documents))"""
 
 
 def vote(shift: int) -> str:
     """Winner, or ``bad`` for an answer that cannot be used."""
-    return f"""CASE WHEN (doc_id+{shift}) % 13 = 0 THEN 'bad' WHEN (doc_id+{shift}) % 5 = 0 THEN 'tie'
-      WHEN (doc_id+{shift}) % 7 = 0 THEN '1' WHEN (doc_id+{shift}) % 11 = 0 THEN 'bad'
-      WHEN (doc_id*{shift}) % 3 = 0 THEN '2' ELSE '1' END"""
+    return f"""CASE WHEN (k+{shift}) % 13 = 0 THEN 'bad' WHEN (k+{shift}) % 5 = 0 THEN 'tie'
+      WHEN (k+{shift}) % 7 = 0 THEN '1' WHEN (k+{shift}) % 11 = 0 THEN 'bad'
+      WHEN (k*{shift}) % 3 = 0 THEN '2' ELSE '1' END"""
 
 
 DUELS = VOTES.format(a=vote(1), b=vote(2)) + """,

@@ -445,18 +445,21 @@ def parse_duel_votes(spark, sf):
 
 
 def _votes(spark, sf):
-    d = F.col("doc_id")
+    """Raw answers of a duel's judge: the whole text stands before the JSON object and in its reason, and decides the vote."""
+    text = F.coalesce("text", F.lit(""))
+    k = F.length(text)
+    reason = F.substring(F.to_json(F.struct(text.alias("reason"))), 2, 2**31 - 1)
 
     def raw(shift):
         winner = (
-            F.when((d + shift) % 5 == 0, '"tie"').when((d + shift) % 7 == 0, '"1"').when((d + shift) % 11 == 0, "3")
-            .otherwise(F.when((d * shift) % 3 == 0, '" 2 "').otherwise("1"))
+            F.when((k + shift) % 5 == 0, '"tie"').when((k + shift) % 7 == 0, '"1"').when((k + shift) % 11 == 0, "3")
+            .otherwise(F.when((k * shift) % 3 == 0, '" 2 "').otherwise("1"))
         )
-        body = F.concat(F.lit('so {"winner": '), winner, F.lit(', "reason": "x"} ok'))
-        return F.when((d + shift) % 13 == 0, F.lit("nothing")).otherwise(body)
+        body = F.concat(F.translate(text, "{}", "()"), F.lit(' so {"winner": '), winner, F.lit(", "), reason, F.lit(" ok"))
+        return F.when((k + shift) % 13 == 0, F.translate(text, "{}", "()")).otherwise(body)
 
     return ad.documents(spark, sf).select(
-        F.concat(F.lit("1:"), d).alias("pair_id"), raw(1).alias("a_first"), raw(2).alias("b_first")
+        F.concat(F.lit("1:"), F.col("doc_id")).alias("pair_id"), raw(1).alias("a_first"), raw(2).alias("b_first")
     )
 
 
