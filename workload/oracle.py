@@ -721,6 +721,14 @@ add("messages_manifest", """SELECT count(*) AS raw_messages, count(*) FILTER (WH
   count(DISTINCT chat_id) AS chats, count(DISTINCT from_id) FILTER (WHERE chat_id <> 3 AND reason IS NULL) AS senders FROM cls""", RAW)
 add("value_quantiles", f"""SELECT o_orderpriority, count(cents) AS n, {quantile('cents', 0.5)} AS p50, {quantile('cents', 0.9)} AS p90, {quantile('cents', 0.99)} AS p99,
   max(cents) AS max, CAST(sum(cents) AS BIGINT) AS total FROM (SELECT o_orderpriority, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders) GROUP BY 1""")
+add("dataset_manifest", f"""SELECT (SELECT CAST(sum(t) AS BIGINT) FROM per_chat) AS turns, (SELECT CAST(sum(c) AS BIGINT) FROM per_chat) AS conversations,
+  (SELECT count(*) FROM judged) AS own_turns, (SELECT count(*) FROM judged WHERE drop_reason IS NULL) AS pairs_kept,
+  count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'holdout') AS holdout, count(*) FILTER (WHERE eval_sample) AS eval_sample,
+  count(*) FILTER (WHERE length(reply) > 2000) AS replies_over_max,
+  {", ".join(f"{quantile(value, q)} AS {m}_{p}" for m, value in (("reply", "length(reply)"), ("turns", "len(context)")) for p, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99)))},
+  max(length(reply)) AS reply_max, max(len(context)) AS turns_max, (SELECT count(*) FROM judged WHERE drop_reason IS NOT NULL) AS pairs_dropped,
+  count(*) FILTER (WHERE eval_sample) AS eval_sample_by_period, count(*) AS per_year, count(DISTINCT chat_id) AS chats, count(*) FILTER (WHERE split = 'train') AS chats_train
+  FROM split_pairs""", SPLIT, "per_chat AS (SELECT chat_id, count(*) AS t, max(conv) + 1 AS c FROM cx GROUP BY chat_id)")
 ORACLE["knn_join_pivots"] = ORACLE["knn_join"]
 
 

@@ -559,6 +559,25 @@ def chunk_render(spark, sf):
     return training.chunk_texts(ad.train(spark, sf), NAME, 40)
 
 
+@query
+def dataset_manifest(spark, sf):
+    """The counts of the manifest of a build of pairs, one column each."""
+    replaced = spark.range(1).select(F.lit(0).alias("email"))
+    build = dataset.PairBuild(ad.turns(spark, sf), ad.own_turns(spark, sf), ad.cutoffs(spark, sf), ad.split_pairs(spark, sf), replaced)
+    made = dataset.dataset_manifest(build, "current", ad.PAIR_RULES, ad.SPLIT_RULES)
+
+    def total(name, value=lambda v: v):
+        return F.aggregate(F.map_values(name), F.lit(0).cast("bigint"), lambda sum_, v: sum_ + value(v)).alias(name)
+
+    return made.select(
+        "turns", "conversations", "own_turns", "pairs_kept", "train", "holdout", "eval_sample", "replies_over_max",
+        *[f"lengths.{m}_{q}" for m in ("reply", "turns") for q in ("p50", "p90", "p99", "max")],
+        total("pairs_dropped"), total("eval_sample_by_period"), total("per_year", lambda v: v["train"] + v["holdout"]),
+        F.size("chats").cast("bigint").alias("chats"),
+        F.aggregate("chats", F.lit(0).cast("bigint"), lambda sum_, c: sum_ + c["train"]).alias("chats_train"),
+    )
+
+
 # --- live messages -----------------------------------------------------------------------------
 
 
