@@ -153,17 +153,17 @@ def gate_messages(messages: DataFrame, gate: Column, rules: LiveRules = LiveRule
                 F.coalesce(F.length("text"), F.lit(0)) == 0, "non_text"
             ),
         ),
-    ).select("chat_id", "message_id", "ts", "kind", "text", "outcome"), "gated")
-    open_rows = staged.where("outcome IS NULL").select("chat_id", "message_id", "ts", "kind", "text")
+    ).select(
+        "chat_id", "message_id", "ts", "kind", "outcome",
+        should_skip(F.col("text"), rules, F.col("chat_id"), F.col("message_id")).alias("skip"),
+    ), "gated")
+    open_rows = staged.where("outcome IS NULL").drop("outcome")
     ignored = (
         provocation_gate(open_rows, rules).where("ignored").select("chat_id", "message_id", F.lit(True).alias("ignored"))
     )
     asking = stage(
         open_rows.join(ignored, ["chat_id", "message_id"], "left_anti")
-        .select(
-            "chat_id", "message_id", "ts",
-            should_skip(F.col("text"), rules, F.col("chat_id"), F.col("message_id")).alias("skip"),
-        ),
+        .select("chat_id", "message_id", "ts", "skip"),
         "asking",
     )
     room = reply_room(asking.where("NOT skip").select("chat_id", "ts"), rules)

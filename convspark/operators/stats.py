@@ -289,6 +289,9 @@ def profile_caveats(
     ``stats``: one row per scope (train, holdout) with the columns of ``pair_stats``; ``by_year``: rows per
     scope and year; ``drops``: ``(reason, turns)``; ``chats``: split summary; ``eval_rows``: one row ``(rows)``."""
 
+    # small summaries that several rules read: what they are made from is gone through once
+    stats, by_year, drops, chats, eval_rows = (stage(df, "caveats") for df in (stats, by_year, drops, chats, eval_rows))
+
     def rule(df: DataFrame, name: str, scope: Column, value: Column, threshold: float, breach: Column) -> DataFrame:
         return df.where(breach).select(
             F.lit(name).alias("rule"),

@@ -67,12 +67,14 @@ def pair_up(
 
 def messages_manifest(build: MessageBuild, me: int, sources: DataFrame | None = None) -> DataFrame:
     """Counts of a message build. ``sources`` (``path``, ``sha256``, ``bytes``) are the files it was read from."""
-    drops = ex.drop_counts(build.classified)
+    # both are small and read several times: the records are gone through once for each
+    drops = stage(ex.drop_counts(build.classified), "drops")
+    by_chat = stage(ex.chat_summary(build.classified, me), "chats")
     reasons = drops.groupBy("reason").agg(F.sum("records").alias("records"))
     summary = build.messages.agg(
         F.count("*").alias("kept_messages"), F.min("ts").alias("ts_min"), F.max("ts").alias("ts_max")
     )
-    raw = ex.chat_summary(build.classified, me).agg(F.sum("raw_messages").alias("raw"))
+    raw = by_chat.agg(F.sum("raw_messages").alias("raw"))
     kinds = {
         name: ex.counter_map(drops.where(F.col("reason") == reason), "kind", "records").scalar().alias(name)
         for reason, name in (
@@ -86,7 +88,7 @@ def messages_manifest(build: MessageBuild, me: int, sources: DataFrame | None =
     stamps = build.messages.groupBy("ts_source").agg(F.count("*").alias("messages"))
     chats = F.array_sort(F.collect_list(F.struct("chat_id", "chat_type", "raw_messages", "kept_messages", "me_messages")))
     # one entry a chat and a sender: what a single export holds; counts of larger collections are tables of their own
-    per_chat = ex.chat_summary(build.classified, me).agg(chats.alias("chats"), F.count("*").alias("n"))
+    per_chat = by_chat.agg(chats.alias("chats"), F.count("*").alias("n"))
     kind = F.when(F.col("n") == 1, "single_chat").otherwise("full_export")
     anomalies = ex.anomaly_counts(build.messages).select(F.struct("*"))
     read = [] if sources is None else [
