@@ -395,7 +395,8 @@ def retrieval(spark, sf):
 
 @query
 def probed_neighbours(spark, sf):
-    """Every twentieth vector asks all others by the search that visits a bounded share of them."""
+    """Every twentieth vector asks all others by the search over cells of random planes. The given vectors have no groups, so
+    that recall needs many cells; grouped vectors need fewer."""
     index = ad.vectors(spark, sf)
     queries = ad.vector_queries(spark, sf).where("query_id % 20 = 0").drop("ts_before").withColumn("exclude", F.array("query_id"))
     found = knn.nearest_probed(queries, index, 10, tables=PROBED_TABLES, bits=PROBED_BITS, probes=PROBED_PROBES)
