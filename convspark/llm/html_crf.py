@@ -44,6 +44,7 @@ HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscri
 FOREIGN = frozenset(("svg", "math"))
 BUCKETS = 1 << 14
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_LONG_NUMBER = re.compile(r"&#([0-9]{8,});?")
 
 
 @dataclass(frozen=True)
@@ -175,13 +176,17 @@ class BlockParser(HTMLParser):
         self.linked = 0
 
 
+def _short_number(found: re.Match) -> str:
+    """A character number that can be read: without zeros before it, and beyond Unicode as the replacement character."""
+    digits = found[1].lstrip("0") or "0"
+    return f"&#{digits};" if len(digits) < 8 else "&#xFFFD;"
+
+
 def blocks_of(html: str | None) -> list[Block]:
+    """The leaf blocks of a page, which may be cut short or broken anywhere; character numbers may have any length."""
     parser = BlockParser()
-    try:
-        parser.feed(html or "")
-        parser.close()
-    except (AssertionError, ValueError):  # character numbers of thousands of digits; the text before them is kept
-        parser._end_block()
+    parser.feed(_LONG_NUMBER.sub(_short_number, html or ""))
+    parser.close()
     return parser.blocks
 
 
@@ -351,10 +356,12 @@ def train(pages: DataFrame, rules: Rules | None = None) -> Field | None:
     if not total:
         return None
     draw = F.pmod(F.xxhash64("page_id"), F.lit(1_000_003)) / 1_000_003.0
-    rows = labelled.where(draw < min(1.0, rules.pages / total)).limit(2 * rules.pages).orderBy("page_id").collect()
+    # the order makes the sample the same whatever the layout of the table
+    drawn = labelled.where(draw < min(1.0, rules.pages / total)).orderBy(F.xxhash64("page_id"), F.xxhash64("html"))
+    rows = sorted(drawn.limit(2 * rules.pages).collect(), key=lambda r: (r["page_id"] is not None, r["page_id"] or 0))
     seeded = np.random.default_rng(rules.seed)
     examples = []
-    for row in rows or labelled.limit(1).collect():
+    for row in rows or labelled.orderBy(F.xxhash64("page_id"), F.xxhash64("html")).limit(1).collect():
         blocks = blocks_of(row["html"])
         if not states_parts(blocks):
             continue

@@ -105,3 +105,21 @@ def test_extract_trains_on_the_table(spark):
     truth = {n: "\n\n".join(body) for n, _, _, body in pages}
     assert sum(r["text"] == truth[r["page_id"]] for r in found) >= 72
     assert all(r["n_chars"] == len(r["text"]) for r in found)
+
+
+@pytest.mark.parametrize("number,shown", [("9" * 5_000, "\ufffd"), ("0" * 5_000 + "65", "A"), ("99999999", "\ufffd"), ("0", "\ufffd")])
+def test_text_behind_long_character_numbers_stays(number, shown):
+    page = f"<p>first</p><p>a &#{number}; b</p><p>c &#{number} d</p><p title='&#{number}'>third</p>"
+    assert [b.text for b in html_crf.blocks_of(page)] == ["first", f"a {shown} b", f"c {shown} d", "third"]
+
+
+def test_broken_pages_are_read_to_their_end():
+    """Pieces of markup in any order, cut anywhere: no error, and a paragraph after them is there unless it is hidden."""
+    draw = random.Random(4)
+    pieces = ["<p>", "</p>", "<![", "<![if x]>", "<!", "<!-", "<!-->", "</", "<?x", "&#", "&#x;", "&#x110000;", "&#55296", "<a href='", ">", "'", "]]>", "<![CDATA[", "<svg/>", "<!DOCTYPE", "<b <i>", "x", "<", "&amp", "<!ELEMENT [", "<br/"]
+    for _ in range(3_000):
+        broken = "".join(draw.choices(pieces, k=draw.randint(1, 9)))
+        blocks = html_crf.blocks_of(f"<p>before</p>{broken}")
+        assert blocks[0].text.startswith("before")
+    for piece in ("<![word", "<!", "</>", "<?x", "<![if x]", "<!ELEMENT [", "&#x;", "&#" + "9" * 9_000):
+        assert html_crf.blocks_of(f"<p>before {piece}></p><p>after</p>")[-1].text == "after"
