@@ -59,6 +59,32 @@ def test_knn_is_exact(spark, monkeypatch, pivots, same_chat):
         assert [d for _, d in got[q]] == pytest.approx([d for _, d in expected[q]], abs=2e-6)
 
 
+@pytest.mark.parametrize("same_chat,pivots,text_ids", [(False, None, False), (True, 9, True)])
+def test_nearest_over_many_blocks(spark, monkeypatch, same_chat, pivots, text_ids):
+    """Ids are those of a brute-force search also among many copies, and no vector is shuffled to the queries or the other way
+    round: what is moved grows with the vectors, not with the pairs of blocks."""
+    for name, value in (("TILE_VECTORS", 16), ("STRIP", 8), ("SAMPLE", 12), ("TASKS", 40)):
+        monkeypatch.setattr(knn, name, value)
+    rnd = np.random.default_rng(3)
+    points = rnd.integers(-2, 3, (240, 4)).astype(float)
+    points[20:120] = points[20]
+    name = lambda i: f"p{i:04d}" if text_ids else i
+    rows = [(name(i), i % 2 if i % 31 else None, None if i % 41 == 5 else i, p.tolist()) for i, p in enumerate(points)]
+    asked = [(name(i), i % 2, i + 60, rows[i][3], [name(i), name(i + 2)] if i % 3 else None) for i in range(0, 240, 3)]
+    kind = "string" if text_ids else "bigint"
+    index = spark.createDataFrame(rows, f"pair_id {kind}, chat_id bigint, ts bigint, embedding array<float>")
+    queries = spark.createDataFrame(asked, f"query_id {kind}, chat_id bigint, ts_before bigint, embedding array<float>, exclude array<{kind}>")
+    hits = knn.nearest(queries, index, 7, same_chat, pivots)
+    assert hits.columns == ["query_id", "pair_id", "chat_id", "ts", "distance", "hit"]
+    expected = []
+    for q, chat, before, vector, gone in asked:
+        fit = [(round(float(1 - unit(vector) @ unit(e)), 6) + 0.0, i) for i, c, ts, e in rows if ts is not None and ts < before and (not same_chat or c == chat) and i not in (gone or ())]
+        expected += [(q, n, i) for n, (_, i) in enumerate(sorted(fit)[:7], 1)]
+    assert sorted((r["query_id"], r["hit"], r["pair_id"]) for r in hits.collect()) == sorted(expected)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan
+
+
 @pytest.mark.parametrize("same_chat", [False, True])
 def test_probed_search_recall(spark, same_chat):
     """Hits obey the filters, and their distances are those of the exact search for nine of ten or more."""
