@@ -171,7 +171,7 @@ def learning_moments(seconds: DataFrame, keys: Sequence[str], need: int, pause:
 
 
 def spend(batches: Iterable[pd.DataFrame], part: Sequence[str], rules: LiveRules) -> Iterator[pd.DataFrame]:
-    """Room in each second. Rows come by ``part`` and second; ``carried`` are the grants before the part's first second. Where
+    """Room in each second. Rows come by ``part`` and second; ``carried``, on the part's first row, are the grants before it. Where
     ``room`` is known from an earlier run, a part is taken over from where a day passed without a difference."""
     per_hour, per_day = rules.replies_per_hour, rules.replies_per_day
     key, met = None, False
@@ -226,7 +226,7 @@ def budget_room(asked: DataFrame, keys: Sequence[str], rules: LiveRules = LiveRu
     if not cut.where("slice > 0").limit(1).count():
         return current.select(*keys, "ts", "room")
     current = stage(current, "budget-room")
-    ends = stage(cut.where("slice_end is not null").groupBy(*part).agg(F.max("slice_end").alias("slice_end")), "budget-slices")
+    ends = stage(cut.where("slice_end is not null").groupBy(*part).agg(F.max("slice_end").alias("slice_end"), F.min("ts").alias("first_ts")), "budget-slices")
 
     def carried(rows: DataFrame) -> DataFrame:
         """What each slice hands to the next: the grants of its last day, of which there are as many as the budget has."""
@@ -247,10 +247,12 @@ def budget_room(asked: DataFrame, keys: Sequence[str], rules: LiveRules = LiveRu
         stale = stage(stale, "budget-stale")
         if not stale.limit(1).count():
             return current.select(*keys, "ts", "room")
-        marked = stale.withColumn("__stale", F.lit(True))
+        marked = stale.select(*part, F.lit(True).alias("__stale"))
+        # grants go with the first second of their slice only: a day of them on each row would fill a task
+        given_at = stale.join(ends.select(*part, F.col("first_ts").alias("ts")), part).select(*part, "ts", "carried")
         again = lookup_join(current, marked, part, ["ts"]).drop("__stale")
-        again = stage(run(again), "budget-room")
-        current = lookup_join(current, marked.drop("carried"), part, ["ts"], "left").where("__stale is null").drop("__stale").union(again.select(current.columns))
+        again = stage(run(lookup_join(again, given_at, [*part, "ts"], ["asked"], "left")), "budget-room")
+        current = lookup_join(current, marked, part, ["ts"], "left").where("__stale is null").drop("__stale").union(again.select(current.columns))
         after = stale.select(*keys, (F.col("slice") + 1).alias("slice"))
         ran = stage(ran.join(stale.select(*part), part, "left_anti").union(stale.select(ran.columns)), "budget-ran")
         given = stage(given.join(after, part, "left_anti").union(carried(again).select(given.columns)), "budget-carried")

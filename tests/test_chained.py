@@ -87,6 +87,30 @@ def test_budget_in_slices_equals_the_run_in_order(spark, most):
     assert sorted(map(tuple, got)) == sorted(wanted)
 
 
+def test_a_slice_is_given_its_grants_once(spark, monkeypatch):
+    """What a slice begins with comes with its first second, not with each of them, however many seconds it has."""
+    from convspark.operators import chained
+
+    spend = chained.spend
+
+    def watched(batches, part, rules):
+        def checked():
+            key = None
+            for rows in batches:
+                for *mine, carried in zip(*(rows[c] for c in (*part, "carried"))):
+                    assert mine != key or carried is None, "grants on a later row"
+                    key = mine
+                yield rows
+
+        return spend(checked(), part, rules)
+
+    monkeypatch.setattr(chained, "spend", watched)
+    times = list(range(0, 12 * DAY_S, 700))
+    table = spark.createDataFrame([(0, n, ts) for n, ts in enumerate(times)], "chat_id long, message_id long, ts long")
+    got = live.reply_room(table, LiveRules(replies_per_hour=3, replies_per_day=15), Slices(seconds=30, most=6, least_s=DAY_S)).collect()
+    assert sorted((r["ts"], r["room"]) for r in got) == sorted(rooms(dict.fromkeys(times, 1), 3, 15).items())
+
+
 def test_one_busy_chat_is_many_tasks(spark):
     turns = spark.range(20_000).select(F.lit(1).cast("long").alias("chat_id"), F.col("id").alias("ts"))
     from convspark.operators.chained import cut_busy
