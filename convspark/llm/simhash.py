@@ -50,7 +50,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """SimHash of one text as an unsigned number: zero if it has no word."""
-    hashes = shingle_hashes(text, shingle)
+    return of_hashes(shingle_hashes(text, shingle))
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """SimHash of big-endian shingle hashes."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -72,6 +76,12 @@ def fingerprint_column(text: Column, shingle: int = 3) -> Column:
     return run(text)
 
 
+def byte_keys(fp: int) -> np.ndarray:
+    """The lists of a fingerprint, as ``links`` numbers them: a combination of four positional bytes each."""
+    pair = [fp >> 16 * k & 0xFFFF for k in range(4)]
+    return np.array([n << 32 | pair[i] << 16 | pair[j] for n, (i, j) in enumerate(BYTE_PAIRS)], np.int64)
+
+
 def _byte(value: Column, k: int) -> Column:
     return F.shiftrightunsigned(value, 8 * k).bitwiseAND(F.lit(255))
 
