@@ -31,6 +31,8 @@ END = ""
 #: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 400_000
 HELD_PAIRS = 4_000_000
+#: Words whose symbols a worker remembers.
+HELD_SYMBOLS = 100_000
 CLASS_BYTES = 3
 
 
@@ -67,7 +69,10 @@ class Symbols(dict):
         self.size = self.other + 1
 
     def __missing__(self, word: bytes) -> int:
-        return self.classes.get(word[-CLASS_BYTES:], self.other)
+        symbol = self.classes.get(word[-CLASS_BYTES:], self.other)
+        if len(self) < HELD_SYMBOLS:  # words seen before are not asked for again
+            self[word] = symbol
+        return symbol
 
     def of(self, texts: Iterable[list[bytes]]) -> np.ndarray:
         """Symbols of several texts in a row; -1 stands before each."""
@@ -296,49 +301,45 @@ def score(docs: DataFrame, tree: Tree, vocabulary: Vocabulary, rules: Rules, ext
     """``n_tokens``, ``n_known``, ``base_score`` and ``score`` of every row, next to the columns ``doc_id`` and ``extra``."""
     spark = docs.sparkSession
     held = vocabulary.table.where(F.col("times") >= rules.lookup_share * vocabulary.total).toPandas()
-    lookup = dict(zip((w.encode("utf-8", "surrogatepass") for w in held["word"]), held["times"].tolist()))
-    shared = spark.sparkContext.broadcast((tree, lookup, vocabulary.class_total, vocabulary.class_distinct))
+    words = [w.encode("utf-8", "surrogatepass") for w in held["word"]]
+    lookup = {w: n for n, w in enumerate(words)}
+    # the last entries stand for words that are not held
+    held_log = np.append(np.log10(held["times"].to_numpy(float) + rules.add), 0.0)
+    held_symbol = np.array([tree.symbols[w] for w in words] + [0], np.int64)
+    shared = spark.sparkContext.broadcast((tree, lookup, held_log, held_symbol, vocabulary.class_total, vocabulary.class_distinct))
     base_log = math.log10(vocabulary.total + rules.add * (vocabulary.distinct + 1)) if vocabulary.total else 0.0
     add = rules.add
     nothing = vocabulary.total == 0
-    logs: dict[int, float] = {}
-
-    def log_of(c: int) -> float:
-        value = logs.get(c)
-        if value is None:
-            value = logs[c] = math.log10(c + add)
-        return value
 
     @F.pandas_udf("n_tokens long, n_known long, base double, score double, words array<string>, times array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tree, lookup, class_total, class_distinct = shared.value
-        first_class = tree.symbols.n_words
+        tree, lookup, held_log, held_symbol, class_total, class_distinct = shared.value
+        symbols, first_class = tree.symbols, tree.symbols.n_words
         class_log = np.log10(class_total + add * (class_distinct + 1))
         for batch in batches:
             out = []
-            for at in range(0, len(batch), 128):
-                texts = [tokens(t) for t in batch.iloc[at : at + 128]]
-                row = tree.symbols.of(texts)
-                logs = tree.log10(row)
-                spelled = row >= first_class
-                logs[spelled] -= class_log[row[spelled] - first_class]
-                begins = np.flatnonzero(row < 0)
-                sums = np.add.reduceat(logs, begins) if len(begins) else []
-                for found, symbols_log, begin in zip(texts, sums, begins.tolist()):
-                    known = base = own = 0.0
-                    rare: dict[bytes, int] = {}
-                    by_class = spelled[begin + 1 : begin + 1 + len(found)].tolist()
-                    for word, in_class in zip(found, by_class):
-                        c = lookup.get(word)
-                        if c is None:
-                            rare[word] = rare.get(word, 0) + 1
-                        else:
-                            known += 1
-                            value = log_of(c)
-                            base += value
-                            if in_class:
-                                own += value
-                    out.append((len(found), int(known), base, symbols_log + own, [w.decode("utf-8", "surrogatepass") for w in rare], list(rare.values())))
+            for start in range(0, len(batch), 128):
+                texts = [tokens(t) for t in batch.iloc[start : start + 128]]
+                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+                found = list(itertools.chain.from_iterable(texts))
+                at = np.fromiter(map(lookup.get, found, itertools.repeat(-1)), np.int64, len(found))
+                symbol, known = held_symbol[at], at >= 0
+                missed = np.flatnonzero(~known)
+                symbol[missed] = [symbols[found[n]] for n in missed.tolist()]
+                text_of = np.repeat(np.arange(len(texts)), sizes)
+                place = np.arange(len(found)) + text_of + 1
+                row = np.full(len(found) + len(texts), -1, np.int64)
+                row[place] = symbol
+                own = tree.log10(row)[place]
+                spelled = symbol >= first_class
+                own[spelled] += held_log[at[spelled]] - class_log[symbol[spelled] - first_class]
+                begins = np.cumsum(sizes) - sizes
+                sums = (np.add.reduceat(x, begins).tolist() for x in (known.astype(np.int64), held_log[at], own))
+                rare: list[dict[bytes, int]] = [{} for _ in texts]
+                for n, text in zip(missed.tolist(), text_of[missed].tolist()):
+                    rare[text][found[n]] = rare[text].get(found[n], 0) + 1
+                for size, known_, base, score_, words in zip(sizes.tolist(), *sums, rare):
+                    out.append((size, known_, base, score_, [w.decode("utf-8", "surrogatepass") for w in words], list(words.values())))
             yield pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "score", "words", "times"])
 
     scored = stage(docs.select("doc_id", *extra, F.monotonically_increasing_id().alias("__row"), run("text").alias("s")), "scores")
