@@ -137,7 +137,7 @@ def edit_origin(messages: DataFrame, rules: LiveRules = LiveRules()) -> DataFram
     by then? The other rows are the messages the bot sent."""
     most = rules.remembered_ids
 
-    def step(chat, rows, data, watermark):
+    def step(chat, rows, data, watermark, last_rows):
         sent = [i for (i,) in data["sent"]]
         out = []
         for row in rows:
@@ -158,7 +158,7 @@ def edit_origin(messages: DataFrame, rules: LiveRules = LiveRules()) -> DataFram
 def build_turns(messages: DataFrame, merge_window_s: int = 180) -> DataFrame:
     """Turns as a stream. A turn is emitted when the next one starts or its window has passed."""
 
-    def step(chat, rows, data, watermark):
+    def step(chat, rows, data, watermark, last_rows):
         out = []
         turn, texts = data["turn"], data["texts"]
 
@@ -200,7 +200,7 @@ def gate_messages(messages: DataFrame, gate, rules: LiveRules = LiveRules()) ->
     prepared = prepared.withColumn("has_text", F.coalesce(F.length("text") > 0, F.lit(False)))
     pause, per_hour, per_day, provocations = rules.pause_s, rules.replies_per_hour, rules.replies_per_day, rules.provocations_per_hour
 
-    def step(chat, rows, data, watermark):
+    def step(chat, rows, data, watermark, last_rows):
         passed, provoked = ([t for (t,) in data[name]] for name in ("passed", "provoked"))
         owner_ts = data["owner"][0] if data["owner"] else None
         out = []
@@ -242,7 +242,7 @@ def gate_messages(messages: DataFrame, gate, rules: LiveRules = LiveRules()) ->
 def rate_limit(messages: DataFrame, rules: LiveRules = LiveRules()) -> DataFrame:
     per_hour, per_day = rules.replies_per_hour, rules.replies_per_day
 
-    def step(chat, rows, data, watermark):
+    def step(chat, rows, data, watermark, last_rows):
         passed = [t for (t,) in data["passed"]]
         out = []
         for row in rows:
@@ -265,11 +265,11 @@ def recent_memory(turns: DataFrame, n: int = MEMORY_TURNS, flagged_chars: int =
     wait for the watermark: a stream that is not closed (``with_end``) withholds its last minutes."""
     stub = F.when(F.col("flagged"), clip(F.col("text"), flagged_chars)).otherwise(F.col("text"))
 
-    def step(chat, rows, data, watermark):
+    def step(chat, rows, data, watermark, last_rows):
         kept = data["kept"] + [(r["ts"], r["message_id"], r["is_me"], r["text"]) for r in rows]
         data["kept"] = kept = sorted(kept, key=lambda turn: turn[:2])[-n:]
         newest = kept[-1][0] if kept else 0
-        return [(chat, newest, len(kept) - i, m, me, words) for i, (_, m, me, words) in enumerate(kept)] if rows else [], None
+        return [(chat, newest, len(kept) - i, m, me, words) for i, (_, m, me, words) in enumerate(kept)] if rows and last_rows else [], None
 
     return in_order(
         turns.withColumn("text", stub),
@@ -284,7 +284,7 @@ def learning_due(turns: DataFrame, rules: LiveRules = LiveRules()) -> DataFrame:
     """Emits a chat when enough human turns are there and enough time has passed, also by timer."""
     need, pause = rules.facts_min_turns, rules.facts_interval_s
 
-    def step(chat, rows, data, watermark):
+    def step(chat, rows, data, watermark, last_rows):
         out = []
         last, new = data["state"] or (-pause, 0)
         seconds: dict[int, int] = {}
@@ -309,7 +309,7 @@ def followup_due(messages: DataFrame, rules: InitiativeRules = InitiativeRules()
     """A bot reply after which the chat stayed silent long enough, decided by an event-time timer."""
     wait, seed, probability = rules.followup_from_s, rules.seed, rules.followup_probability
 
-    def step(chat, rows, data, watermark):
+    def step(chat, rows, data, watermark, last_rows):
         replies = data["replies"] + [(r["ts"], r["message_id"]) for r in rows if r["origin"] == "bot"]
         sides = {}
         for side, origins in (("out", OUTGOING), ("in", ("partner",))):
@@ -344,7 +344,7 @@ def opener_plan(messages: DataFrame, rules: InitiativeRules = InitiativeRules())
     active = messages.where(F.col("origin").isin("partner", *OUTGOING) | (F.col("chat_id") == END_CHAT))
     begin, span, silence = rules.opener_from_s, rules.opener_to_s - rules.opener_from_s, rules.opener_silence_s
 
-    def step(chat, rows, data, watermark):
+    def step(chat, rows, data, watermark, last_rows):
         from datetime import date, datetime, time, timedelta
         from zoneinfo import ZoneInfo
 
