@@ -93,3 +93,10 @@ def test_contexts_without_information_are_dropped(spark):
     same = spark.createDataFrame([(n, " ".join(draw.choices(words, k=60))) for n in range(200)], "doc_id long, text string")
     tree, _ = suffix_tree.train(same, suffix_tree.Rules(min_share=1e-3))
     assert (tree.levels[0].weight[:-1] == 1.0).mean() > 0.8
+
+
+def test_symbols_of_classed_words_are_remembered_up_to_a_bound(monkeypatch):
+    monkeypatch.setattr(suffix_tree, "HELD_SYMBOLS", 3)
+    symbols = suffix_tree.Symbols(["a"], ["696E67"])
+    assert [symbols[w] for w in (b"a", b"ring", b"ding", b"thing", b"other")] == [0, 1, 1, 1, 2]
+    assert set(symbols) == {b"a", b"ring", b"ding"} and symbols.size == 3
