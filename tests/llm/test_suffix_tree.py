@@ -100,3 +100,68 @@ def test_symbols_of_classed_words_are_remembered_up_to_a_bound(monkeypatch):
     symbols = suffix_tree.Symbols(["a"], ["696E67"])
     assert [symbols[w] for w in (b"a", b"ring", b"ding", b"thing", b"other")] == [0, 1, 1, 1, 2]
     assert set(symbols) == {b"a", b"ring", b"ding"} and symbols.size == 3
+
+
+@pytest.mark.parametrize("sent", [1, 3])
+def test_contexts_that_are_not_sent_change_scores_alike(docs, monkeypatch, sent):
+    """Every context counts whether it is sent to the executors or found in a group: also those of under ``min_share`` of all tokens."""
+    rows = [*corpus(300), *((500 + n, f"ba be bi bo {'bu' if n % 3 else 'da'}") for n in range(60)), (900, None), (901, "")]
+    rules = {"reach": 4, "min_share": 4e-3, "min_gain": 1.0, "lookup_share": 1e-3}
+    expected = {r["doc_id"]: r["score"] for r in suffix_tree.score_documents(docs(rows), suffix_tree.Rules(depth=0, **rules)).collect()}
+    monkeypatch.setattr(suffix_tree, "BLOCK_SYMBOLS", 700)
+    monkeypatch.setattr(suffix_tree, "GROUP_PLACES", 900)
+    found = {r["doc_id"]: r for r in suffix_tree.score_documents(docs(rows), suffix_tree.Rules(depth=sent, **rules)).collect()}
+    assert set(found) == set(expected)
+    assert all(math.isclose(found[n]["score"], expected[n], abs_tol=1e-4) for n in expected)
+    gain = [r["score"] - r["base_score"] for n, r in found.items() if 500 <= n < 900 and r["held_out"]]
+    assert gain and min(gain) > 1.0
+
+
+def test_branches_against_a_walk_over_dictionaries(trained):
+    """Contexts of up to four symbols of one group of branches, against plain counts."""
+    tree, _ = trained
+    rules = suffix_tree.Rules(min_share=2e-3, min_gain=1.0, least=3, reach=4)
+    block = tree.symbols.of([suffix_tree.tokens(t) for _, t in corpus(60, 4)]).astype("<i4")
+    learned = np.array([n % 5 > 0 for n in range(60)])
+    row, at, keys, place, times, bounds = suffix_tree._places(tree, suffix_tree._packed(block), learned.tobytes(), rules, 3)
+    change = np.concatenate([suffix_tree.branch_changes(tree, rules, keys[a:b], times[a:b]) for a, b in zip(bounds[:-1], bounds[1:])])
+    got = tree.log10(row)
+    got[at] += change[place]
+    text = np.cumsum(row < 0) - 1
+    contexts = [{tuple(row[n - d : n][::-1]): Counter() for n in at if n >= d and text[n - d] == text[n] and (row[n - d : n] >= 0).all()} for d in range(1, 5)]
+    depth = sum((number >= 0).astype(int) for number in tree.places(row))
+    for n in range(len(row)):
+        for d in range(depth[n] + 1, 5):
+            if n >= d and learned[text[n]] and row[n] >= 0 and (own := tuple(row[n - d : n][::-1])) in contexts[d - 1]:
+                contexts[d - 1][own][row[n]] += 1
+
+    def p_of(n, d):
+        """P after the context of ``d`` symbols, by the longest retained one."""
+        if d <= depth[n]:
+            return 10 ** sent[n]
+        p, next_of, own = p_of(n, d - 1), contexts[d - 1].get(tuple(row[n - d : n][::-1]), Counter()), row[n]
+        total = sum(next_of.values())
+        if total < rules.least or gains[d, tuple(row[n - d : n][::-1])] < rules.min_gain:
+            return p
+        mass = {s: (c - rules.discount) / total for s, c in next_of.items()}
+        return mass.get(own, 0.0) + (1 - sum(mass.values())) * p
+
+    gains, sent = {}, tree.log10(row)
+    for d in range(1, 5):
+        firsts = {}
+        for n in at:
+            if depth[n] < d <= n and (row[n - d : n] >= 0).all():
+                firsts.setdefault((tuple(row[n - d : n][::-1]), row[n]), n)
+        for (own, symbol), n in firsts.items():
+            next_of = contexts[d - 1][own]
+            total, c = sum(next_of.values()), next_of[symbol]
+            if c:
+                left = max(c - 1 - rules.discount, 0) / max(total - 1, 1)
+                weight = min(rules.discount * len(next_of) / total, 1)
+                p = p_of(n, d - 1)
+                gains[d, own] = gains.get((d, own), 0.0) + c * math.log((left + weight * p) / p)
+            gains.setdefault((d, own), 0.0)
+    assert (change != 0).any()
+    for n in at[::7]:
+        deepest = max(d for d in range(1, 5) if n >= d and (row[n - d : n] >= 0).all())
+        assert math.isclose(got[n], math.log10(p_of(n, deepest)), abs_tol=1e-9)
