@@ -143,11 +143,12 @@ class Tree:
             own = np.where(level.nexts[at] == key, level.mass[at], 0.0)
         return own + level.weight[number] * p
 
-    def log10(self, row: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol of ``row`` (as ``Symbols.of`` gives them); zero at the marks before texts."""
+    def log10(self, row: np.ndarray, places: list[np.ndarray] | None = None) -> np.ndarray:
+        """log10 probability of each symbol of ``row`` (as ``Symbols.of`` gives them); zero at the marks before texts. ``places``:
+        those of ``row``, if they are known."""
         real = row >= 0
         p = self.root[np.where(real, row, 0)]
-        for level, number in zip(self.levels, self.places(row)):
+        for level, number in zip(self.levels, self.places(row) if places is None else places):
             met = (number >= 0) & real
             if not met.any():
                 break
@@ -442,13 +443,14 @@ def _packing(tree: Tree, rules: Rules) -> tuple[int, int]:
 
 
 def _places(tree: Tree, block: bytes, train: bytes, rules: Rules, groups: int):
-    """What a block asks: its symbols ``row``, the places ``at`` that have a context which is not sent, the distinct windows
+    """What a block asks: its symbols ``row`` and their ``places`` in the tree, the places ``at`` that have a context which is not sent, the distinct windows
     there (packed; nearest symbol first, then the next one), sorted by their groups, each place's number among them, how
     often each is learned from, and the bounds of the groups."""
     base, reach = _packing(tree, rules)
     row = _unpacked(block, "<i4")
     depth = np.zeros(len(row), np.int64)
-    for number in tree.places(row):
+    places = tree.places(row)
+    for number in places:
         depth += number >= 0
     window, branch = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
     open_, before, inside = np.zeros(len(row), bool), row, row >= 0
@@ -460,14 +462,15 @@ def _places(tree: Tree, block: bytes, train: bytes, rules: Rules, groups: int):
         branch[ends] = window[ends]
         open_ |= ends
     at = np.flatnonzero(open_)
-    keys, first, place = np.unique(window[at] * base + row[at] + 1, return_index=True, return_inverse=True)
+    keys, place = np.unique(window[at] * base + row[at] + 1, return_inverse=True)
+    branch_of = np.empty(len(keys), np.uint64)
+    branch_of[place] = branch[at]
     times = np.bincount(place, _learned(row, train)[at], len(keys)).astype("<i4")
-    mixed = branch[at][first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    group = ((mixed >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
+    group = (((branch_of * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(groups)).astype(np.min_scalar_type(groups))
     order = np.argsort(group, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return row, at, keys[order], rank[place], times[order], np.searchsorted(group[order], np.arange(groups + 1))
+    return row, places, at, keys[order], rank[place], times[order], np.searchsorted(group[order], np.arange(groups + 1))
 
 
 def branch_changes(tree: Tree, rules: Rules, keys: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -484,8 +487,9 @@ def branch_changes(tree: Tree, rules: Rules, keys: np.ndarray, times: np.ndarray
         use = np.flatnonzero((before[n] >= 0) & (sent <= n))
         if not len(use):
             continue
-        pair, at, one = np.unique(window[use] // base ** (reach - n) * base + following[use] + 1, return_index=True, return_inverse=True)
-        seen, suffix = np.bincount(one, times[use], len(pair)), p[use][at]
+        pair, one = np.unique(window[use] // base ** (reach - n) * base + following[use] + 1, return_inverse=True)
+        seen, suffix = np.bincount(one, times[use], len(pair)), np.empty(len(pair))
+        suffix[one] = p[use]  # the same at all places of a pair
         context = np.cumsum(np.append(0, np.diff(pair // base) != 0))
         total, types = np.bincount(context, seen), np.bincount(context, seen > 0)
         left = np.maximum(seen - 1 - d, 0.0) / np.maximum(total - 1, 1)[context]
@@ -508,7 +512,7 @@ def score_blocks(blocks: DataFrame, tree: Tree, rules: Rules, total: int) -> Dat
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for first, block, train in zip(batch["id"], batch["block"], batch["train"]):
-                _, _, keys, _, times, bounds = _places(shared.value, block, train, rules, groups)
+                _, _, _, keys, _, times, bounds = _places(shared.value, block, train, rules, groups)
                 full = np.flatnonzero(np.diff(bounds)).tolist()
                 spans = [slice(bounds[g], bounds[g + 1]) for g in full]
                 windows = [_packed(np.diff(keys[s], prepend=0)) for s in spans]
@@ -523,8 +527,8 @@ def score_blocks(blocks: DataFrame, tree: Tree, rules: Rules, total: int) -> Dat
 
     def add(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         first = block["id"].iloc[0]
-        row, at, keys, place, _, _ = _places(shared.value, block["block"].iloc[0], block["train"].iloc[0], rules, groups)
-        p = shared.value.log10(row)
+        row, places, at, _, place, _, _ = _places(shared.value, block["block"].iloc[0], block["train"].iloc[0], rules, groups)
+        p = shared.value.log10(row, places)
         if len(at):
             p[at] += np.concatenate([_unpacked(x, "<f4") for x in answers.sort_values("group")["changes"]])[place]
         return pd.DataFrame({"id": first + np.arange((row < 0).sum()), "tree": np.bincount(np.cumsum(row < 0) - 1, p)})

@@ -123,7 +123,7 @@ def test_branches_against_a_walk_over_dictionaries(trained):
     rules = suffix_tree.Rules(min_share=2e-3, min_gain=1.0, least=3, reach=4)
     block = tree.symbols.of([suffix_tree.tokens(t) for _, t in corpus(60, 4)]).astype("<i4")
     learned = np.array([n % 5 > 0 for n in range(60)])
-    row, at, keys, place, times, bounds = suffix_tree._places(tree, suffix_tree._packed(block), learned.tobytes(), rules, 3)
+    row, _, at, keys, place, times, bounds = suffix_tree._places(tree, suffix_tree._packed(block), learned.tobytes(), rules, 3)
     change = np.concatenate([suffix_tree.branch_changes(tree, rules, keys[a:b], times[a:b]) for a, b in zip(bounds[:-1], bounds[1:])])
     got = tree.log10(row)
     got[at] += change[place]
