@@ -138,16 +138,20 @@ def contains_within(masks: dict[int, int], n: int, words: list[int], most: int)
     return False
 
 
+def _null_last(item_id: int | None) -> tuple[bool, int]:
+    return item_id is None, item_id or 0
+
+
 @dataclass
 class Block:
     """Items of one benchmark block, ready for search. ``items``: (item_id, words as hashes)."""
 
-    items: list[tuple[int, list[int]]]
+    items: list[tuple[int | None, list[int]]]
     words: dict[bytes, int]
     rules: Rules = field(default_factory=Rules)
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str]], rules: Rules) -> Block:
+    def build(cls, rows: list[tuple[int | None, str]], rules: Rules) -> Block:
         words: dict[bytes, int] = {}
         items = []
         for item_id, text in rows:
@@ -209,16 +213,16 @@ class Block:
                 return True
         return False
 
-    def search(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of the items within their edits of some passage, for each text, in order."""
-        result: list[list[int]] = []
+    def search(self, texts: list[str | None]) -> list[list[int | None]]:
+        """Ids of the items within their edits of some passage, for each text, in order, null last."""
+        result: list[list[int | None]] = []
         get = self.words.get
         for text in texts:
             found = tokens(text) if self.items else []
             # words that the benchmark lacks are zero and differ from all of its words
             words = [get(w, 0) for w in found]
             begins = self.begins(np.array(words, np.uint64))
-            result.append(sorted({self.items[item][0] for item, at in begins.items() if self.contained(item, at, words)}))
+            result.append(sorted({self.items[item][0] for item, at in begins.items() if self.contained(item, at, words)}, key=_null_last))
         return result
 
 
@@ -237,17 +241,18 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules | None = None
     ``rules``. Nothing is shuffled. The benchmark is the stated query set: its blocks hold at most about
     ``block_bytes`` of text, each is sent to the executors by itself.
 
-    Null and empty texts contain nothing, items without a word are contained in nothing, items with a null id are
-    left out, repeated items give their id once; a column of that name is replaced; other columns stay."""
+    Null and empty texts contain nothing, items without a word are contained in nothing. Items with a null id are
+    searched as any other and give one null, after all ids; repeated items give their id once. A column of that name is
+    replaced; other columns stay."""
     rules = rules or Rules()
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     found = []
     for n in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == n).distinct().collect()
-        block = Block.build(sorted((r["id"], r["text"]) for r in rows), rules)
+        block = Block.build(sorted(((r["id"], r["text"]) for r in rows), key=lambda r: (_null_last(r[0]), r[1])), rules)
         found.append(_item_ids(F.col("text"), spark.sparkContext.broadcast(block)))
     return docs.withColumn(column, found[0] if blocks == 1 else F.array_sort(F.array_distinct(F.flatten(F.array(*found)))))
 

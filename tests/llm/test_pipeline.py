@@ -77,3 +77,11 @@ def test_shards(tables):
 
 def test_run_equals_the_stages(spark, tables):
     assert ids(corpus_pipeline.run(spark, str(FOLDER))) == ids(tables[5])
+
+
+def test_items_without_an_id_are_taken_out(spark, docs, tmp_path):
+    """The stage needs what a benchmark says, not what its items are called."""
+    items = [(None, "one two three four five six seven eight"), (2, "red green blue")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = docs([(1, f"before {items[0][1]} after"), (2, "nothing of these"), (3, "red green blue")])
+    assert ids(dict(corpus_pipeline.STAGES)["decontamination"](spark, texts, str(tmp_path))) == [2]
