@@ -1,11 +1,12 @@
 """Benchmark decontamination: passages within a number of edits of an item, found by shared runs and exact verification.
 
-Words are the symbols (lower case, letters and digits only), so that edits are words put in, left out or changed. A
-text contains an item of ``n`` words if some passage of it, whatever its length, is within the item's ``k`` edits.
-Such a passage keeps a run of ``(n - k) / (k + 1)`` words of the item unchanged, and begins and ends within ``k`` words
-of where the item would if it was aligned at that run. So runs of that length that the text shares with an item name
-the stretches of the text to look at, and each stretch is verified with free ends, a column of the edit matrix at a
-time in the bits of a number. No passage within the edits is left out: nothing is sampled.
+Words are the symbols (lower case, letters and digits only), so that edits are words put in, left out or changed. In
+scripts without spaces every sign is a word, as is every symbol outside ASCII. A text contains an item of ``n`` words
+if some passage of it, whatever its length, is within the item's ``k`` edits. Such a passage keeps a run of ``(n - k) /
+(k + 1)`` words of the item unchanged, and begins and ends within ``k`` words of where the item would if it was aligned
+at that run. So runs of that length that the text shares with an item name the stretches of the text to look at, and
+each stretch is verified with free ends, a column of the edit matrix at a time in the bits of a number. No passage
+within the edits is left out: nothing is sampled.
 
 The CGK embedding with bit samples (``embed_keys``) finds about 60 % of pairs at 20 % edits and compares windows of equal size only; the
 search does without it."""
@@ -13,8 +14,11 @@ search does without it."""
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,10 +52,30 @@ class Rules:
 
 
 _TABLE = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(128)) + bytes(range(128, 256))
+#: Fixed value: scripts written without spaces (Thai, Lao, Burmese, Khmer, Chinese, Japanese).
+_SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+
+
+@lru_cache(1 << 16)
+def _spelled(sign: str) -> str:
+    """What a sign outside ASCII is in words: punctuation and spaces part them, format signs (soft hyphens, joiners,
+    variation selectors) are nothing, symbols and signs of scripts without spaces are words, all others stay."""
+    kind = unicodedata.category(sign)
+    if kind[0] in "PZ" or kind == "Cc":
+        return " "
+    if kind == "Cf" or "\ufe00" <= sign <= "\ufe0f":
+        return ""
+    return f" {sign} " if kind[0] == "S" or _SPACELESS.match(sign) else sign
 
 
 def tokens(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_TABLE).split()
+    """The words of a text, which are the same in every Unicode normal form."""
+    plain = (text or "").lower()
+    if not plain.isascii():
+        plain = unicodedata.normalize("NFC", plain)
+        other = {ord(sign): put for sign in set(plain) if sign > "\x7f" and (put := _spelled(sign)) != sign}
+        plain = plain.translate(other) if other else plain
+    return plain.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
 def edit_distance_within(a: list, b: list, most: int) -> int | None:

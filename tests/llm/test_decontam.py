@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -99,6 +100,27 @@ def test_items_with_a_null_id(spark, docs, block_bytes):
     assert clean.columns == kept.columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 5]
 
 
+def test_words_outside_ascii():
+    """Exact copies of items between other marks, with other spaces, in another normal form and in scripts without spaces."""
+    items = ["two words", "café crème brûlée déjà élevé", "法国的首都是哪里", "🙂❤", "हिन्दी में"]
+    block = decontam.Block.build(list(enumerate(items)), decontam.Rules()).prepare()
+    texts = {
+        "he said “two words” then": [0],
+        "so…two\u00a0words—or\u3000two": [0],
+        "two\u2028wo\u00adrds": [0],
+        "twowords, two-word s": [],
+        unicodedata.normalize("NFD", "«CAFÉ CRÈME BRÛLÉE DÉJÀ ÉLEVÉ»"): [1],
+        "cafe creme brulee deja eleve": [],
+        "请问法国的首都是哪里呢？": [2],
+        "法国的面积有多大": [],
+        "well 🙂 ❤\ufe0f!": [3],
+        "वह हिन्दी में, है": [4],
+        "हिन्द मे": [],
+        "\ud800 x": [],
+    }
+    assert dict(zip(texts, block.search(list(texts)))) == texts
+
+
 @pytest.mark.parametrize("rate,least", [(0.0, 1.0), (0.1, 0.97), (0.2, 0.6)])
 def test_recall_of_the_embedding(rate, least):
     """Share of equal-sized pairs at an edit rate that agree in the sampled places of some repetition."""
